@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, sharding
+from . import exact_dedup, mixing, sharding
 from .shared import table
 
 
@@ -14,12 +14,16 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents")).drop("row_number")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op7_sharding)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_mixing, op7_sharding)}
 
 
 OP1_SQL = r"""
@@ -32,5 +36,34 @@ FROM k WINDOW w AS (PARTITION BY norm)
 """
 
 
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce('s' || source, 't') AS k,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         (('0x' || substr(md5('1729:' || coalesce(doc_id::VARCHAR, '-') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+  FROM documents
+), s0 AS (SELECT k, sum(size)::BIGINT AS ss FROM d GROUP BY k),
+s1 AS (SELECT k, ss, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY k) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM s0),
+s2 AS (SELECT *, ss * 3.0::DOUBLE AS stop, ss * 3.0::DOUBLE / w AS lv, (sum(ss) OVER ())::DOUBLE AS total, sum(w) OVER () AS aw FROM s1),
+s3 AS (SELECT *, sum(stop) OVER f AS st, sum(w) OVER f AS wt FROM s2 WINDOW f AS (ORDER BY lv, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+s4 AS (SELECT *, st + lv * (aw - wt) <= total AS fullup FROM s3),
+s5 AS (SELECT *, CASE WHEN fullup THEN stop ELSE least(w * (total - sum(CASE WHEN fullup THEN stop ELSE 0 END) OVER ())
+         / (aw - sum(CASE WHEN fullup THEN w ELSE 0 END) OVER ()), stop) END AS target FROM s4),
+s6 AS (SELECT k, ss, target, CASE WHEN ss > 0 THEN least(floor(target / ss), 3)::BIGINT ELSE 0 END AS whole FROM s5),
+s7 AS (SELECT *, greatest(target - whole * ss, 0.0::DOUBLE) AS goal FROM s6),
+s8 AS (SELECT *, CASE WHEN ss > 0 THEN goal / ss ELSE 0.0 END AS p FROM s7),
+r0 AS (SELECT d.*, ss, target, whole, goal, CASE WHEN size > 0 AND p > 0 AND p < 1 THEN (u / (1.0::DOUBLE - u)) / (p / (1.0::DOUBLE - p)) END AS q FROM d JOIN s8 USING (k)),
+r1 AS (SELECT *, q / (1.0::DOUBLE + q) AS y FROM r0),
+r2 AS (SELECT *, coalesce(y IS NOT NULL AND sum(size) OVER (PARTITION BY k, y IS NULL ORDER BY y) <= goal, false) AS a FROM r1),
+r3 AS (SELECT *, goal - coalesce(sum(size) FILTER (WHERE a) OVER (PARTITION BY k), 0) AS room FROM r2),
+r4 AS (SELECT *, y IS NOT NULL AND NOT a AND size <= room AS c FROM r3),
+r5 AS (SELECT *, c AND sum(size) OVER (PARTITION BY k, c ORDER BY y) <= room AS b FROM r4),
+r6 AS (SELECT *, room - coalesce(sum(size) FILTER (WHERE b) OVER (PARTITION BY k), 0) AS room2 FROM r5),
+r7 AS (SELECT *, y IS NOT NULL AND NOT a AND NOT b AND abs(room2 - size) < room2 AS e, abs(room2 - size) AS miss FROM r6),
+r8 AS (SELECT *, e AND rank() OVER (PARTITION BY k, e ORDER BY miss, y) = 1 AS one FROM r7)
+SELECT doc_id, size, ss AS source_size, target, size * (whole + (a OR b OR one)::BIGINT) AS taken FROM r8
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op3_mixing": OP3_SQL}
