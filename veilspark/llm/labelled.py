@@ -20,8 +20,8 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(fold(id_col) == HELD_OUT, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> dict[int, list[str]]:
-    """Texts of each class, in an order fixed by a hash of their ids.
+def sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> tuple[dict[int, list[str]], dict[int, int]]:
+    """Texts of each class, in an order fixed by a hash of their ids, and the class's labelled ids in all.
 
     At most ``rows`` labelled ids a class, of those the first ``size`` bytes of whole
     texts. Held-out ids, null labels and labels other than 0 and 1 are left out; an id
@@ -29,6 +29,7 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "do
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("y IN (0, 1)").filter(~held_out("id") & F.col("id").isNotNull())
     known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("top")).filter("y = top").select("id", "y", F.xxhash64("id").alias("at"))
+    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = known.filter("y = 0").orderBy("at", "id").limit(rows).unionByName(known.filter("y = 1").orderBy("at", "id").limit(rows))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     found = texts.join(F.broadcast(picked), "id").groupBy("id", "y", "at").agg(F.min("text").alias("text"))  # at most 2 * rows rows
@@ -37,11 +38,20 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "do
     out: dict[int, list[str]] = {0: [], 1: []}
     for r in sorted(bounded, key=lambda r: (r["at"], r["id"])):
         out[r["y"]].append(r["text"])
-    return out
+    return out, counts
+
+
+def to_whole(model: tuple[np.ndarray, np.ndarray, np.ndarray], drawn: dict[int, int], counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A logistic fitted on ``drawn`` texts a class, with its intercept moved to the class shares of ``counts``."""
+    w, mean, scale = model
+    w = w.copy()
+    w[-1] += np.log(max(counts.get(1, 0), 1) / max(drawn[1], 1)) - np.log(max(counts.get(0, 0), 1) / max(drawn[0], 1))
+    return w, mean, scale
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(weights with intercept last, mean, scale) by Newton steps with a small ridge."""
+    """(weights with intercept last, mean, scale) by Newton steps; the ridge is stronger on few rows."""
+    ridge += 1.0 / len(x)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
     w = np.zeros(z.shape[1])

@@ -72,8 +72,8 @@ def features(texts: list[str], compressors: list) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    texts = labelled.sample(docs, labels, "quality", id_col, text_col)
-    n_bad, n_good = len(texts[0]), len(texts[1])
+    texts, counts = labelled.sample(docs, labels, "quality", id_col, text_col)
+    n_bad, n_good = counts.get(0, 0), counts.get(1, 0)
     prior = n_good / (n_good + n_bad) if n_good + n_bad else 0.5
     share = {y: (t[0::2], t[1::2]) for y, t in texts.items()}
     raw = {y: [t.encode() for t in share[y][0]] for y in (0, 1)}
@@ -86,7 +86,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = Model(made[1], made[0], trained, None, prior)
     x = features(share[0][1] + share[1][1], model.compressors())
     y = np.repeat([0.0, 1.0], [len(share[0][1]), len(share[1][1])])
-    model.calibration = labelled.fit_logistic(expand(x), y)
+    model.calibration = labelled.to_whole(labelled.fit_logistic(expand(x), y), {c: len(share[c][1]) for c in (0, 1)}, counts)
     return model
 
 
