@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, quality, sharding, simhash, toxicity
+from . import exact_dedup, html_text, mixing, packing, quality, sharding, simhash, toxicity
 from .shared import table
 
 
@@ -28,6 +28,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,7 +49,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_mixing, op6_toxicity, op7_sharding, op8_quality, op9_simhash)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_mixing, op4_html_text, op6_toxicity, op7_sharding, op8_quality, op9_simhash)}
 
 
 OP1_SQL = r"""
