@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, mixing, packing, quality, sharding, simhash, toxicity
+from . import ann, exact_dedup, html_text, mixing, packing, quality, sharding, simhash, toxicity
 from .shared import table
 
 
@@ -48,8 +48,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_mixing, op4_html_text, op6_toxicity, op7_sharding, op8_quality, op9_simhash)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_mixing, op4_html_text, op6_toxicity, op7_sharding, op8_quality, op9_simhash, op10_ann)}
 
 
 OP1_SQL = r"""
