@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact_dedup, html_text, mixing, packing, quality, sharding, simhash, toxicity
+from . import ann, exact_dedup, html_text, mixing, packing, quality, repeats, sharding, simhash, toxicity
 from .shared import table
 
 
@@ -32,6 +32,10 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,7 +57,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_mixing, op4_html_text, op6_toxicity, op7_sharding, op8_quality, op9_simhash, op10_ann)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_packing, op3_mixing, op4_html_text, op5_repeats, op6_toxicity, op7_sharding, op8_quality, op9_simhash, op10_ann)}
 
 
 OP1_SQL = r"""
