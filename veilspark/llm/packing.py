@@ -35,7 +35,7 @@ WINDOW, END = 2048, 1
 TIERS = (128, 256, 512, 1024, 2048)
 STEP_TOKENS = 1 << 14
 #: Tokens a partition keeps waiting for a better fit, and texts tokenised at a time, in characters.
-POOL_TOKENS, BATCH_CHARS = 256 * WINDOW, 4 << 20
+POOL_TOKENS, BATCH_CHARS = 256 * WINDOW, 1 << 20
 
 SCHEMA = "id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
@@ -111,6 +111,19 @@ class Packer:
             self._close(size, pieces)
 
 
+def slices(batch: pa.RecordBatch, chars: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose second column holds about ``chars`` bytes of text, without copying."""
+    import pyarrow.compute as pc
+
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < batch.num_rows:
+        before = sizes[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(sizes, before + chars, side="right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
@@ -130,16 +143,11 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
         for b in batches:
             types[0] = b.column(0).type
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            begin, chars = 0, 0
-            for i, t in enumerate(texts):
-                chars += len(t)
-                if chars >= BATCH_CHARS or i == len(texts) - 1:
-                    for key, x in zip(ids[begin : i + 1], coder.encode(texts[begin : i + 1])):
-                        packer.add(key, np.append(x, np.uint32(END)))
-                    begin, chars = i + 1, 0
-                    if len(packer.rows) > 10_000:
-                        yield out()
+            for part in slices(b, BATCH_CHARS):
+                for key, x in zip(part.column(0).to_pylist(), coder.encode(part.column(1).to_pylist())):
+                    packer.add(key, np.append(x, np.uint32(END)))
+                if len(packer.rows) > 10_000:
+                    yield out()
         packer.pack(0)
         if packer.rows:
             yield out()

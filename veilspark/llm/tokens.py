@@ -1,11 +1,10 @@
-"""Fast exact token ids: the public tokenizer behind two caches.
-
-The tokenizer splits at white space before anything else, so a text's ids are the
-ids of its white-space chunks in order. Chunks repeat, pieces of chunks repeat more:
-both are cached for the life of a Python worker, with a fixed number of entries.
-Chunks outside printable ASCII and Latin letters, chunks that spell a special
-token, and texts with separators on which Python and the tokenizer disagree go to the
-tokenizer as they are.
+"""Fast exact token ids: the public tokenizer behind a cache of its pieces.
+
+The tokenizer lower-cases, cuts a text into pieces (words, digits, runs of marks) and merges bytes inside
+a piece only, so a text's ids are its pieces' ids in order. For texts of printable
+ASCII and Latin-1, Python cuts the same pieces; their ids are cached for the life of a
+worker, in two generations of a fixed number of entries. Other texts, and texts that spell a
+special token, go to the tokenizer as they are.
 """
 
 from __future__ import annotations
@@ -13,16 +12,30 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import chain
 
 import numpy as np
-import regex
 
-CACHE_ENTRIES = 1_000_000
-_SIMPLE = re.compile(r"[\x21-\x7e\xc0-\xff]+")
-_ODD_SPACE = re.compile(r"[\x1c-\x1f]")
-#: The tokenizer file's own split pattern and special tokens (fixed values).
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_SPECIAL = ("<|startoftext|>", "<|endoftext|>")
+#: Pieces in each of the two generations.
+CACHE_ENTRIES = 250_000
+#: Latin-1 text without control codes and without digits beyond 0-9.
+_SIMPLE = re.compile(r"[\x09-\x0d\x20-\x7e\xa0-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-\xff]*")
+#: The tokenizer file's own split pattern, as it reads for the characters of _SIMPLE, and its special tokens (fixed values).
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
+_SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
+
+
+class _Generation:
+    """Piece -> position of its ids in a flat array."""
+
+    def __init__(self):
+        self.codes: dict[str, int] = {}
+        self.flat, self.at = array("I"), array("q", [0])
+
+    def add(self, piece: str, ids) -> None:
+        self.codes[piece] = len(self.at) - 1
+        self.flat.extend(ids)
+        self.at.append(len(self.flat))
 
 
 class Coder:
@@ -36,62 +49,39 @@ class Coder:
         for token, i in vocabulary.items():
             self.last[i] = token.endswith("</w>")
         self.entries = entries
-        self._clear()
-
-    def _clear(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.flat, self.at = array("I"), array("q", [0])
+        self.now, self.old = _Generation(), _Generation()
 
-    def _learn(self, missing: list[str]) -> None:
-        split: dict[str, list[str] | None] = {}
-        unseen: set[str] = set()
-        for chunk in missing:
-            if _SIMPLE.fullmatch(chunk) and not any(s in chunk for s in _SPECIAL):
-                parts = _PIECES.findall(chunk.lower())
-                split[chunk] = parts
-                unseen.update(p for p in parts if p not in self.pieces)
-            else:
-                split[chunk] = None
-        if len(self.pieces) + len(unseen) > self.entries:
-            self.pieces.clear()
-            unseen = {p for parts in split.values() if parts for p in parts}
-        todo = list(unseen)
+    def _learn(self, missing: set[str]) -> None:
+        now, old = self.now, self.old
+        known = old.codes.keys() & missing
+        for p in known:
+            c = old.codes[p]
+            now.add(p, old.flat[old.at[c] : old.at[c + 1]])
+        todo = list(missing - known)
         for i in range(0, len(todo), 2048):
             part = todo[i : i + 2048]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.int64)
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) != len(part):  # not one word each: ask for each by itself
-                self.pieces.update((p, tuple(self.tokenizer.encode(p, add_special_tokens=False).ids)) for p in part)
-                continue
-            ids, start = ids.tolist(), 0
-            for p, end in zip(part, ends.tolist()):
-                self.pieces[p] = tuple(ids[start:end])
-                start = end
-        for chunk, parts in split.items():
-            if parts is None:
-                self.flat.extend(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
-            else:
-                for p in parts:
-                    self.flat.extend(self.pieces[p])
-            self.codes[chunk] = len(self.at) - 1
-            self.at.append(len(self.flat))
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()  # a piece's last id carries the word end
+            ids = ids.tolist()
+            if len(ends) == len(part):
+                for p, a, b in zip(part, [0, *ends], ends):
+                    now.add(p, ids[a:b])
+            else:  # some piece is not one word to the tokenizer: ask for each
+                for p in part:
+                    now.add(p, self.tokenizer.encode(p, add_special_tokens=False).ids)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text as uint32 arrays."""
-        if len(self.codes) > self.entries or len(self.flat) > 8 * self.entries:
-            self._clear()
-        odd = {i for i, t in enumerate(texts) if _ODD_SPACE.search(t)}
-        chunks = [[] if i in odd else t.split() for i, t in enumerate(texts)]
-        known = self.codes
-        missing = {c for row in chunks for c in row if c not in known}
-        if missing:
-            self._learn(list(missing))
-        counts = np.array([len(row) for row in chunks], np.int64)
-        get = self.codes.__getitem__
-        codes = np.fromiter((get(c) for row in chunks for c in row), np.int64, int(counts.sum()))
-        at = np.frombuffer(self.at, np.int64)
-        flat = np.frombuffer(self.flat, np.uint32) if len(self.flat) else np.empty(0, np.uint32)
+        if len(self.now.codes) > self.entries:
+            self.old, self.now = self.now, _Generation()
+        odd = {i for i, t in enumerate(texts) if not _SIMPLE.fullmatch(t) or _SPECIAL.search(t)}
+        pieces = [[] if i in odd else _PIECES.findall(t.lower()) for i, t in enumerate(texts)]
+        if missing := set(chain.from_iterable(pieces)).difference(self.now.codes):
+            self._learn(missing)
+        counts = np.array([len(row) for row in pieces], np.int64)
+        codes = np.fromiter(map(self.now.codes.__getitem__, chain.from_iterable(pieces)), np.int64, int(counts.sum()))
+        at = np.frombuffer(self.now.at, np.int64)
+        flat = np.frombuffer(self.now.flat, np.uint32) if len(self.now.flat) else np.empty(0, np.uint32)
         start, size = at[codes], at[codes + 1] - at[codes]
         total = np.concatenate(([0], np.cumsum(size)))
         ids = flat[np.arange(total[-1]) + np.repeat(start - total[:-1], size)]
