@@ -159,7 +159,14 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.lexsort((a, doc, name, key))
             fresh = np.empty(len(a), bool)
             fresh[order] = _first_of_run(key[order], name[order])
-            yield _batch(np.where(fresh, _ANCHOR, _GONE), key.view(np.int64), name.view(np.int64), doc, a, last + shift, spot + shift)
+            b = last + shift
+            yield _batch(_ANCHOR, key.view(np.int64)[fresh], name.view(np.int64)[fresh], doc[fresh], a[fresh], b[fresh], (spot + shift)[fresh])
+            # settled repeats travel as merged intervals, dealt by document: their keys may be hot
+            gone = np.flatnonzero(~fresh)
+            if len(gone):
+                head = np.flatnonzero(np.concatenate(([True], (part[gone[1:]] != part[gone[:-1]]) | (a[gone[1:]] > b[gone[:-1]] + LENGTH))))
+                tail = np.concatenate((head[1:] - 1, [len(gone) - 1]))
+                yield _batch(_GONE, _mix(doc[gone[head]].astype(np.uint64)).view(np.int64), 0, doc[gone[head]], a[gone[head]], b[gone[tail]], 0)
 
 
 def _complete(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list]:
