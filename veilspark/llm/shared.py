@@ -22,12 +22,16 @@ WHITE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Folders made for sessions that name none, by application.
+_own: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """The shared folder: the session's checkpoint directory, or a new one if unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="veilspark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _own.get(app) or _own.setdefault(app, tempfile.mkdtemp(prefix="veilspark-"))
     return root.rstrip("/")
 
 
