@@ -202,6 +202,29 @@ def test_repeats_brute_force(spark):
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out] == brute_repeats(texts)
 
 
+def test_repeats_of_hot_lines(spark):
+    rng = np.random.default_rng(12)
+    word = lambda: bytes(rng.integers(97, 123, 6).tolist()).decode()
+    line = "the same short line stands here"
+    passage = " ".join(word() for _ in range(20))
+    texts = [" ".join([*(word() for _ in range(14)), line, *(word() for _ in range(14)), passage, *(word() for _ in range(9))]) for _ in range(120)]
+    texts += [texts[5][20:260] + word() * 20, texts[7][:200] + texts[9][:200], texts[3]]
+    rows = docs(spark, [(i, t, "s") for i, t in enumerate(texts)]).repartition(7)
+    for hot in (1, 3, 40, repeats.HOT):
+        out = repeats.remove_repeats(rows, hot=hot).orderBy("doc_id").collect()
+        assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out] == brute_repeats(texts)
+
+
+def test_decide_holds_a_bounded_part_of_a_key():
+    rows = sorted([(1, n, n % 7, n, n, n) for n in range(50)] * 2 + [(2, n, 3, 90 + n, 99, 95) for n in range(4)] + [(3, 8, 1, 7, 7, 7)])
+    key, name, doc, a, b, p = np.array(rows, np.int64).T
+    whole = repeats._batch(repeats._ANCHOR, key, name, doc, a, b, p)
+    for step in (1, 2, 3, 7, 50, 1000):
+        out = [r for x in repeats._decide(iter([whole.slice(i, step) for i in range(0, len(key), step)]), 4) for r in x.to_pylist()]
+        kinds = [(r["kind"], r["key"]) for r in out]
+        assert kinds.count((repeats._HOT, 1)) == 50 and kinds.count((repeats._OPEN, 2)) == 4 and kinds.count((repeats._GONE, 0)) == 50 and len(kinds) == 104
+
+
 def test_repeats_edges(spark, edges, none):
     out = repeats.remove_repeats(edges)
     assert out.count() == len(EDGES) and repeats.remove_repeats(none).count() == 0

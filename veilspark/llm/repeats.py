@@ -14,7 +14,9 @@ keeps the method's frame and sorts a sample from which all other positions are i
    disk-backed sort. Every anchor but the first of its name repeats as a whole.
 3. Common prefixes. Only first anchors whose key has several names are undecided; their
    runs' bytes are fetched, and within a key each window is compared with
-   the windows before it, which is where common prefixes and suffixes of runs show.
+   the windows before it, which is where common prefixes and suffixes of runs show. A
+   key with more than ``HOT`` names (a short line that stands in very many documents, with
+   other words around it each time) is split: its windows are dealt by their own hashes.
 4. Induction. Repeated runs and windows become byte intervals of their documents.
 
 Map tasks settle repeats within their own batches before anything is shuffled, so a passage
@@ -44,6 +46,8 @@ LENGTH, GRAM = 100, 16
 SPAN = LENGTH - GRAM + 1
 #: Bytes of text handled at once by a task; longer texts are cut into overlapping pieces.
 BATCH = 4 << 20
+#: Names a key may have before its windows are dealt one by one instead of together.
+HOT = 2048
 _POS = 24
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _S29, _S32 = np.uint64(29), np.uint64(32)
@@ -126,7 +130,7 @@ def pieces(ids: list[int], texts: list[bytes]) -> Iterator[tuple[bytes, np.ndarr
 
 _ROW = "kind int, key long, name long, doc long, a long, b long, p long"
 _NAMES = [c.split()[0] for c in _ROW.split(", ")]
-_ANCHOR, _GONE, _OPEN = 0, 1, 2
+_ANCHOR, _GONE, _OPEN, _HOT = 0, 1, 2, 3
 
 
 def _batch(kind, key, name, doc, a, b, p) -> pa.RecordBatch:
@@ -169,77 +173,145 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _batch(_GONE, _mix(doc[gone[head]].astype(np.uint64)).view(np.int64), 0, doc[gone[head]], a[gone[head]], b[gone[tail]], 0)
 
 
-def _complete(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list]:
-    """Columns of sorted rows in chunks that never split a run of equal values in ``column``."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        key = b.column(column).to_numpy()
-        if held and key[0] == held[-1].column(column)[-1].as_py() == key[-1]:
-            held.append(b)
-            continue
-        cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
-        if cut or (held and held[-1].column(column)[-1].as_py() != key[0]):
-            yield pa.Table.from_batches([*held, b.slice(0, cut)]).combine_chunks()
-            held = [b.slice(cut)]
-        else:
-            held.append(b)
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+def _decide(batches: Iterator[pa.RecordBatch], most: int = HOT) -> Iterator[pa.RecordBatch]:
+    """Anchors sorted by (key, name, doc, a) -> repeated intervals, and anchors that need their bytes.
 
+    Only the first anchors of the last key are held, ``most`` at most: from there on the key
+    is known to be hot, and its rows leave as they come.
+    """
+    last = None  # (key, name) of the row before
+    held = [np.empty(0, np.int64)] * 5  # first anchors (key, doc, a, b, p) of the last key, not yet decided
+    hot = None  # the last key if it is hot
+
+    def sort_out(rows: list[np.ndarray], ended: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held, hot
+        rows = [np.concatenate(x) for x in zip(held, rows)]
+        key = rows[0]
+        if not len(key):
+            return
+        new = np.flatnonzero(_first_of_run(key))
+        n = np.diff(np.append(new, len(key)))
+        kind = np.where((n > most) | (key[new] == (key[0] if hot is None else hot)) & (hot is not None), _HOT, np.where(n > 1, _OPEN, -1))
+        if kind[-1] == _HOT:
+            hot = key[-1]
+        keep = 0 if ended or kind[-1] == _HOT else n[-1]
+        cut = len(key) - keep
+        held = [x[cut:] for x in rows]
+        kind = np.repeat(kind, n)[:cut]
+        for k in (_OPEN, _HOT):
+            key_, doc_, a_, b_, p_ = (x[:cut][kind == k] for x in rows)
+            if len(key_):
+                yield _batch(k, key_, 0, doc_, a_, b_, p_)
 
-def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors sorted by (key, name, doc, a) -> repeated intervals, and anchors that need their bytes."""
-    for t in _complete(batches, 1):
-        kind, key, name, doc, a, b, p = (t.column(c).to_numpy() for c in _NAMES)
+    for batch in batches:
+        kind, key, name, doc, a, b, p = (batch.column(i).to_numpy() for i in range(7))
         gone = kind == _GONE
-        yield _batch(_GONE, 0, 0, doc[gone], a[gone], b[gone] + LENGTH, 0)
-        stay = ~gone
-        key, name, doc, a, b, p = (x[stay] for x in (key, name, doc, a, b, p))
+        if gone.any():
+            yield _batch(_GONE, 0, 0, doc[gone], a[gone], b[gone] + LENGTH, 0)
+        key, name, doc, a, b, p = (x[~gone] for x in (key, name, doc, a, b, p))
         if not len(key):
             continue
         fresh = _first_of_run(key, name)
-        yield _batch(_GONE, 0, 0, doc[~fresh], a[~fresh], b[~fresh] + LENGTH, 0)
-        key, doc, a, b, p = (x[fresh] for x in (key, doc, a, b, p))
-        many = np.zeros(len(key), bool)
-        same = key[1:] == key[:-1]
-        many[1:] |= same
-        many[:-1] |= same
-        yield _batch(_OPEN, key[many], 0, doc[many], a[many], b[many], p[many])
+        fresh[0] = last != (key[0], name[0])
+        last = key[-1], name[-1]
+        if not fresh.all():
+            yield _batch(_GONE, 0, 0, doc[~fresh], a[~fresh], b[~fresh] + LENGTH, 0)
+        yield from sort_out([x[fresh] for x in (key, doc, a, b, p)], False)
+    yield from sort_out([np.empty(0, np.int64)] * 5, True)
+
+
+def _spans(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, first, last) of the runs of touching windows; rows sorted by (doc, start)."""
+    head = np.flatnonzero(_first_of_run(doc, start - np.arange(len(start))))
+    return doc[head], start[head], start[np.append(head[1:] - 1, len(start) - 1)] if len(head) else start[head]
+
+
+def _hashed(key: np.ndarray, doc: np.ndarray, a: np.ndarray, p: np.ndarray, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, start in its document) of every window of ``runs``; windows meet only at one key and one offset."""
+    size = np.array([len(r) for r in runs], np.int64)
+    begin = np.concatenate(([0], np.cumsum(size)[:-1]))
+    count = size - LENGTH + 1
+    row = np.repeat(np.arange(len(runs)), count)
+    nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    h = window_hashes(_words(b"".join(runs)), begin[row] + nth)
+    return _mix(h + key.view(np.uint64)[row] * _C[1] + (p[row] - a[row] - nth).astype(np.uint64) * _C[3]), row, a[row] + nth
+
+
+_RUN = "kind int, key long, doc long, a long, p long, run binary"
+
+
+def _runs(kind: int, key, doc, a, p, run: list | None) -> pa.RecordBatch:
+    n = len(key)
+    arrays = [pa.array(np.full(n, kind, np.int32)), *(pa.array(x, pa.int64()) for x in (key, doc, a, p)), pa.nulls(n, pa.binary()) if run is None else pa.array(run, pa.binary())]
+    return pa.record_batch(arrays, names=[c.split()[0] for c in _RUN.split(", ")])
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents (rid, text, list of (key, a, b, p)) -> (key, doc, a, p, bytes of the run)."""
+    """Documents (rid, text, list of (kind, key, a, b, p)) -> rows of ``_RUN``.
+
+    An open anchor brings its run's bytes and is dealt by its key. The windows of a hot
+    key are dealt one by one, by their hashes, the first of a batch only; the rest of
+    the batch is settled and leaves as intervals (a, p) of ``_GONE``.
+    """
+
+    def windows(hot: list[tuple]) -> Iterator[pa.RecordBatch]:
+        key, doc, a, p = (np.array(x, np.int64) for x in list(zip(*hot))[:4])
+        h, row, start = _hashed(key, doc, a, p, [x[4] for x in hot])
+        order = np.lexsort((start, doc[row], h))
+        fresh = np.empty(len(h), bool)
+        fresh[order] = _first_of_run(h[order])
+        yield _runs(_HOT, h[fresh].view(np.int64), doc[row[fresh]], start[fresh], start[fresh], None)
+        old = np.flatnonzero(~fresh)
+        old = old[np.lexsort((start[old], doc[row[old]]))]
+        d, first, last = _spans(doc[row[old]], start[old])
+        yield _runs(_GONE, _mix(d.astype(np.uint64)).view(np.int64), d, first, last + LENGTH, None)
+
     for batch in batches:
-        key, doc, a, p, runs = [], [], [], [], []
-        for i, t, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            data = t.encode()
+        whole: list[tuple] = []
+        hot: list[tuple] = []
+        size = 0
+        for i, t, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            data = t.as_py().encode()
             for w in wanted:
-                key.append(w["key"])
-                doc.append(i)
-                a.append(w["a"])
-                p.append(w["p"])
-                runs.append(data[w["a"] : w["b"] + LENGTH])
-        yield pa.record_batch([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(a, pa.int64()), pa.array(p, pa.int64()), pa.array(runs, pa.binary())], names=["key", "doc", "a", "p", "run"])
+                (hot if w["kind"] == _HOT else whole).append((w["key"], i, w["a"], w["p"], data[w["a"] : w["b"] + LENGTH]))
+                size += w["b"] + LENGTH - w["a"]
+                if size > BATCH:
+                    if whole:
+                        yield _runs(_OPEN, *zip(*whole))
+                    if hot:
+                        yield from windows(hot)
+                    whole, hot, size = [], [], 0
+        if whole:
+            yield _runs(_OPEN, *zip(*whole))
+        if hot:
+            yield from windows(hot)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs sorted by (key, doc, a) -> intervals of windows that some earlier run has too."""
+    """Rows of ``_RUN`` sorted by (key, doc, a) -> intervals of windows that some earlier run has too.
+
+    What is kept between batches: the window hashes of one key (``HOT`` runs at most),
+    or the one hash of a hot window.
+    """
     seen_key, seen = None, np.empty(0, np.uint64)
+    hot_key = None
     for batch in batches:
-        if not batch.num_rows:
+        kind, key, doc, a, p = (batch.column(i).to_numpy() for i in range(5))
+        gone = kind == _GONE
+        if gone.any():
+            yield _batch(_GONE, 0, 0, doc[gone], a[gone], p[gone], 0)
+        hot = kind == _HOT
+        if hot.any():
+            k, d, at = key[hot], doc[hot], a[hot]
+            old = ~_first_of_run(k)
+            old[0] = k[0] == hot_key
+            hot_key = k[-1]
+            yield _batch(_GONE, 0, 0, d[old], at[old], at[old] + LENGTH, 0)
+        whole = np.flatnonzero(kind == _OPEN)
+        if not len(whole):
             continue
-        key, doc, a, p = (batch.column(i).to_numpy() for i in range(4))
-        runs = batch.column(4).to_pylist()
-        size = np.array([len(r) for r in runs])
-        begin = np.concatenate(([0], np.cumsum(size)[:-1]))
-        count = size - LENGTH + 1
-        row = np.repeat(np.arange(len(runs)), count)
-        nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        buffer = b"".join(runs)
-        h = window_hashes(_words(buffer), begin[row] + nth)
-        h = _mix(h + key.view(np.uint64)[row] * _C[1] + (p[row] - a[row] - nth).astype(np.uint64) * _C[3])
+        key, doc, a, p = (x[whole] for x in (key, doc, a, p))
+        h, row, start = _hashed(key, doc, a, p, batch.column(5).take(pa.array(whole)).to_pylist())
         order = np.argsort(h, kind="stable")
         fresh = np.empty(len(h), bool)
         fresh[order] = _first_of_run(h[order])
@@ -247,16 +319,14 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             head = key[row] == seen_key
             at = np.minimum(np.searchsorted(seen, h[head]), len(seen) - 1)
             fresh[np.flatnonzero(head)[seen[at] == h[head]]] = False
-        tail = key[row] == key[-1]
-        now = h[tail & fresh]
+        now = h[(key[row] == key[-1]) & fresh]
         seen = np.union1d(seen, now) if seen_key == key[-1] else np.sort(now)
         seen_key = key[-1]
         old = np.flatnonzero(~fresh)
-        start = a[row[old]] + nth[old]
-        new = _first_of_run(row[old], start - np.arange(len(old)))
-        head = np.flatnonzero(new)
-        last = np.concatenate((head[1:] - 1, [len(old) - 1])) if len(head) else head
-        yield _batch(_GONE, 0, 0, doc[row[old[head]]] if len(old) else np.empty(0, np.int64), start[head], start[last] + LENGTH, 0)
+        if len(old):
+            head = np.flatnonzero(_first_of_run(row[old], start[old] - np.arange(len(old))))
+            last = np.append(head[1:] - 1, len(old) - 1)
+            yield _batch(_GONE, 0, 0, doc[row[old[head]]], start[old[head]], start[old[last]] + LENGTH, 0)
 
 
 def _merge(spans: list) -> list[tuple[int, int]]:
@@ -294,19 +364,20 @@ def _remove(with_text: bool):
     return run
 
 
-def repeated(docs: DataFrame) -> DataFrame:
+def repeated(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc, a, b): byte intervals to remove from documents (rid, text); they may touch or overlap."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sampled = docs.mapInArrow(_sample, _ROW)
-    decided = stage(sampled.repartition(n, "key", "kind").sortWithinPartitions("key", "name", "doc", "a").mapInArrow(_decide, _ROW), "repeats-decided")
-    wanted = decided.filter(F.col("kind") == _OPEN).groupBy("doc").agg(F.collect_list(F.struct("key", "a", "b", "p")).alias("wanted"))  # bounded by the document
-    runs = docs.join(wanted, docs.rid == wanted.doc).select("rid", "text", "wanted").mapInArrow(_fetch, "key long, doc long, a long, p long, run binary")
+    decided = stage(sampled.repartition(n, "key", "kind").sortWithinPartitions("key", "name", "doc", "a").mapInArrow(lambda batches: _decide(batches, hot), _ROW), "repeats-decided")
+    undecided = decided.filter(F.col("kind").isin(_OPEN, _HOT))
+    wanted = undecided.groupBy("doc").agg(F.collect_list(F.struct("kind", "key", "a", "b", "p")).alias("wanted"))  # bounded by the document
+    runs = docs.join(wanted, docs.rid == wanted.doc).select("rid", "text", "wanted").mapInArrow(_fetch, _RUN)
     compared = runs.repartition(n, "key").sortWithinPartitions("key", "doc", "a").mapInArrow(_compare, _ROW)
     gone = decided.filter(F.col("kind") == _GONE).select("doc", "a", "b").unionByName(compared.select("doc", "a", "b"))
     return gone
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans: bool = False, hot: int = HOT) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256 (and the removed ``spans``)."""
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     whole = docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
@@ -316,7 +387,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     else:  # order rows of equal and null ids, too
         keyed = rows.select(F.col("id").isNull().alias("last"), "id", F.xxhash64("text").alias("h"), "text")
         numbered_rows = numbered(keyed, ["last", "id", "h"], "rid")[0].select("rid", "id", "text")
-    gone = repeated(numbered_rows.select("rid", "text"))
+    gone = repeated(numbered_rows.select("rid", "text"), hot)
     per_doc = gone.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("gone"))  # bounded by the document
     joined = numbered_rows.join(per_doc, numbered_rows.rid == per_doc.doc, "left").select("id", "text", "gone")
     kind = docs.schema[id_col].dataType.simpleString()
