@@ -105,6 +105,7 @@ def test_mixing(spark, edges, none):
     assert again.sort_values("doc_id").taken.tolist() == got.sort_values("doc_id").taken.tolist()
     mixed = mixing.mix(docs(spark, rows))
     assert mixed.columns == [f.name for f in DOCS]
+    assert mixed.select("__key", "size", "u", "key", "id").distinct().collect() == [("x",) * 5]
     n = mixed.groupBy("doc_id").count().toPandas().set_index("doc_id")["count"]
     want = got[got.taken > 0].set_index("doc_id")
     assert (want.taken / want["size"]).astype(int).to_dict() == n.to_dict()

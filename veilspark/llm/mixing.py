@@ -152,11 +152,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     _, bounds = plan_mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **options)
     few = bounds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    b = bounds.select(F.struct(*bounds.columns).alias("__mix"), F.col("source_key").alias("__key"))
-    joined = docs.withColumn("__key", source_key(source_col)).join(F.broadcast(b) if few else b, "__key")
-    size, m = words(text_col), F.col("__mix")
-    y = rank(uniform(id_col, text_col, seed), m["p"])
-    more = (y <= m["cut"]) | ((size <= m["room"]) & (y <= m["cut2"])) | (y == F.coalesce(m["single"], F.lit(-1.0)))
-    n = F.when(size > 0, m["whole"] + F.when(F.coalesce(more, F.lit(False)), 1).otherwise(0)).otherwise(0)
-    repeats = F.when(n > 0, F.sequence(F.lit(1), n.cast("int")))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(repeats).alias("__copy")).drop("__copy")
+    # the row travels as one struct: its column names may clash with any of these
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source_key(source_col).alias("source_key"), words(text_col).alias("size"), uniform(id_col, text_col, seed).alias("u"))
+    joined = rows.join(F.broadcast(bounds) if few else bounds, "source_key").withColumn("y", rank(F.col("u"), F.col("p")))
+    taken = joined.select("row", F.when(F.col("size") > 0, copies(F.col("size"), F.col("y"))).otherwise(0).cast("int").alias("n"))
+    # array_repeat of nothing is empty, so no copy comes of rows that are not taken
+    return taken.select(F.explode(F.array_repeat(F.lit(1), F.col("n"))), "row").select("row.*")
