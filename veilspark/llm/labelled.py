@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import stage
+
 #: Rows per class and UTF-8 bytes per class that a classifier may be fitted on.
 SAMPLE_ROWS, SAMPLE_BYTES = 4000, 16 << 20
 FOLDS, HELD_OUT = 4, 2
@@ -23,8 +25,8 @@ def held_out(id_col: str = "doc_id") -> Column:
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> tuple[dict[int, list[str]], dict[int, int]]:
     """Texts of each class, in an order fixed by a hash of their ids, and the class's labelled ids in all.
 
-    At most ``rows`` labelled ids a class, of those the first ``size`` bytes of whole
-    texts. Held-out ids, null labels and labels other than 0 and 1 are left out; an id
+    At most ``rows`` labelled ids a class, of those whole texts of ``size`` bytes in all: in
+    that order, a text that does not fit any more is passed over and later ones are taken. Held-out ids, null labels and labels other than 0 and 1 are left out; an id
     labelled more than once counts if its labels agree.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("y IN (0, 1)").filter(~held_out("id") & F.col("id").isNotNull())
@@ -32,9 +34,14 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "do
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = known.filter("y = 0").orderBy("at", "id").limit(rows).unionByName(known.filter("y = 1").orderBy("at", "id").limit(rows))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = texts.join(F.broadcast(picked), "id").groupBy("id", "y", "at").agg(F.min("text").alias("text"))  # at most 2 * rows rows
-    run = F.sum(F.octet_length("text")).over(Window.partitionBy("y").orderBy("at", "id"))
-    bounded = found.withColumn("run", run).filter(F.col("run") <= size).select("y", "at", "id", "text").collect()
+    found = stage(texts.join(F.broadcast(picked), "id").groupBy("id", "y", "at").agg(F.min("text").alias("text")), "labelled-texts")  # at most 2 * rows rows
+    used, fits = {0: 0, 1: 0}, []
+    for r in sorted(found.select("at", "id", "y", F.octet_length("text").alias("n")).collect()):
+        if used[r["y"]] + r["n"] <= size:
+            used[r["y"]] += r["n"]
+            fits.append((r["id"],))
+    taken = docs.sparkSession.createDataFrame(fits, found.select("id").schema)
+    bounded = found.join(F.broadcast(taken), "id").select("y", "at", "id", "text").collect()
     out: dict[int, list[str]] = {0: [], 1: []}
     for r in sorted(bounded, key=lambda r: (r["at"], r["id"])):
         out[r["y"]].append(r["text"])
