@@ -9,7 +9,8 @@ write them range-partitioned and sorted by key, so nodes that collide on the key
 lie next to each other as a chain. Equality is always decided on bytes: a node
 is found by aggregating on (key, whole normalised text), in which Spark's hash
 table chains colliding keys and compares the bytes, and copies collapse in the
-map task before anything is shuffled. Probing joins narrow (key, digest) rows only.
+map task before anything is shuffled. Probing joins narrow (key, digest) rows only;
+it does not read the directory, which lays out the index files and decides no result.
 
 Edge cases. Null text counts as empty; all empty texts form one group. Null
 doc_ids sort last: they stay only if every copy has a null doc_id. Repeated
@@ -66,8 +67,7 @@ def build_directory(loads: dict[int, int], max_depth: int, capacity: int) -> Dir
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_depth: int = MAX_DEPTH, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
     """(entries, nodes): a narrow row per document and the staged index.
 
-    ``entries``: id, key, digest. ``nodes``: bucket, key, chain (position among
-    nodes of the same key), digest, keep_id, group_size.
+    ``entries``: id, key, digest. ``nodes``: key, digest, keep_id, group_size, bucket.
     """
     spark = docs.sparkSession
     norm = F.regexp_replace(text_or_empty(text_col), WHITE, " ")
