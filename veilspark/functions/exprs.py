@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,13 +48,18 @@ def edges(bins: int, low: float = 0.0, high: float = 1.0) -> list[float]:
 
 def digitize(df: DataFrame, columns: Sequence[str], bins: int, suffix: str = "_bin") -> DataFrame:
     """Left-closed bins over [0, 1]; 1.0 falls into the last one. Exact at every edge."""
-    inner = edges(bins)
-    inner[0], inner[-1] = -math.inf, math.inf
+    inner = edges(bins)[1:-1]
     safe = {c: f"__b{i}" for i, c in enumerate(columns)}
     df = df.withColumns({v: clip_numeric(col(k)) for k, v in safe.items()})
-    model = Bucketizer(splitsArray=[inner] * len(safe), inputCols=list(safe.values()), outputCols=[v + "o" for v in safe.values()])
-    out = model.transform(df)
-    return out.withColumns({k + suffix: F.col(v + "o").cast("int") for k, v in safe.items()}).drop(*safe.values(), *[v + "o" for v in safe.values()])
+    return df.withColumns({k + suffix: bin_of(F.col(v), inner) for k, v in safe.items()}).drop(*safe.values())
+
+
+def bin_of(x: Column, inner: Sequence[float], first: int = 0) -> Column:
+    """The number of ``inner`` edges at or below ``x``, by bisection in nested conditions."""
+    if not inner:
+        return F.lit(first)
+    middle = len(inner) // 2
+    return F.when(x < inner[middle], bin_of(x, inner[:middle], first)).otherwise(bin_of(x, inner[middle + 1 :], first + middle + 1))
 
 
 def midpoint(code: Column, bins: int) -> Column:

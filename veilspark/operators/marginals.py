@@ -1,13 +1,14 @@
 """Dense marginals over public domains, dependency scores, workloads.
 
-All requested attribute sets are counted in one pass with grouping sets; partial aggregation
-leaves at most the public grid per task. Densifying joins broadcast grids whose size the schema sets.
+All requested attribute sets are counted in one pass over one integer key; partial aggregation
+leaves at most the public grid per task. Grids to densify with have the size that the schema sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from itertools import combinations
+from math import prod
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,23 +37,44 @@ def observed_sizes(coded: DataFrame, attributes: Sequence[str]) -> DataFrame:
     return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("attr"), col(a).cast("long").alias("size")) for a in attributes])).alias("x")).select("x.attr", "x.size")
 
 
-def counts(coded: DataFrame, sets: Sequence[tuple[str, ...]], by: Sequence[str] = ()) -> DataFrame:
-    """(by..., set_id, attributes..., n) for every attribute set, in one grouping-sets pass."""
-    attributes = list(dict.fromkeys(a for s in sets for a in s))
-    tick = lambda a: "`" + a.replace("`", "``") + "`"
-    view = coded.select(*by, *[col(a) for a in attributes])
-    listed = ", ".join("(" + ", ".join([*map(tick, by), *map(tick, s)]) + ")" for s in sets)
-    bits = {}
+def counted(coded: DataFrame, sets: Sequence[tuple[str, ...]], attributes: Mapping[str, int], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., cell, n): how many rows fall into each cell of the attribute sets' tables laid end to end.
+
+    A row becomes one integer per set (its position in mixed radix behind the sets before it),
+    so the only key that is grouped and shuffled is that integer; map tasks fold their rows to at most the public grid.
+    Codes outside an attribute's size go to cell -1.
+    """
+    cells, offset = [], 0
+    for s in sets:
+        at, inside = F.lit(0).cast("long"), F.lit(True)
+        for a in s:
+            at = at * attributes[a] + col(a)
+            inside = inside & (col(a) >= 0) & (col(a) < attributes[a])
+        cells.append(F.when(inside, at + offset).otherwise(F.lit(-1)))
+        offset += prod(attributes[a] for a in s)
+    return coded.select(*by, F.explode(F.array(*cells)).alias("cell")).groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("n"))
+
+
+def marginal_tables(coded: DataFrame, sets: Sequence[tuple[str, ...]], attributes: Mapping[str, int], by: Sequence[str] = (), groups: DataFrame | None = None) -> DataFrame:
+    """(by..., set_id, attrs, codes, n): dense tables of attribute sets of any degree, from one pass.
+
+    ``groups`` lists the values of ``by`` that get tables; without it, those that rows have.
+    """
+    spark = coded.sparkSession
+    about, offset = [], 0
     for i, s in enumerate(sets):
-        mask = 0
-        for a in attributes:  # grouping_id: a set bit marks a column that is rolled away
-            mask = mask << 1 | (a not in s)
-        bits[mask] = i
-    every = [*map(tick, by), *map(tick, attributes)]
-    sql = f"SELECT {', '.join(every)}, grouping_id({', '.join(every)}) AS gid, count(1) AS n FROM {{coded}} GROUP BY GROUPING SETS ({listed})"
-    grouped = coded.sparkSession.sql(sql, coded=view)
-    set_id = F.element_at(F.create_map(*[x for m, i in bits.items() for x in (F.lit(m), F.lit(i))]), F.col("gid").cast("int"))
-    return grouped.withColumn("set_id", set_id).drop("gid")
+        shape = [attributes[a] for a in s]
+        strides = [prod(shape[j + 1 :]) for j in range(len(s))]
+        about.append((i, list(s), shape, strides, offset, prod(shape)))
+        offset += prod(shape)
+    about = spark.createDataFrame(about, "set_id int, attrs array<string>, shape array<int>, strides array<long>, offset long, cells long")
+    grid_ = about.withColumn("rel", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
+    codes = F.zip_with("shape", "strides", lambda n, t: (F.floor(F.col("rel") / t) % n).cast("int"))
+    dense = grid_.select("set_id", "attrs", codes.alias("codes"), (F.col("offset") + F.col("rel")).alias("cell"))
+    if by:
+        dense = dense.crossJoin(F.broadcast(coded.select(*by).distinct() if groups is None else groups))  # groups are clusters: few
+    found = counted(coded, sets, attributes, by)
+    return dense.join(found, [*by, "cell"], "left").select(*by, "set_id", "attrs", "codes", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def grid(spark, attributes: Mapping[str, int], set_: tuple[str, ...]) -> DataFrame:
@@ -85,36 +107,31 @@ def target_star(features: Sequence[str]) -> list[tuple[str, str]]:
     return [(f, "target") for f in features]
 
 
-def pair_marginals(coded: DataFrame, pairs: Sequence[tuple[str, str]], attributes: Mapping[str, int], by: Sequence[str] = ()) -> DataFrame:
+def pair_marginals(coded: DataFrame, pairs: Sequence[tuple[str, str]], attributes: Mapping[str, int], by: Sequence[str] = (), groups: DataFrame | None = None) -> DataFrame:
     """(by..., attr_a, attr_b, code_a, code_b, n): dense tables of all pairs from one pass."""
-    spark = coded.sparkSession
-    found = counts(coded, pairs, by)
-    pick = lambda side: F.coalesce(*[F.when(F.col("set_id") == i, col(p[side])) for i, p in enumerate(pairs)])
-    long = found.select(*by, "set_id", pick(0).alias("code_a"), pick(1).alias("code_b"), "n")
-    ids = spark.createDataFrame([(i, a, b, attributes[a], attributes[b]) for i, (a, b) in enumerate(pairs)], "set_id int, attr_a string, attr_b string, size_a int, size_b int")
-    seq = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    cells = ids.withColumn("code_a", seq("size_a")).withColumn("code_b", seq("size_b"))
-    if by:
-        cells = cells.crossJoin(F.broadcast(coded.select(*by).distinct()))  # groups are clusters: few
-    return cells.join(long, [*by, "set_id", "code_a", "code_b"], "left").select(*by, "attr_a", "attr_b", "code_a", "code_b", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    t = marginal_tables(coded, pairs, attributes, by, groups)
+    return t.select(*by, F.col("attrs")[0].alias("attr_a"), F.col("attrs")[1].alias("attr_b"), F.col("codes")[0].alias("code_a"), F.col("codes")[1].alias("code_b"), "n")
 
 
-def independence_difference(pairs: DataFrame, masked: bool = False) -> DataFrame:
+def independence_difference(pairs: DataFrame) -> DataFrame:
     """(attr_a, attr_b, indif): sum over the dense table of |n_a n_b / N - n_ab|, N at least 1.
 
-    Row and column sums come from the pair table itself, so nothing is scanned again. With
-    ``masked`` pairs without the target score 0.
+    Row and column sums come from the pair table itself, so nothing is scanned again.
     """
     from pyspark.sql import Window
 
     pair = ["attr_a", "attr_b"]
     total = F.greatest(F.sum("n").over(Window.partitionBy(*pair)), F.lit(1)).cast("double")
     na, nb = (F.sum("n").over(Window.partitionBy(*pair, c)).cast("double") for c in ("code_a", "code_b"))
-    gap = pairs.withColumn("gap", F.abs(na * nb / total - F.col("n")))
-    score = F.sum("gap")
-    if masked:
-        score = F.when((F.col("attr_a") == "target") | (F.col("attr_b") == "target"), score).otherwise(F.lit(0.0))
-    return gap.groupBy(*pair).agg(score.alias("indif"))
+    return pairs.withColumn("gap", F.abs(na * nb / total - F.col("n"))).groupBy(*pair).agg(F.sum("gap").alias("indif"))
+
+
+def target_difference(coded: DataFrame, pairs: Sequence[tuple[str, str]], attributes: Mapping[str, int]) -> DataFrame:
+    """``independence_difference`` of the pairs with the target; all others score 0 and are not counted."""
+    with_target = [p for p in pairs if "target" in p]
+    rest = [(a, b, 0.0) for a, b in pairs if "target" not in (a, b)]
+    found = independence_difference(pair_marginals(coded, with_target, attributes))
+    return found.unionByName(coded.sparkSession.createDataFrame(rest, "attr_a string, attr_b string, indif double"))
 
 
 def workload_answers(pairs: DataFrame) -> DataFrame:

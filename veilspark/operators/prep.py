@@ -11,10 +11,13 @@ from ..sources.schema import PublicSchema
 
 
 def clean(df: DataFrame) -> DataFrame:
-    """Cells that read exactly ``?`` become null; rows with any null go."""
+    """Rows without a null and without a cell that reads exactly ``?``: plain comparisons, which reach the scan."""
     text = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
-    cells = [F.when(col(c) == "?", None).otherwise(col(c)).alias(c) if c in text else col(c) for c in df.columns]
-    return df.select(*cells).na.drop("any")
+    for c in df.columns:
+        df = df.filter(col(c).isNotNull())
+        if c in text:
+            df = df.filter(col(c) != "?")
+    return df
 
 
 def lower_names(df: DataFrame) -> DataFrame:

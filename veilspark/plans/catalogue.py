@@ -353,7 +353,8 @@ def indif_pairs(spark, d):
 
 @query("WITH " + _pairs_sql(ALL_PAIRS) + INDIF + " SELECT attr_a, attr_b, round(sum(CASE WHEN attr_b = 'target' THEN abs(na * nb / total - n) ELSE 0.0::DOUBLE END), 4) AS indif FROM t GROUP BY attr_a, attr_b")
 def indif_target_only(spark, d):
-    return marginals.independence_difference(_line_pairs(spark, d, ALL_PAIRS), masked=True).withColumn("indif", F.round("indif", 4))
+    coded = marginals.encode_rows(declared(spark, d, "lineitem"), DECLARED["lineitem"])
+    return marginals.target_difference(coded, ALL_PAIRS, LINE_SIZES).withColumn("indif", F.round("indif", 4))
 
 
 @query("WITH " + _pairs_sql(ALL_PAIRS) + f" SELECT attr_a, attr_b, code_a, code_b, {_r('n / greatest(sum(n) OVER (PARTITION BY attr_a, attr_b), 1)::DOUBLE')} AS answer FROM m")
