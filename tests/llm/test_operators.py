@@ -63,13 +63,47 @@ def test_dedup_keeps_one_of_identical_rows(spark):
     assert sorted((r.doc_id or 0) for r in exact_dedup.dedup(same).collect()) == [0, 1]
 
 
-def test_directory_doubles_and_covers():
-    loads = {c: 10 * (c % 7) ** 3 for c in range(64)}
-    d = exact_dedup.build_directory(loads, 6, 900)
-    cells = [c for a, b, _ in d.buckets for c in range(a, b + 1)]
-    assert cells == list(range(64)) and d.depth == max(x for _, _, x in d.buckets)
-    assert all(sum(loads[c] for c in range(a, b + 1)) <= 900 or x == 6 for a, b, x in d.buckets)
-    assert exact_dedup.build_directory({}, 6, 1).buckets == ((0, 63, 0),)
+def test_directory_doubles_and_covers(spark):
+    keys = spark.range(3000).select(F.xxhash64("id").alias("key"), F.lit(1).cast("long").alias("n"))
+    d = exact_dedup.build_directory(keys, 40)
+    ends = [(p << (64 - b), (p + 1) << (64 - b)) for p, b in d.buckets]
+    assert ends[0][0] == 0 and ends[-1][1] == 1 << 64 and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
+    held = [r["key"] % (1 << 64) for r in keys.collect()]
+    assert max(sum(a <= k < b for k in held) for a, b in ends) <= 40 and d.depth == max(b for _, b in d.buckets)
+    assert len(d.cells()) == 1 << exact_dedup.LEVEL
+    # keys that share 40 bits are told apart by deeper ones; a single hot key stays whole
+    near = [((5 << 24) | i, 1) for i in range(100)] + [(-7, 1000)]
+    deep = exact_dedup.build_directory(spark.createDataFrame(near, "key long, n long"), 10)
+    assert deep.depth == 64 and ((1 << 64) - 7, 64) in deep.buckets
+    assert exact_dedup.build_directory(keys.limit(0)).buckets == ((0, 0),)
+
+
+@pytest.mark.parametrize("bits", [64, 2])
+def test_collision_chains_compare_bytes(spark, bits):
+    rows = [(i, f"text {i * i % 211}" if i % 3 else "the hot text", "s") for i in range(1200)]
+    table = docs(spark, rows).repartition(5)
+    index, directory = exact_dedup.build_index(table, capacity=16, key_bits=bits)
+    assert len(directory.buckets) > (20 if bits == 64 else 1) and index.filter("parts > 1").count() > 0
+    if bits < 64:
+        assert index.agg(F.max("chain")).first()[0] > 1 and index.select("key").distinct().count() <= 1 << bits
+    owners = index.groupBy("bucket", "part").agg(F.min("key").alias("low"), F.max("key").alias("high")).count()
+    assert owners > 1
+    want = {}
+    for i, t, _ in rows:
+        want.setdefault(t, []).append(i)
+    for r in exact_dedup.exact_dedup(table, capacity=16, key_bits=bits).collect():
+        t = rows[r.doc_id][1]
+        assert (r.keep_id, r.group_size, r.kept, r.text_sha256) == (want[t][0], len(want[t]), r.doc_id == want[t][0], hashlib.sha256(t.encode()).hexdigest())
+    kept = exact_dedup.dedup(table, capacity=16, key_bits=bits).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(g[0] for g in want.values()) and all(r.text == rows[r.doc_id][1] for r in kept)
+
+
+def test_dedup_leaves_any_column_alone(spark):
+    names = ["__id", "__digest", "row", "raw", "plain", "part", "parts", "bucket", "cell", "nth", "keep_id", "n"]
+    table = spark.createDataFrame([(i, f"a{i % 3}", *["keepme"] * len(names)) for i in range(9)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    assert exact_dedup.exact_dedup(table).count() == 9
+    kept = exact_dedup.dedup(table)
+    assert kept.columns == table.columns and sorted(map(tuple, kept.collect())) == [(i, f"a{i}", *["keepme"] * len(names)) for i in range(3)]
 
 
 def test_sharding(spark, edges, none):

@@ -1,92 +1,168 @@
 """Exact dedup over an extendible-hash index kept on shared files.
 
-Index nodes are distinct normalised texts addressed by the leading bits of a
-64-bit key. A directory of ``2**depth`` cells maps key prefixes to buckets: it
-starts as one bucket, and while a bucket holds more than ``capacity`` nodes the
-bucket is split on its next bit, doubling the directory when the bucket's local
-depth reaches the global depth. Buckets are contiguous key ranges; owner tasks
-write them range-partitioned and sorted by key, so nodes that collide on the key
-lie next to each other as a chain. Equality is always decided on bytes: a node
-is found by aggregating on (key, whole normalised text), in which Spark's hash
-table chains colliding keys and compares the bytes, and copies collapse in the
-map task before anything is shuffled. Probing joins narrow (key, digest) rows only;
-it does not read the directory, which lays out the index files and decides no result.
+A 64-bit key is hashed from every normalised text. Keys are counted first, in
+one narrow pass, and a directory is grown over their leading bits: it starts as one bucket, and
+while a bucket holds more rows than ``capacity`` it is split on its next bit; the
+directory doubles whenever a bucket's local depth would pass the global one. Buckets are
+contiguous key ranges. Then every row is routed through the directory to the task that
+owns its bucket. The owner sorts its rows by (key, text), so that texts whose keys collide
+form a chain, tells the chain's members apart by their bytes, and names for each the
+smallest id and the number of rows. What it finds is the index: one narrow row
+per document, written to the shared folder by key range.
+
+A key that alone exceeds the capacity cannot be split by more bits: it is an overflow chain. Its
+rows are dealt to several owners; each compares its share, and one row per
+owner and text, with its bytes, is compared again, so no task ever reads a whole hot group.
+The capacity is a constant or a fixed share of all rows, whichever is more, so the directory and
+the list of overflow chains have a fixed bound (``BUCKETS``) at every size.
 
 Edge cases. Null text counts as empty; all empty texts form one group. Null
 doc_ids sort last: they stay only if every copy has a null doc_id. Repeated
-doc_ids are ordinary rows. An empty table gives an empty result. Extra columns
-never reach the operator's own names.
+doc_ids are ordinary rows. An empty table gives an empty result. Columns of any other
+name are left alone: the operator reads two columns, and ``dedup`` carries the rest as one struct.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .shared import WHITE, small_or_plain, stage, text_or_empty
 
-MAX_DEPTH = 12
-CAPACITY = 1 << 20
+#: Rows a bucket may hold before it splits, unless that made more than ``BUCKETS`` full ones.
+CAPACITY, BUCKETS = 256, 1024
+#: Bits of the key that are counted at a time while the directory grows.
+LEVEL = 12
+_FLIP = -(1 << 63)  # makes unsigned order of keys the order of longs
 
 
 @dataclass(frozen=True)
 class Directory:
-    """The directory: one (first cell, last cell, local depth) per bucket, in key order."""
+    """(prefix, local depth) of every bucket, in key order; ``depth`` is the global depth."""
 
     depth: int
-    buckets: tuple[tuple[int, int, int], ...]
-
-
-def build_directory(loads: dict[int, int], max_depth: int, capacity: int) -> Directory:
-    """Split overfull buckets until all fit or reach ``max_depth``.
-
-    ``loads`` holds nodes per cell of ``2**max_depth`` cells, so it has a fixed
-    bound whatever the corpus size. A cell that alone exceeds the capacity keeps
-    an overflow chain, which the probe handles like any other.
+    buckets: tuple[tuple[int, int], ...]
+    capacity: int
+
+    def cells(self) -> list[tuple[int, list[tuple[int, int]]]]:
+        """(leading ``LEVEL`` bits, the buckets there as (least key, number)): the directory's pages."""
+        out: list[tuple[int, list[tuple[int, int]]]] = []
+        for number, (prefix, depth) in enumerate(self.buckets):
+            least = (prefix << (64 - depth)) + _FLIP
+            if depth > LEVEL and out and out[-1][0] == prefix >> (depth - LEVEL):
+                out[-1][1].append((least, number))
+            elif depth > LEVEL:
+                out.append((prefix >> (depth - LEVEL), [(least, number)]))
+            else:
+                first = prefix << (LEVEL - depth)
+                out += [(c, [(least, number)]) for c in range(first, first + (1 << (LEVEL - depth)))]
+        return out
+
+
+def split_page(loads: dict[int, int], prefix: int, depth: int, more: int, capacity: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(buckets that fit, cells that need more bits) below one directory page.
+
+    ``loads``: rows per cell of ``more`` bits behind ``prefix``, which has ``depth`` bits.
     """
-    cells = 1 << max_depth
-    prefix = [0] * (cells + 1)
-    for c in range(cells):
-        prefix[c + 1] = prefix[c] + loads.get(c, 0)
-    depth, done, todo = 0, [], [(0, cells, 0)]
+    sums = [0]
+    for c in range(1 << more):
+        sums.append(sums[-1] + loads.get(c, 0))
+    fits, over, todo = [], [], [(0, 0)]
     while todo:
-        first, end, local = todo.pop()
-        if prefix[end] - prefix[first] <= capacity or local == max_depth:
-            done.append((first, end - 1, local))
-            continue
-        if local == depth:
-            depth += 1  # the directory doubles
-        middle = (first + end) // 2
-        todo += [(middle, end, local + 1), (first, middle, local + 1)]
-    return Directory(depth, tuple(sorted(done)))
+        p, d = todo.pop()
+        first, end = p << (more - d), (p + 1) << (more - d)
+        if sums[end] - sums[first] <= capacity:
+            fits.append((prefix << d | p, depth + d))
+        elif d == more:
+            over.append((prefix << d | p, depth + d))
+        else:
+            todo += [(2 * p, d + 1), (2 * p + 1, d + 1)]
+    return fits, over
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_depth: int = MAX_DEPTH, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
-    """(entries, nodes): a narrow row per document and the staged index.
+def _prefix(bits: int) -> Column:
+    return F.shiftrightunsigned("key", 64 - bits)
 
-    ``entries``: id, key, digest. ``nodes``: key, digest, keep_id, group_size, bucket.
+
+def build_directory(keys: DataFrame, capacity: int = CAPACITY) -> Directory:
+    """Grow the directory over counted ``keys`` (key, n).
+
+    Level by level only the keys of overfull cells are counted again, by cell; a cell of 64 bits is
+    one key and stays whole, however many rows it has.
     """
+    rows = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    capacity = max(capacity, -(-rows // BUCKETS))
+    buckets, over, depth = [], [(0, 0)], 0
+    while over:
+        if depth == 64:
+            buckets += over
+            break
+        more = min(LEVEL, 64 - depth)
+        if depth:
+            spark = keys.sparkSession
+            wanted = spark.createDataFrame([(p if p < 1 << 63 else p - (1 << 64),) for p, _ in over], "page long")
+            keys = keys.join(F.broadcast(wanted), _prefix(depth) == F.col("page"), "left_semi")  # at most BUCKETS pages
+        at = _prefix(depth) if depth else F.lit(0).cast("long")
+        cell = _prefix(depth + more).bitwiseAND((1 << more) - 1)
+        pages: dict[int, dict[int, int]] = {}
+        for r in keys.groupBy(at.alias("page"), cell.alias("cell")).agg(F.sum("n").alias("n")).collect():
+            pages.setdefault(r["page"] % (1 << 64), {})[r["cell"]] = r["n"]
+        deeper = []
+        for prefix, d in over:
+            fits, more_over = split_page(pages.get(prefix, {}), prefix, d, more, capacity)
+            buckets += fits
+            deeper += more_over
+        over, depth = deeper, depth + more
+    buckets.sort(key=lambda b: b[0] << (64 - b[1]))
+    return Directory(max(d for _, d in buckets), tuple(buckets), capacity)
+
+
+def text_key(norm: Column, bits: int = 64) -> Column:
+    """The leading ``bits`` of the text's hash; fewer than 64 force collisions, for tests."""
+    h = F.xxhash64(norm)
+    return h if bits == 64 else F.shiftleft(F.shiftrightunsigned(h, 64 - bits), 64 - bits)
+
+
+def _routed(docs: DataFrame, id_col: str, text_col: str, carried: list[Column], capacity: int, key_bits: int) -> tuple[DataFrame, Directory]:
+    """(rows at their owners, directory): id, norm, key, bucket, part, parts and ``carried``."""
     spark = docs.sparkSession
     norm = F.regexp_replace(text_or_empty(text_col), WHITE, " ")
-    rows = docs.select(F.col(id_col).alias("id"), norm.alias("norm"))
-    keyed = rows.withColumn("key", F.xxhash64("norm"))
-    entries = keyed.select("id", "key", F.sha2(F.col("norm").cast("binary"), 256).alias("digest"))
-    # one row per distinct text; partial aggregation folds copies before the shuffle
-    distinct = keyed.groupBy("key", "norm").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    nodes = stage(distinct.select("key", F.sha2(F.col("norm").cast("binary"), 256).alias("digest"), "keep_id", "group_size"), "exact-nodes")
-
-    cell = F.shiftrightunsigned("key", 64 - max_depth).cast("int")
-    loads = {r["cell"]: r["n"] for r in nodes.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    directory = build_directory(loads, max_depth, capacity)
-    schema = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("bucket", T.IntegerType())])
-    of_cell = spark.createDataFrame([(c, b) for b, (first, last, _) in enumerate(directory.buckets) for c in range(first, last + 1)], schema)
-    placed = nodes.withColumn("cell", cell).join(F.broadcast(of_cell), "cell").drop("cell")  # at most 2**max_depth rows
-    owners = max(1, min(len(directory.buckets), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    index = stage(placed.repartitionByRange(owners, "bucket", "key").sortWithinPartitions("bucket", "key", "digest"), "exact-index")
-    return entries, index
+    keys = docs.select(norm.alias("norm")).select(text_key(F.col("norm"), key_bits).alias("key"))
+    keys = stage(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "exact-keys")
+    directory = build_directory(keys, capacity)
+    pages = spark.createDataFrame(directory.cells(), "cell long, buckets array<struct<least: long, number: int>>")
+    chains = keys.filter(F.col("n") > directory.capacity).select("key", F.ceil(F.col("n") / directory.capacity).cast("int").alias("parts"))
+    rows = docs.select(F.col(id_col).alias("id"), norm.alias("norm"), *carried).withColumn("key", text_key(F.col("norm"), key_bits))
+    rows = rows.withColumn("cell", _prefix(LEVEL)).join(F.broadcast(pages), "cell")  # 2**LEVEL rows
+    rows = rows.join(F.broadcast(chains), "key", "left")  # fewer than BUCKETS rows
+    here = F.filter("buckets", lambda b: b["least"] <= F.col("key").bitwiseXOR(_FLIP))
+    rows = rows.withColumn("bucket", F.element_at(here, -1)["number"]).drop("cell", "buckets")
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("part", part).withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return rows.repartition("bucket", "part"), directory
+
+
+def _same_text() -> Window:
+    # the owner's partitioning by (bucket, part) serves; rows come sorted by key, then bytes
+    return Window.partitionBy("key", "bucket", "part", "norm")
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, key_bits: int = 64) -> tuple[DataFrame, Directory]:
+    """(index, directory). The index is staged, a row per document in key ranges:
+
+    id, key, bucket, chain (number of the text among those of its key at this owner), digest,
+    keep_id, group_size; part, parts and, on one row per text of an overflow chain, its bytes (norm).
+    """
+    rows, directory = _routed(docs, id_col, text_col, [], capacity, key_bits)
+    same = _same_text()
+    rows = rows.withColumn("keep_id", F.min("id").over(same)).withColumn("group_size", F.count(F.lit(1)).over(same))
+    rows = rows.withColumn("nth", F.row_number().over(same.orderBy("id")))
+    rows = rows.withColumn("chain", F.dense_rank().over(Window.partitionBy("key", "bucket", "part").orderBy("norm")))
+    bytes_ = F.when((F.col("parts") > 1) & (F.col("nth") == 1), F.col("norm"))
+    digest = F.sha2(F.col("norm").cast("binary"), 256)
+    return stage(rows.select("id", "key", "bucket", "part", "parts", "chain", "keep_id", "group_size", digest.alias("digest"), bytes_.alias("norm")), "exact-index"), directory
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -95,28 +171,33 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Among equal texts the smallest id stays; if a kept id is repeated on equal
     rows, each such row reports ``kept``. ``dedup`` keeps exactly one.
     """
-    entries, index = exact_groups(docs, id_col, text_col, **options)
-    found = entries.join(index.select("key", "digest", "keep_id", "group_size"), ["key", "digest"])
+    index, _ = build_index(docs, id_col, text_col, **options)
+    settled = index.filter("parts = 1").select("id", "digest", "keep_id", "group_size")
+    # overflow chains: one row per owner and text, compared by bytes once more
+    shares = index.filter("norm IS NOT NULL").groupBy("key", "norm").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"), F.first("digest").alias("digest"))
+    chains = stage(shares.select("digest", "keep_id", "group_size"), "exact-chains")
+    rest = index.filter("parts > 1").select("id", "digest").join(small_or_plain(chains), "digest").select("id", "digest", "keep_id", "group_size")
+    found = settled.unionByName(rest)
     return found.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, key_bits: int = 64) -> DataFrame:
     """The documents that stay, with all their columns: one per group of equal texts.
 
-    Decisions come from the index as an anti-join set of dropped ids. When an id
-    repeats, the rows that are equal in id and text are told apart by row copies:
-    only the first of the identical (id, text) rows stays.
+    Rows travel whole to the owner of their bucket, once; a text that normalisation leaves as it is
+    travels once, too. Of rows equal in id and text the one that stays is any of them.
     """
-    entries, index = exact_groups(docs, id_col, text_col, **options)
-    stay = entries.join(index.select("key", "digest", "keep_id"), ["key", "digest"]).filter(F.col("id").eqNullSafe(F.col("keep_id")))
-    stay = stage(stay.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("copies")), "exact-stay")
+    text = F.col(f"`{text_col}`")
+    others = [c for c in docs.columns if c != text_col]
     norm = F.regexp_replace(text_or_empty(text_col), WHITE, " ")
-    tag = docs.withColumn("__id", F.col(id_col)).withColumn("__digest", F.sha2(norm.cast("binary"), 256))
-    single = stay.filter("copies = 1").select(F.col("id").alias("__i"), F.col("digest").alias("__d"))
-    match = F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__digest") == F.col("__d"))
-    once = tag.join(small_or_plain(single), match, "left_semi").select(docs.columns)
-    many = stay.filter("copies > 1").select(F.col("id").alias("__i"), F.col("digest").alias("__d"))
-    if many.isEmpty():
-        return once
-    again = tag.join(many, match, "left_semi").dropDuplicates(["__id", "__digest"]).select(docs.columns)
-    return once.unionByName(again)
+    plain = text.cast("string").eqNullSafe(norm)
+    carried = [F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("row"), plain.alias("plain"), F.when(~plain, text).alias("raw")]
+    rows, _ = _routed(docs, id_col, text_col, carried, capacity, key_bits)
+    order = F.col("id").asc_nulls_last()
+    first = rows.withColumn("nth", F.row_number().over(_same_text().orderBy(order))).filter("nth = 1")
+    # only overflow chains have more than one owner; their few local firsts are compared once more
+    again = first.filter("parts > 1").withColumn("nth", F.row_number().over(Window.partitionBy("key", "norm").orderBy(order))).filter("nth = 1")
+    kept = first.filter("parts = 1").unionByName(again)
+    kind = docs.schema[text_col].dataType
+    back = {text_col: F.when(F.col("plain"), F.col("norm").cast(kind)).otherwise(F.col("raw"))}
+    return kept.select(*[back[c].alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
