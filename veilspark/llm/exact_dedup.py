@@ -40,11 +40,12 @@ _FLIP = -(1 << 63)  # makes unsigned order of keys the order of longs
 
 @dataclass(frozen=True)
 class Directory:
-    """(prefix, local depth) of every bucket, in key order; ``depth`` is the global depth."""
+    """(prefix, local depth) of every bucket, in key order; ``depth`` is the global depth, ``chains`` the number of overflow chains."""
 
     depth: int
     buckets: tuple[tuple[int, int], ...]
     capacity: int
+    chains: int = 0
 
     def cells(self) -> list[tuple[int, list[tuple[int, int]]]]:
         """(leading ``LEVEL`` bits, the buckets there as (least key, number)): the directory's pages."""
@@ -94,6 +95,7 @@ def build_directory(keys: DataFrame, capacity: int = CAPACITY) -> Directory:
     """
     rows = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     capacity = max(capacity, -(-rows // BUCKETS))
+    chains = keys.filter(F.col("n") > capacity).count()
     buckets, over, depth = [], [(0, 0)], 0
     while over:
         if depth == 64:
@@ -116,7 +118,7 @@ def build_directory(keys: DataFrame, capacity: int = CAPACITY) -> Directory:
             deeper += more_over
         over, depth = deeper, depth + more
     buckets.sort(key=lambda b: b[0] << (64 - b[1]))
-    return Directory(max(d for _, d in buckets), tuple(buckets), capacity)
+    return Directory(max(d for _, d in buckets), tuple(buckets), capacity, chains)
 
 
 def text_key(norm: Column, bits: int = 64) -> Column:
@@ -192,12 +194,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capac
     norm = F.regexp_replace(text_or_empty(text_col), WHITE, " ")
     plain = text.cast("string").eqNullSafe(norm)
     carried = [F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("row"), plain.alias("plain"), F.when(~plain, text).alias("raw")]
-    rows, _ = _routed(docs, id_col, text_col, carried, capacity, key_bits)
+    rows, directory = _routed(docs, id_col, text_col, carried, capacity, key_bits)
     order = F.col("id").asc_nulls_last()
     first = rows.withColumn("nth", F.row_number().over(_same_text().orderBy(order))).filter("nth = 1")
-    # only overflow chains have more than one owner; their few local firsts are compared once more
-    again = first.filter("parts > 1").withColumn("nth", F.row_number().over(Window.partitionBy("key", "norm").orderBy(order))).filter("nth = 1")
-    kept = first.filter("parts = 1").unionByName(again)
+    if directory.chains:  # only overflow chains have more than one owner; their few local firsts are compared once more
+        again = first.filter("parts > 1").withColumn("nth", F.row_number().over(Window.partitionBy("key", "norm").orderBy(order))).filter("nth = 1")
+        first = first.filter("parts = 1").unionByName(again)
     kind = docs.schema[text_col].dataType
     back = {text_col: F.when(F.col("plain"), F.col("norm").cast(kind)).otherwise(F.col("raw"))}
-    return kept.select(*[back[c].alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+    return first.select(*[back[c].alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
