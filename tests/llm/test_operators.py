@@ -202,6 +202,74 @@ def test_html():
     assert html_text.extract("<article>" + "<div>" * 3000 + "deep", tree) == "deep"
 
 
+def html_pages():
+    """(html, main text) of invented pages: ten layouts, three articles each."""
+    bodies = [
+        ["The harbour froze early", "In the first week of winter the harbour froze, and for a month no boat could leave.", "Old people said they had seen it twice.", "Bread came over the hills by cart; fish did not come at all, and nobody spoke of the summer."],
+        ["Notes on rye", "Short.", "Rye stands cold better than wheat does, which is why the northern farms kept it for so long.", "One field out of three lay fallow. The others were sown in autumn, rolled in spring, and cut before the rain."],
+        ["A lamp for the stairs", "The old lamp had a brass foot and a glass that rattled whenever a cart went by in the street.", "Ask at the shop.", "We kept it on the third stair from the top, where it threw light both ways and warmed nobody."],
+    ]
+    menu = "<ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li><li><a href=/s>Sport and games</a></li></ul>"
+    comments = "<section id='comments'><h3>2 comments</h3><div class='comment'><p>I was there and it was much colder than that, believe me.</p></div><div class=comment><p>Nice read.</p></div></section>"
+    foot = "<footer><p>&copy; The Paper. <a href=/i>Imprint</a> <a href=/p>Privacy</a></p></footer>"
+    out = []
+    for title, *paragraphs in bodies:
+        ps = "".join(f"<p>{p}</p>" for p in paragraphs)
+        text = " ".join([title, *paragraphs])
+        h1 = f"<h1>{title}</h1>"
+        out += [
+            f"<body><nav>{menu}</nav><div class=ad>Buy a boat now.</div><article>{h1}{ps}</article>{foot}</body>",
+            f"<body><div>{menu}</div><div><h1>{title}</h1>{ps}</div><div><ul><li><a href=a>Ice and how to skate</a></li><li><a href=b>Ten ways to bake</a></li></ul></div></body>",
+            f"<body><header><a href=/>The Paper</a></header><div class='layout has-sidebar'><main>{h1}{ps}</main><div class=sidebar><h4>Most read</h4><p>Everybody reads this one.</p></div></div>{foot}</body>",
+            f"<body><div class='post tags-open'><article class='post has-comments'>{h1}{ps}</article></div>{comments}</body>",
+            f"<body><div class=social><div class='top-menu'>{menu}</div>{h1}{ps}</div>{foot}</body>",
+            f"<form id=page-form action=/><nav>{menu}</nav><main>{h1}{ps}<form class=newsletter><p>Your address please</p><button>Send</button></form></main></form>",
+            f"<main><article><header class='post-header'>{h1}</header>{ps}</article><article class=comment><p>I do not believe a word of it.</p></article></main>{foot}",
+            f"<div role=banner class=cookie-consent><p>We use cookies to make this page better for you and for us.</p></div><article>{h1}{ps.replace('</p>', '')}</article><aside><p>About the author: lives by the sea.</p></aside>",
+            f"<table><tr><td><a href=1>One</a></td><td><a href=2>Two</a></td></tr></table><h1>{title}</h1>{ps}<style>p{{}}</style><div id=footer>All rights reserved.</div>",
+            f"<!doctype html><title>{title}</title><nav>{menu}<main><h1>{title}</h1><ul>" + "".join(f"<li>{p}</li>" for p in paragraphs) + f"</ul></main></nav>{comments}<script>var a = '<p>no</p>';</script>",
+        ]
+        out[-10:] = [(page, text) for page in out[-10:]]
+    return out
+
+
+def test_html_golden_pages():
+    tree = html_text.train()
+    assert len(html_pages()) == 30
+    for page, text in html_pages():
+        assert html_text.extract(page, tree) == text, page
+
+
+def test_html_wrappers_and_own_links():
+    tree = html_text.train()
+    for wrap in ("layout has-sidebar", "post tags-open", "social", "content with-comments"):
+        body = f"<div class='{wrap}'><article><h1>Title here</h1><p>Some words stand here, enough of them to see.</p><p><a href=x>The report</a></p><p>And an end.</p></article></div>"
+        assert html_text.extract(body, tree) == "Title here Some words stand here, enough of them to see. The report And an end."
+
+
+def test_html_labels_are_learned():
+    x, y = html_text.labelled_blocks()
+    tree = html_text.train()
+    assert sum(html_text.keeps(tree, r) != bool(v) for r, v in zip(x, y)) <= 4 and 0.3 < y.mean() < 0.7
+    used = set()
+
+    def walk(node):
+        if isinstance(node, html_text.Split):
+            used.add(html_text.FEATURES[node.feature])
+            walk(node.low), walk(node.high)
+
+    walk(tree)
+    assert {"link_density", "hint_share", "outside"} <= used and used & {"words", "words_before", "words_after"} and used & {"link_before", "link_after", "words_after"}
+
+
+def test_html_edge_tables(spark):
+    wide = spark.createDataFrame([(1, "u", "<p>Some words in a row here</p>", "x", "y", "z")] * 2, "page_id long, url string, html string, id string, text string, n_chars string")
+    assert [tuple(r) for r in html_text.extract_pages(wide).collect()] == [(1, "u", "Some words in a row here", 24)] * 2
+    assert html_text.extract_pages(wide.limit(0)).count() == 0
+    long = "<article>" + "<p>word after word</p>" * 60000 + "</article>"
+    assert html_text.extract(long, html_text.train()) == " ".join(["word after word"] * 60000)
+
+
 def test_html_rows(spark):
     rows = spark.createDataFrame([(1, "u", "<p>Some words in a row here</p>"), (1, None, None), (None, "v", "")], "page_id long, url string, html string")
     out = html_text.extract_pages(rows).toPandas()
