@@ -8,13 +8,15 @@ with two states, by gradient ascent on the penalised likelihood. Its inputs are
 the word, its leading letters, its neighbours, its length class and its letter case.
 
 Scoring. Texts are read whole, sentence by sentence. Forward-backward gives every
-token its probability of being toxic; the document's evidence is the sum of the
-log odds against all its tokens being clean, the highest marginal, and the number of
-expected toxic tokens; a logistic calibrator fitted on labelled documents outside the
-CRF's sample turns them into a score. ``spans`` returns the offending character offsets.
+token its probability of being toxic; the document's evidence is made of the odds against
+all its tokens being clean, the highest marginal, and the weight of its likely
+toxic tokens. Two CRFs are trained, each on one half of the labelled documents, and each gets a logistic
+calibrator fitted on its evidence about the other half; a document's score is the mean of
+the two calibrated probabilities. ``spans`` returns the offending character offsets by the mean of the marginals.
 
-The fit uses a bounded sample (``labelled.SAMPLE_ROWS``, ``SAMPLE_BYTES`` a class) and never
-the held-out fold; scoring is one pass without a shuffle.
+The fit uses a bounded sample (``labelled.SAMPLE_ROWS``, ``SAMPLE_BYTES`` a class, of its
+sentences without a toxic word an even ``QUIET`` at most) and never
+the held-out fold; it is the same at every size. Scoring is one pass without a shuffle.
 
 Edge cases. Null text counts as empty; an empty text has no evidence and gets the
 calibrator's score for none. Without labels of both classes every score is the
@@ -43,7 +45,8 @@ STEM = (4, 5, 6)
 MOSTLY = 0.6
 #: Longest CRF sequence; a longer run without a sentence end is cut at a word, no token is left out.
 LONGEST = 128
-CLEAN_SENTENCES, CROSS = 12_000, 600
+#: Sentences without a toxic word that a class may give to the CRF's training, spread evenly over its texts.
+QUIET = 12_000
 CACHE_ENTRIES = 500_000
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?\n]")
 _ENDS = frozenset(".!?\n")
@@ -75,12 +78,12 @@ def word_features(word: str) -> list[str]:
 
 def neighbour_features(word: str) -> list[str]:
     low = word.lower()
-    return ["w=" + low[:12]]
+    return ["w=" + low]
 
 
 @dataclass
-class Model:
-    """Feature weights towards the toxic state; transitions; calibrator."""
+class Crf:
+    """Feature weights towards the toxic state, transitions, and the calibrator of its evidence."""
 
     own: dict[str, float] = field(default_factory=dict)
     left: dict[str, float] = field(default_factory=dict)
@@ -88,103 +91,116 @@ class Model:
     bias: float = 0.0
     trans: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     calibration: tuple | None = None
+
+
+@dataclass
+class Model:
+    """CRFs whose calibrated scores are averaged; without any, every score is ``prior``."""
+
+    crfs: list[Crf] = field(default_factory=list)
     prior: float = 0.5
 
 
 class Scorer:
-    """A model with word caches: a word's own, left and right contributions are computed once."""
+    """CRFs with a word cache: a word's own, left and right contributions to each are computed once."""
 
-    def __init__(self, model: Model):
-        self.m = model
+    def __init__(self, crfs: list[Crf]):
+        self.crfs = crfs
         self.codes: dict[str, int] = {}
-        self.values: list[tuple[float, float, float]] = []
+        self.values: list[list[float]] = []
+        # feature -> (place among a word's values, weight), so that a word is looked up once for all CRFs
+        self.own: dict[str, list[tuple[int, float]]] = {}
+        self.near: dict[str, list[tuple[int, float]]] = {}
+        for i, m in enumerate(crfs):
+            for table, part, place in ((self.own, m.own, 0), (self.near, m.left, 1), (self.near, m.right, 2)):
+                for f, w in part.items():
+                    table.setdefault(f, []).append((3 * i + place, w))
+        self.bias = [x for m in crfs for x in (m.bias, 0.0, 0.0)]
 
     def _code(self, word: str) -> int:
-        m = self.m
-        own = m.bias + sum(m.own.get(f, 0.0) for f in word_features(word))
-        near = neighbour_features(word)
+        values = self.bias.copy()
+        for table, names in ((self.own, word_features(word)), (self.near, neighbour_features(word))):
+            for f in names:
+                for place, w in table.get(f, ()):
+                    values[place] += w
         c = self.codes[word] = len(self.values)
-        self.values.append((own, sum(m.left.get(f, 0.0) for f in near), sum(m.right.get(f, 0.0) for f in near)))
+        self.values.append(values)
         return c
 
-    def marginals(self, rows: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """(token marginals of the toxic state, log probability that all tokens are clean), rows end to end."""
+    def marginals(self, rows: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per CRF (token marginals of the toxic state, log probability that all tokens are clean), rows end to end."""
         lengths = np.array([len(r) for r in rows])
         if len(self.codes) > CACHE_ENTRIES:
             self.codes, self.values = {}, []
         get, make = self.codes.get, self._code
         codes = np.array([make(w) if (c := get(w)) is None else c for r in rows for w in r], np.int64)
-        own, left, right = np.array(self.values).T
+        values = np.array(self.values).T
         start = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        e = own[codes]
         inner = np.ones(len(codes), bool)
         inner[start] = False
         at = np.flatnonzero(inner)
-        e[at] += left[codes[at - 1]]
-        e[at - 1] += right[codes[at]]
-        return forward_backward(e, start, lengths, self.m.trans)
+        before, after = codes[at - 1], codes[at]
+        out = []
+        for i, m in enumerate(self.crfs):
+            own, left, right = values[3 * i : 3 * i + 3]
+            e = own[codes]
+            e[at] += left[before]
+            e[at - 1] += right[after]
+            out.append(forward_backward(e, start, lengths, m.trans))
+        return out
 
 
 def forward_backward(e: np.ndarray, start: np.ndarray, lengths: np.ndarray, trans: np.ndarray, pairs: bool = False):
     """All sequences at once, one vector step per position.
 
-    ``e``: log potential of state 1 against state 0 for each token. Works with
-    log ratios: a two-state chain needs only log(alpha1 / alpha0). Returns marginals, log P(all clean) per
+    ``e``: log potential of state 1 against state 0 for each token. A two-state chain needs only
+    the ratios alpha1 / alpha0 and beta1 / beta0; each step maps a ratio to one between two constants times
+    the token's odds, so nothing overflows. Returns marginals, log P(all clean) per
     sequence, and with ``pairs`` the expected transition counts and the log partition.
     """
     order = np.argsort(-lengths, kind="stable")
     s, n = start[order], lengths[order]
     longest = int(n[0]) if len(n) else 0
     alive = np.searchsorted(-n, -np.arange(1, longest + 1), side="right")  # sequences with more than t tokens
-    a, b = np.zeros(len(e)), np.zeros(len(e))
-    logz = np.zeros(len(n))  # log of alpha0's total scale
-    t00, t01, t10, t11 = trans.ravel()
-    for t in range(longest):
-        k = alive[t]
-        i = s[:k] + t
-        if t == 0:
-            a[i] = e[i]
-        else:
-            r = a[i - 1]
-            zero = np.logaddexp(t00, r + t10)
-            logz[:k] += zero
-            a[i] = np.logaddexp(t01, r + t11) - zero + e[i]
+    odds = np.exp(np.clip(e, -300, 300))
+    x00, x01, x10, x11 = np.exp(trans.ravel())
+    a, b, scale = odds.copy(), np.ones(len(e)), np.ones(len(e))
+    for t in range(1, longest):
+        i = s[: alive[t]] + t
+        r = a[i - 1]
+        zero = x00 + r * x10
+        scale[i] = zero
+        a[i] = (x01 + r * x11) / zero * odds[i]
     for t in range(longest - 2, -1, -1):
-        k = alive[t + 1]
-        i = s[:k] + t
-        r = b[i + 1] + e[i + 1]
-        b[i] = np.logaddexp(t10, r + t11) - np.logaddexp(t00, r + t01)
-    m = 1 / (1 + np.exp(-np.clip(a + b, -60, 60)))
-    last = s + n - 1
-    logz = logz + np.logaddexp(0, a[last])
-    clean = np.empty(len(n))
-    clean[order] = (n - 1) * t00 - logz
-    if not pairs:
-        return m, clean
+        i = s[: alive[t + 1]] + t
+        r = b[i + 1] * odds[i + 1]
+        b[i] = (x10 + r * x11) / (x00 + r * x01)
+    both = a * b
+    m = both / (1 + both)
     inner = np.ones(len(e), bool)
     inner[start] = False
+    total = np.add.reduceat(np.log(scale), start) + np.log1p(a[start + lengths - 1]) if len(start) else np.zeros(0)
+    clean = (lengths - 1) * trans[0, 0] - total
+    if not pairs:
+        return m, clean
     at = np.flatnonzero(inner)
     # pair posteriors from the left message and the right one
-    left, right = a[at - 1], b[at] + e[at]
-    w = np.stack([np.full(len(at), t00), t01 + right, left + t10, left + t11 + right])
-    w -= w.max(axis=0)
-    w = np.exp(w)
+    left, right = a[at - 1], b[at] * odds[at]
+    w = np.stack([np.full(len(at), x00), x01 * right, left * x10, left * x11 * right])
     w /= w.sum(axis=0)
-    total = np.zeros(len(n))
-    total[order] = logz
     return m, clean, w.sum(axis=1).reshape(2, 2), total
 
 
-def mark(toxic: list[str], clean: list[str]) -> tuple[set[str], set[str]]:
-    """(words, stems) that set toxic documents apart."""
+def mark(toxic: list[list[list[str]]], clean: list[list[list[str]]]) -> tuple[set[str], set[str]]:
+    """(words, stems) that set toxic documents, given as their sentences, apart."""
     seen = []
-    for texts in (toxic, clean):
+    for docs in (toxic, clean):
         words, stems = Counter(), Counter()
-        for t in texts:
-            own = {w.lower() for s in sentences(t) for w in s}
+        for doc in docs:
+            own = {w.lower() for s in doc for w in s}
             words.update(own)
             stems.update({w[:n] for w in own for n in STEM if len(w) > n})
-        seen.append((words, stems, max(1, len(texts))))
+        seen.append((words, stems, max(1, len(docs))))
     (tw, ts, tn), (cw, cs, cn) = seen
     share = tn / (tn + cn)
 
@@ -204,134 +220,156 @@ def mark(toxic: list[str], clean: list[str]) -> tuple[set[str], set[str]]:
     return lopsided(tw, cw), lopsided(ts, cs)
 
 
-def fit_crf(sequences: list[list[str]], tags: list[np.ndarray], rounds: int = 60, rate: float = 0.5, ridge: float = 2e-4) -> Model:
-    """Adaptive gradient ascent on the log likelihood of ``tags``."""
+class Types:
+    """Features of the distinct words of some sequences: for each part (own, left, right) pairs (word, feature)."""
+
+    def __init__(self, words: list[str]):
+        self.codes: dict[str, int] = {}
+        self.at = np.array([self.codes.setdefault(w, len(self.codes)) for w in words], np.int64)
+        often = np.bincount(self.at, minlength=len(self.codes))
+        self.names: list[tuple[str, str]] = []
+        self.parts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for part, of, least in (("own", word_features, 2), ("left", neighbour_features, 3), ("right", neighbour_features, 3)):
+            count: Counter = Counter()
+            listed = [of(w) for w in self.codes]
+            for fs, n in zip(listed, often.tolist()):
+                for f in fs:
+                    count[f] += n
+            ids: dict[str, int] = {}
+            pairs = [(i, ids.setdefault(f, len(self.names) + len(ids))) for i, fs in enumerate(listed) for f in fs if count[f] >= least]
+            self.names += [(part, f) for f in ids]
+            word, feature = zip(*pairs) if pairs else ((), ())
+            self.parts[part] = np.array(word, np.int64), np.array(feature, np.int64)
+
+    def values(self, part: str, weight: np.ndarray) -> np.ndarray:
+        """The sum of a part's weights for each distinct word."""
+        word, feature = self.parts[part]
+        return np.bincount(word, weights=weight[feature], minlength=len(self.codes))
+
+    def gradient(self, part: str, by_word: np.ndarray) -> np.ndarray:
+        word, feature = self.parts[part]
+        return np.bincount(feature, weights=by_word[word], minlength=len(self.names))
+
+
+def fit_crf(sequences: list[list[str]], tags: list[np.ndarray], rounds: int = 60, rate: float = 0.5, ridge: float = 2e-4) -> Crf:
+    """Adaptive gradient ascent on the log likelihood of ``tags``.
+
+    Features belong to words, so potentials and gradients are summed by distinct word, not by token.
+    """
     lengths = np.array([len(s) for s in sequences])
     start = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    words = [w for s in sequences for w in s]
+    words = Types([w for s in sequences for w in s])
     y = np.concatenate(tags).astype(float)
-    ids: dict[str, int] = {}
-    columns, token = [], []
-
-    def use(i: int, name: str) -> None:
-        columns.append(ids.setdefault(name, len(ids)))
-        token.append(i)
-
-    first = set(start.tolist())
-    n = len(words)
-    counts = Counter(f for w in words for f in word_features(w))
-    for i, w in enumerate(words):
-        for f in word_features(w):
-            if counts[f] >= 2:
-                use(i, "o" + f)
-        if i not in first:
-            for f in neighbour_features(words[i - 1]):
-                if counts[f] >= 3:
-                    use(i, "l" + f)
-        if i + 1 < n and i + 1 not in first:
-            for f in neighbour_features(words[i + 1]):
-                if counts[f] >= 3:
-                    use(i, "r" + f)
-        use(i, "b")
-    columns, token = np.array(columns), np.array(token)
-    weight, trans = np.zeros(len(ids)), np.zeros((2, 2))
-    g2, t2 = np.full(len(ids), 1e-8), np.full((2, 2), 1e-8)
+    n, kinds = len(y), len(words.codes)
     inner = np.ones(n, bool)
     inner[start] = False
     at = np.flatnonzero(inner)
+    before, after = words.at[at - 1], words.at[at]
+    weight, bias, trans = np.zeros(len(words.names)), 0.0, np.zeros((2, 2))
+    g2, b2, t2 = np.full(len(weight), 1e-8), 1e-8, np.full((2, 2), 1e-8)
     observed = np.zeros((2, 2))
     np.add.at(observed, (y[at - 1].astype(int), y[at].astype(int)), 1)
     for _ in range(rounds):
-        e = np.bincount(token, weights=weight[columns], minlength=n)
+        e = bias + words.values("own", weight)[words.at]
+        e[at] += words.values("left", weight)[before]
+        e[at - 1] += words.values("right", weight)[after]
         m, _, expected, _ = forward_backward(e, start, lengths, trans, pairs=True)
-        g = np.bincount(columns, weights=(y - m)[token], minlength=len(ids)) - ridge * len(sequences) * weight
+        gap = y - m
+        g = words.gradient("own", np.bincount(words.at, weights=gap, minlength=kinds))
+        g += words.gradient("left", np.bincount(before, weights=gap[at], minlength=kinds))
+        g += words.gradient("right", np.bincount(after, weights=gap[at - 1], minlength=kinds))
+        g -= ridge * len(sequences) * weight
+        b = gap.sum() - ridge * len(sequences) * bias
         h = observed - expected - ridge * len(sequences) * trans
         g2 += g * g
+        b2 += b * b
         t2 += h * h
         weight += rate * g / np.sqrt(g2)
+        bias += rate * b / math.sqrt(b2)
         trans += rate * h / np.sqrt(t2)
-    model = Model(trans=trans)
-    for name, i in ids.items():
-        if abs(weight[i]) > 1e-3:
-            {"o": model.own, "l": model.left, "r": model.right}.get(name[0], {}).__setitem__(name[1:], float(weight[i]))
-    model.bias = float(weight[ids["b"]])
+    model = Crf(trans=trans, bias=float(bias))
+    for (part, f), w in zip(words.names, weight.tolist()):
+        if abs(w) > 1e-3:
+            getattr(model, part)[f] = w
     return model
 
 
-def evidence(texts: list[str], scorer: Scorer) -> np.ndarray:
-    """Per text: capped log odds against all clean, highest marginal's log odds, expected toxic tokens."""
+def evidence(texts: list[str], scorer: Scorer) -> list[np.ndarray]:
+    """Per CRF and text: log of 1 + the squared odds of its sentences, highest marginal's log odds, log of 1 + its squared marginals.
+
+    Squares keep the many small marginals of a long clean text from adding up to a toxic one.
+    """
     split = [sentences(t) for t in texts]
-    x = np.zeros((len(texts), 3))
-    x[:, 1] = -12.0
     rows = [s for doc in split for s in doc]
     if not rows:
-        return x
-    m, clean = scorer.marginals(rows)
+        return [np.tile([0.0, _logit(0.0), 0.0], (len(texts), 1)) for _ in scorer.crfs]
     doc_of_row = np.repeat(np.arange(len(texts)), [len(d) for d in split])
     doc_of_token = np.repeat(doc_of_row, [len(r) for r in rows])
-    quiet = np.bincount(doc_of_row, weights=clean, minlength=len(texts))
-    x[:, 0] = np.minimum(-quiet, 20.0)
-    top = np.full(len(texts), 0.0)
-    np.maximum.at(top, doc_of_token, m)
-    top = np.clip(top, 1e-5, 1 - 1e-5)
-    x[:, 1] = np.log(top / (1 - top))
-    x[:, 2] = np.log1p(np.bincount(doc_of_token, weights=np.where(m > 0.05, m, 0.0), minlength=len(texts)))
-    return x
+    out = []
+    for m, clean in scorer.marginals(rows):
+        any_toxic = -np.expm1(np.minimum(clean, 0.0))
+        top = np.zeros(len(texts))
+        np.maximum.at(top, doc_of_token, m)
+        total = lambda at, w: np.log1p(np.bincount(at, weights=w, minlength=len(texts)))
+        out.append(np.column_stack([total(doc_of_row, any_toxic * any_toxic), _logit(top), total(doc_of_token, m * m)]))
+    return out
+
+
+def _logit(p):
+    p = np.clip(p, 1e-5, 1 - 1e-5)
+    return np.log(p / (1 - p))
+
+
+def scores(texts: list[str], model: Model, scorer: Scorer) -> np.ndarray:
+    if not model.crfs:
+        return np.full(len(texts), model.prior)
+    found = [evidence(part, scorer) for part in parts(texts)]
+    return np.mean([np.concatenate([labelled.logistic(x[i], m.calibration) for x in found]) for i, m in enumerate(model.crfs)], axis=0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     return fit_texts(*labelled.sample(docs, labels, "toxic", id_col, text_col))
 
 
-def train(toxic_texts: list[str], clean_texts: list[str]) -> Model:
-    """A CRF from projected token labels; clean sentences are bounded at ``CLEAN_SENTENCES``."""
-    words, stems = mark(toxic_texts, clean_texts)
+def train(toxic_texts: list[str], clean_texts: list[str]) -> Crf:
+    """A CRF from projected token labels; of each class's sentences without a marked word every n-th, ``QUIET`` at most."""
+    groups = [[sentences(t) for t in texts] for texts in (toxic_texts, clean_texts)]
+    words, stems = mark(*groups)
+    marked: dict[str, bool] = {}
 
     def toxic(word: str) -> bool:
-        low = word.lower()
-        return low in words or any(low[:n] in stems for n in STEM if len(low) > n)
+        if (known := marked.get(word)) is None:
+            low = word.lower()
+            known = marked[word] = low in words or any(low[:n] in stems for n in STEM if len(low) > n)
+        return known
 
     sequences, tags = [], []
-    for group in (toxic_texts, clean_texts):
-        quiet = 0
-        for t in group:
-            for s in sentences(t):
-                y = np.array([toxic(w) for w in s])
-                if y.any() or (quiet := quiet + 1) <= CLEAN_SENTENCES:
-                    sequences.append(s)
-                    tags.append(y)
-    return fit_crf(sequences, tags) if sequences else Model()
+    for docs in groups:
+        tagged = [(s, [toxic(w) for w in s]) for doc in docs for s in doc]
+        quiet = [x for x in tagged if True not in x[1]]
+        for s, y in [x for x in tagged if True in x[1]] + quiet[:: max(1, -(-len(quiet) // QUIET))]:
+            sequences.append(s)
+            tags.append(np.array(y))
+    return fit_crf(sequences, tags) if sequences else Crf()
 
 
 def fit_texts(texts: dict[int, list[str]], counts: dict[int, int]) -> Model:
-    """CRF on one half of the sample, calibrator on the other.
-
-    With fewer than ``CROSS`` toxic texts both halves take both parts in turn, and
-    the CRF that scores is trained on all of them.
-    """
+    """Two CRFs from halves of the sample, each calibrated on the half that it has not seen."""
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.5
     group = {y: list(dict.fromkeys(texts[y])) for y in (0, 1)}  # copies say nothing new about words
     if min(len(group[0]), len(group[1])) < 2:
         return Model(prior=prior)
     halves = [{y: group[y][h::2] for y in (0, 1)} for h in (0, 1)]
-    model = train(halves[0][1], halves[0][0])
-    x, y = [], []
-    turns = [(model, halves[1])]
-    if len(group[1]) < CROSS:
-        turns.append((train(halves[1][1], halves[1][0]), halves[0]))
-    for m, held in turns:
-        scorer = Scorer(m)
-        for c in (0, 1):
-            x += [evidence(part, scorer) for part in parts(held[c])]
-            y += [c] * len(held[c])
-    if len(group[1]) < CROSS:
-        model = train(group[1], group[0])
-    y = np.array(y, float)
-    drawn = {c: int((y == c).sum()) for c in (0, 1)}
-    model.calibration = labelled.to_whole(labelled.fit_logistic(np.concatenate(x), y), drawn, counts)
-    model.prior = prior
-    return model
+    crfs = []
+    for seen, held in (halves, halves[::-1]):
+        crf = train(seen[1], seen[0])
+        scorer = Scorer([crf])
+        x = {c: np.concatenate([evidence(part, scorer)[0] for part in parts(held[c])]) for c in (0, 1)}
+        y = np.repeat([0.0, 1.0], [len(x[0]), len(x[1])])
+        crf.calibration = labelled.to_whole(labelled.fit_logistic(np.concatenate([x[0], x[1]]), y), {c: len(x[c]) for c in (0, 1)}, counts)
+        crfs.append(crf)
+    return Model(crfs, prior)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -341,13 +379,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pickle.loads(shipped.value)
-        scorer = Scorer(m)
+        scorer = Scorer(m.crfs)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            if m.calibration is None:
-                s = np.full(len(texts), m.prior)
-            else:
-                s = np.concatenate([labelled.logistic(evidence(part, scorer), m.calibration) for part in parts(texts)])
+            s = scores(b.column(1).to_pylist(), m, scorer)
             yield pa.record_batch([b.column(0), pa.array(s)], names=["id", "score"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
@@ -371,9 +405,9 @@ def spans(text: str, model: Model, least: float = 0.5) -> list[tuple[int, int, f
     found = [(t.start(), t.end(), t.group()) for t in _TOKEN.finditer(text)]
     words = [f for f in found if f[2] not in _ENDS]
     rows = sentences(text)
-    if not rows:
+    if not rows or not model.crfs:
         return []
-    m, _ = Scorer(model).marginals(rows)
+    m = np.mean([m for m, _ in Scorer(model.crfs).marginals(rows)], axis=0)
     out: list[tuple[int, int, float]] = []
     breaks = set(np.cumsum([len(r) for r in rows]).tolist())
     open_ = False
