@@ -57,18 +57,22 @@ def to_whole(model: tuple[np.ndarray, np.ndarray, np.ndarray], drawn: dict[int,
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(weights with intercept last, mean, scale) by Newton steps; the ridge is stronger on few rows."""
+    """(weights with intercept last, mean, scale) by Newton steps, halved until the penalised likelihood grows; the ridge is stronger on few rows."""
     ridge += 1.0 / len(x)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
+    loss = lambda w: np.logaddexp(0, z @ w).sum() - y @ (z @ w) + ridge * len(x) * (w @ w) / 2
     w = np.zeros(z.shape[1])
+    now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         h = (z * (p * (1 - p))[:, None]).T @ z + (ridge * len(x) + 1e-6) * np.eye(len(w))
         step = np.linalg.solve(h, z.T @ (y - p) - ridge * len(x) * w)
-        w = w + step
-        if np.abs(step).max() < 1e-9:
+        while (then := loss(w + step)) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        if then > now or np.abs(step).max() < 1e-9:
             break
+        w, now = w + step, then
     return w, mean, scale
 
 
