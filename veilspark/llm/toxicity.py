@@ -14,7 +14,7 @@ toxic tokens. Two CRFs are trained, each on one half of the labelled documents,
 calibrator fitted on its evidence about the other half; a document's score is the mean of
 the two calibrated probabilities. ``spans`` returns the offending character offsets by the mean of the marginals.
 
-The fit uses a bounded sample (``labelled.SAMPLE_ROWS``, ``SAMPLE_BYTES`` a class, of its
+The fit uses a bounded sample (``SAMPLE_ROWS`` documents and ``SAMPLE_BYTES`` a class, of its
 sentences without a toxic word an even ``QUIET`` at most) and never
 the held-out fold; it is the same at every size. Scoring is one pass without a shuffle.
 
@@ -40,6 +40,8 @@ from pyspark.sql import functions as F
 from . import labelled
 
 THRESHOLD = 0.3
+#: Documents and UTF-8 bytes of each class that the CRFs are trained and calibrated on.
+SAMPLE_ROWS, SAMPLE_BYTES = 3000, 6 << 20
 STEM = (4, 5, 6)
 #: Least share of toxic documents among those with a marked word or stem.
 MOSTLY = 0.6
@@ -328,7 +330,7 @@ def scores(texts: list[str], model: Model, scorer: Scorer) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    return fit_texts(*labelled.sample(docs, labels, "toxic", id_col, text_col))
+    return fit_texts(*labelled.sample(docs, labels, "toxic", id_col, text_col, SAMPLE_ROWS, SAMPLE_BYTES))
 
 
 def train(toxic_texts: list[str], clean_texts: list[str]) -> Crf:
@@ -345,11 +347,11 @@ def train(toxic_texts: list[str], clean_texts: list[str]) -> Crf:
 
     sequences, tags = [], []
     for docs in groups:
-        tagged = [(s, [toxic(w) for w in s]) for doc in docs for s in doc]
-        quiet = [x for x in tagged if True not in x[1]]
-        for s, y in [x for x in tagged if True in x[1]] + quiet[:: max(1, -(-len(quiet) // QUIET))]:
+        tagged = [(s, any(map(toxic, s))) for doc in docs for s in doc]
+        quiet = [s for s, loud in tagged if not loud]
+        for s in [s for s, loud in tagged if loud] + quiet[:: max(1, -(-len(quiet) // QUIET))]:
             sequences.append(s)
-            tags.append(np.array(y))
+            tags.append(np.array([toxic(w) for w in s]))
     return fit_crf(sequences, tags) if sequences else Crf()
 
 
