@@ -151,6 +151,31 @@ def test_mixing_targets_fill(spark):
     assert t["sa"].target == 3.0 and t["sd"].target == 0.0 and t["sb"].target == pytest.approx(132.0) and t["sc"].target == pytest.approx(66.0)
 
 
+def test_mixing_odds_differ_by_document_and_add_up(spark):
+    c = spark.createDataFrame([("s", w, 1000, 4000, 4000 * f) for w, f in zip((1, 3, 7, 12), [1.7] * 4)], "source_key string, class int, words long, source_size long, target double")
+    plan = mixing.expected(c).orderBy("class").collect()
+    copies = [r.whole + r.p for r in plan]
+    assert copies == sorted(copies) and len(set(copies)) > 2 and copies[-1] == 3.0 and sum(1000 * x for x in copies) == pytest.approx(6800.0)
+    assert plan[0].goal == pytest.approx(sum(1000 * r.p for r in plan))
+
+
+def test_mixing_comes_near_the_best_of_all(spark):
+    from itertools import product
+
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(["w"] * int(rng.integers(1, 400))), f"s{i % 9}") for i in range(45)]
+    got = mixing.mix_report(docs(spark, rows)).toPandas()
+    got["source"] = [rows[i][2] for i in got.doc_id]
+    gaps = []
+    for _, g in got.groupby("source"):
+        target = g.target.iloc[0]
+        best = min(abs(sum(a * b for a, b in zip(c, g["size"])) - target) for c in product(range(4), repeat=len(g)))
+        miss = abs(g.taken.sum() - target)
+        assert miss >= best - 1e-9 and miss <= g["size"].min()
+        gaps.append(miss / target)
+    assert np.mean(gaps) < 0.05
+
+
 def test_packing(spark, edges, none):
     from tokenizers import Tokenizer
 

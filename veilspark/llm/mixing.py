@@ -2,23 +2,27 @@
 
 Every source gets a target in words: shares of the whole in proportion to the
 weights, stopped at ``max_repeat`` times the source's own words, the excess
-reshared by weight until no target is above its stop (water filling). A
-document's expected copies are target / source words. The whole part is certain;
-the remainder is its inclusion probability p. Documents are ranked by random
-odds over inclusion odds, ``(u / (1 - u)) / (p / (1 - p))``, and taken in that
+reshared by weight until no target is above its stop (water filling). Inside a source a
+document's expected copies are proportional to the bit length of its word count, so that long
+documents, which carry more context, are likelier; they stop at ``max_repeat``, and what
+stopped documents leave is reshared among the others until the source's expected words are
+its target. The whole part of the expected copies is certain; the remainder is the document's inclusion
+probability p. Documents are ranked by random odds over inclusion odds,
+``(u / (1 - u)) / (p / (1 - p))``, and taken in that
 order: the sample size that is fixed is the source's words, so the order stops
 where the next document would pass the goal. What is left of the goal goes to
-the documents of lower rank that still fit, by the same order, and at last to the
-single document that comes closest, if it brings the mix nearer to its target.
+the documents of lower rank that still fit, by the same order. At last one document
+is added, or one added and one given back, if that brings the mix nearer to its target: of all such
+changes the one that comes nearest.
 
-The outcome is a handful of bounds per source (``plan_mix``), so a document's
+The outcome is a handful of bounds per source and length class (``plan_mix``), so a document's
 copies are a pure function of its own row. The bounds come from pre-aggregated
 digits of the rank: level by level only the rows of one cell of 4096 remain, so
 no source, however hot, is sorted or summed in one task.
 
 Edge cases. Null text has size 0. The null source is a source of its own, last
 in order; ids may be null or repeat (rows equal in id and text share one rank
-and are taken together). Sources without words have target 0. An empty table
+and change together). Sources without words have target 0. An empty table
 gives an empty result. Reruns agree: u is a hash of seed, id and text.
 """
 
@@ -51,7 +55,7 @@ def uniform(id_col: str, text_col: str, seed: int) -> Column:
 
 
 def targets(sources: DataFrame, weights: tuple = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """(source_key, source_size) plus target, whole copies and inclusion probability.
+    """(source_key, source_size, target).
 
     Sources are a dimension: one row each, ordered by code point for the weights.
     """
@@ -66,12 +70,32 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, max_repeat: int = MAX_
     rest = F.col("total") - F.sum(F.when(F.col("full"), F.col("stop")).otherwise(0.0)).over(everything)
     open_weight = F.col("all_weight") - F.sum(F.when(F.col("full"), F.col("weight")).otherwise(0.0)).over(everything)
     target = F.when(F.col("full"), F.col("stop")).otherwise(F.least(F.col("weight") * rest / open_weight, F.col("stop")))
-    s = s.withColumn("target", target)
-    whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_repeat))).otherwise(0).cast("long")
-    s = s.withColumn("whole", whole)
-    goal = F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0))
-    s = s.withColumn("goal", goal).withColumn("p", F.when(F.col("source_size") > 0, F.col("goal") / F.col("source_size")).otherwise(0.0))
-    return s.select("source_key", "source_size", "target", "whole", "goal", "p")
+    return s.withColumn("target", target).select("source_key", "source_size", "target")
+
+
+def length_class(size: Column) -> Column:
+    """The bit length of the word count: what a document's expected copies are proportional to."""
+    return F.length(F.bin(size)).cast("int")
+
+
+def expected(classes: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """(source_key, class, source_size, target, whole, p, goal) from (source_key, class, words, source_size, target).
+
+    A few dozen classes a source at most. Classes stop at ``max_repeat`` from the longest down, the others share
+    what is left; goal: the source's words that the certain copies leave to sampling.
+    """
+    top = float(max_repeat)
+    source = Window.partitionBy("source_key")
+    longer = source.orderBy(F.desc("class"))
+    c = classes.withColumn("weighted", F.col("words") * F.col("class"))
+    below = F.sum("weighted").over(source) - F.sum("weighted").over(longer)
+    c = c.withColumn("full", F.lit(top) * F.sum("words").over(longer) + F.lit(top) / F.col("class") * below <= F.col("target"))
+    held = F.coalesce(F.sum(F.when(F.col("full"), F.col("words"))).over(source), F.lit(0))
+    rate = (F.col("target") - F.lit(top) * held) / F.sum(F.when(~F.col("full"), F.col("weighted"))).over(source)
+    c = c.withColumn("copies", F.when(F.col("full"), F.lit(top)).otherwise(F.least(rate * F.col("class"), F.lit(top))))
+    c = c.withColumn("whole", F.floor("copies").cast("long"))
+    goal = F.greatest(F.col("target") - F.sum(F.col("words") * F.col("whole")).over(source), F.lit(0.0))
+    return c.select("source_key", "class", "source_size", "target", "whole", (F.col("copies") - F.col("whole")).alias("p"), goal.alias("goal"))
 
 
 def rank(u: Column, p: Column) -> Column:
@@ -108,41 +132,75 @@ def _prefix(rows: DataFrame, goals: DataFrame, hint) -> DataFrame:
 
 
 def plan_mix(docs: DataFrame, weights: tuple = WEIGHTS, max_repeat: int = MAX_REPEAT, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(rows, bounds): a staged narrow row per document, and the bounds of each source.
+    """(rows, bounds): a staged narrow row per document, and the bounds of each source and length class.
 
-    rows: id, source_key, size, u. bounds: source_key, source_size, target, whole,
-    p, cut, room, cut2, single.
+    rows: id, source_key, size, class, u. bounds: source_key, class, source_size, target, whole,
+    p, cut, room, cut2, add, drop.
     """
-    rows = stage(docs.select(F.col(id_col).alias("id"), source_key(source_col).alias("source_key"), words(text_col).alias("size"), uniform(id_col, text_col, seed).alias("u")), "mix-rows")
-    sizes = stage(rows.groupBy("source_key").agg(F.sum("size").alias("source_size")), "mix-sources")
-    few = sizes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    hint = F.broadcast if few else (lambda df: df)  # at most one row a source
-    plan = stage(targets(sizes, weights, max_repeat), "mix-targets")
-    ranked = rows.filter("size > 0").join(hint(plan.select("source_key", "p")), "source_key").select("source_key", "size", rank(F.col("u"), F.col("p")).alias("y")).filter("y IS NOT NULL")
-    first = stage(_prefix(ranked, plan, hint), "mix-first")
-    state = plan.join(hint(first), "source_key").withColumn("room", F.col("goal") - F.col("used"))
-    state = stage(state.select("source_key", "room", "cut"), "mix-state")
+    rows = docs.select(F.col(id_col).alias("id"), source_key(source_col).alias("source_key"), words(text_col).alias("size"), uniform(id_col, text_col, seed).alias("u"))
+    rows = stage(rows.withColumn("class", length_class(F.col("size"))), "mix-rows")
+    classes = stage(rows.groupBy("source_key", "class").agg(F.sum("size").alias("words")), "mix-classes")
+    few = classes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    hint = F.broadcast if few else (lambda df: df)  # a few dozen rows a source at most
+    goals = stage(targets(classes.groupBy("source_key").agg(F.sum("words").alias("source_size")), weights, max_repeat), "mix-targets")
+    plan = stage(expected(classes.join(hint(goals), "source_key"), max_repeat), "mix-plan")
+    known = rows.filter("size > 0").join(hint(plan.select("source_key", "class", "whole", "p")), ["source_key", "class"]).select("source_key", "size", "u", "whole", rank(F.col("u"), F.col("p")).alias("y"))
+    ranked = known.filter("y IS NOT NULL").select("source_key", "size", "y")
+    goal = plan.groupBy("source_key").agg(F.first("goal").alias("goal"))
+    first = stage(_prefix(ranked, goal, hint), "mix-first")
+    state = stage(goal.join(hint(first), "source_key").select("source_key", (F.col("goal") - F.col("used")).alias("room"), "cut"), "mix-state")
     fitting = ranked.join(hint(state), "source_key").filter("y > cut AND size <= room").select("source_key", "size", "y")
     second = stage(_prefix(fitting, state.select("source_key", F.col("room").alias("goal")), hint), "mix-second")
-    state2 = stage(state.join(hint(second.select("source_key", F.col("used").alias("used2"), F.col("cut").alias("cut2"))), "source_key"), "mix-state2")
-    rest = ranked.join(hint(state2), "source_key").filter("y > cut AND NOT (size <= room AND y <= cut2)").withColumn("miss", F.abs(F.col("room") - F.col("used2") - F.col("size")))
-    single = rest.filter(F.col("miss") < F.col("room") - F.col("used2")).groupBy("source_key").agg(F.min_by("y", F.struct("miss", "y")).alias("single"))
-    bounds = plan.join(hint(state2), "source_key").join(hint(single), "source_key", "left")
-    return rows, stage(bounds.select("source_key", "source_size", "target", "whole", "p", "cut", "room", "cut2", "single"), "mix-bounds")
+    state = stage(state.join(hint(second.select("source_key", F.col("used").alias("used2"), F.col("cut").alias("cut2"))), "source_key").withColumn("left", F.col("room") - F.col("used2")), "mix-state2")
+    change = best_change(known.join(hint(state), "source_key"), state, max_repeat)
+    bounds = plan.drop("goal").join(hint(state.drop("used2", "left")), "source_key").join(hint(change), "source_key", "left")
+    return rows, stage(bounds, "mix-bounds")
 
 
-def copies(size: Column, y: Column) -> Column:
-    """Copies taken of a row, given its source's bounds."""
-    more = (y <= F.col("cut")) | ((size <= F.col("room")) & (y <= F.col("cut2"))) | (y == F.coalesce("single", F.lit(-1.0)))
-    return F.col("whole") + F.when(F.coalesce(more, F.lit(False)), 1).otherwise(0)
+def best_change(known: DataFrame, state: DataFrame, max_repeat: int) -> DataFrame:
+    """(source_key, add, drop): u of the document to take once more and of the one to take once less.
+
+    Works on the distinct sizes of a source: for each size that may go (or none), the sizes just
+    below and above what is then left. Sources that no change brings nearer have no row.
+    """
+    taken = known.withColumn("n", F.col("whole") + taken_more())
+    sizes = taken.groupBy("source_key", "size", "left").agg(F.min(F.when(F.col("n") < max_repeat, F.col("u"))).alias("add"), F.min(F.when(F.col("n") > 0, F.col("u"))).alias("drop"))
+    sizes = stage(sizes, "mix-sizes")
+    offers = sizes.filter("add IS NOT NULL").select("source_key", F.col("size").cast("double").alias("at"), F.lit(0).alias("kind"), "left", F.struct("size", F.col("add").alias("u")).alias("offer"), F.lit(None).cast("struct<size:long,u:double>").alias("given"))
+    given = F.struct("size", F.col("drop").alias("u"))
+    asks = sizes.filter("drop IS NOT NULL").select("source_key", (F.col("left") + F.col("size")).alias("at"), F.lit(1).alias("kind"), "left", F.lit(None).cast("struct<size:long,u:double>").alias("offer"), given.alias("given"))
+    nothing = state.select("source_key", F.col("left").alias("at"), F.lit(1).alias("kind"), "left", F.lit(None).cast("struct<size:long,u:double>").alias("offer"), F.struct(F.lit(0).cast("long").alias("size"), F.lit(None).cast("double").alias("u")).alias("given"))
+    line = Window.partitionBy("source_key").orderBy("at", "kind")
+    below = F.last("offer", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))
+    above = F.first("offer", ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing))
+    near = offers.unionByName(asks).unionByName(nothing).select("*", F.array(below, above).alias("near")).filter("kind = 1")
+    pairs = near.select("source_key", "at", "left", "given", F.explode("near").alias("offer")).filter("offer IS NOT NULL")
+    pairs = pairs.withColumn("miss", F.abs(F.col("at") - F.col("offer.size"))).filter(F.col("miss") < F.col("left"))
+    best = pairs.groupBy("source_key").agg(F.min(F.struct("miss", F.col("given.size").alias("d"), F.col("offer.size").alias("a"), F.col("offer.u").alias("add"), F.col("given.u").alias("drop"))).alias("best"))
+    return stage(best.select("source_key", "best.add", "best.drop"), "mix-change")
+
+
+def taken_more() -> Column:
+    """1 if a row is sampled beyond its whole copies by rank, else 0."""
+    more = (F.col("y") <= F.col("cut")) | ((F.col("size") <= F.col("room")) & (F.col("y") <= F.col("cut2")))
+    return F.when(F.coalesce(more, F.lit(False)), 1).otherwise(0)
+
+
+def copies() -> Column:
+    """Copies taken of a row (size, u, y), given the bounds of its source and class."""
+    one = lambda c: F.when(F.coalesce(F.col("u") == F.col(c), F.lit(False)), 1).otherwise(0)
+    return F.when(F.col("size") > 0, F.col("whole") + taken_more() + one("add") - one("drop")).otherwise(0)
+
+
+def _bounded(rows: DataFrame, bounds: DataFrame) -> DataFrame:
+    few = bounds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(bounds) if few else bounds, ["source_key", "class"]).withColumn("y", rank(F.col("u"), F.col("p")))
 
 
 def mix_report(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """One row per document: id, size, source_size, target, taken (words, repeats counted)."""
     rows, bounds = plan_mix(docs, id_col=id_col, **options)
-    few = bounds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    joined = rows.join(F.broadcast(bounds) if few else bounds, "source_key").withColumn("copies", copies(F.col("size"), rank(F.col("u"), F.col("p"))))
-    return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return _bounded(rows, bounds).select(F.col("id").alias(id_col), "size", "source_size", "target", (copies() * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **options) -> DataFrame:
@@ -151,10 +209,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Documents without words have no share of any target and stay away.
     """
     _, bounds = plan_mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **options)
-    few = bounds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     # the row travels as one struct: its column names may clash with any of these
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source_key(source_col).alias("source_key"), words(text_col).alias("size"), uniform(id_col, text_col, seed).alias("u"))
-    joined = rows.join(F.broadcast(bounds) if few else bounds, "source_key").withColumn("y", rank(F.col("u"), F.col("p")))
-    taken = joined.select("row", F.when(F.col("size") > 0, copies(F.col("size"), F.col("y"))).otherwise(0).cast("int").alias("n"))
+    taken = _bounded(rows.withColumn("class", length_class(F.col("size"))), bounds).select("row", copies().cast("int").alias("n"))
     # array_repeat of nothing is empty, so no copy comes of rows that are not taken
     return taken.select(F.explode(F.array_repeat(F.lit(1), F.col("n"))), "row").select("row.*")

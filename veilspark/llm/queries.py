@@ -83,19 +83,27 @@ s3 AS (SELECT *, sum(stop) OVER f AS st, sum(w) OVER f AS wt FROM s2 WINDOW f AS
 s4 AS (SELECT *, st + lv * (aw - wt) <= total AS fullup FROM s3),
 s5 AS (SELECT *, CASE WHEN fullup THEN stop ELSE least(w * (total - sum(CASE WHEN fullup THEN stop ELSE 0 END) OVER ())
          / (aw - sum(CASE WHEN fullup THEN w ELSE 0 END) OVER ()), stop) END AS target FROM s4),
-s6 AS (SELECT k, ss, target, CASE WHEN ss > 0 THEN least(floor(target / ss), 3)::BIGINT ELSE 0 END AS whole FROM s5),
-s7 AS (SELECT *, greatest(target - whole * ss, 0.0::DOUBLE) AS goal FROM s6),
-s8 AS (SELECT *, CASE WHEN ss > 0 THEN goal / ss ELSE 0.0 END AS p FROM s7),
-r0 AS (SELECT d.*, ss, target, whole, goal, CASE WHEN size > 0 AND p > 0 AND p < 1 THEN (u / (1.0::DOUBLE - u)) / (p / (1.0::DOUBLE - p)) END AS q FROM d JOIN s8 USING (k)),
+c0 AS (SELECT k, length(bin(size)) AS w, sum(size)::BIGINT AS words FROM d GROUP BY ALL),
+c1 AS (SELECT *, (sum(words) OVER l)::DOUBLE AS top, (sum(words * w) OVER (PARTITION BY k) - sum(words * w) OVER l)::DOUBLE AS low FROM c0 JOIN (SELECT k, ss, target FROM s5) USING (k) WINDOW l AS (PARTITION BY k ORDER BY w DESC)),
+c2 AS (SELECT *, 3.0::DOUBLE * top + 3.0::DOUBLE / w * low <= target AS full_ FROM c1),
+c3 AS (SELECT *, (target - 3.0::DOUBLE * coalesce(sum(CASE WHEN full_ THEN words END) OVER (PARTITION BY k), 0)::DOUBLE) / (sum(CASE WHEN NOT full_ THEN words * w END) OVER (PARTITION BY k))::DOUBLE AS rate FROM c2),
+c4 AS (SELECT *, CASE WHEN full_ THEN 3.0::DOUBLE ELSE least(rate * w, 3.0::DOUBLE) END AS e FROM c3),
+c5 AS (SELECT k, w, ss, target, words, e - floor(e) AS p, floor(e)::BIGINT AS whole FROM c4),
+c6 AS (SELECT *, greatest(target - (sum(words * whole) OVER (PARTITION BY k))::DOUBLE, 0.0::DOUBLE) AS goal FROM c5),
+r0 AS (SELECT d.*, ss, target, whole, goal, CASE WHEN size > 0 AND p > 0 AND p < 1 THEN (u / (1.0::DOUBLE - u)) / (p / (1.0::DOUBLE - p)) END AS q FROM d JOIN c6 ON d.k = c6.k AND length(bin(d.size)) = c6.w),
 r1 AS (SELECT *, q / (1.0::DOUBLE + q) AS y FROM r0),
 r2 AS (SELECT *, coalesce(y IS NOT NULL AND sum(size) OVER (PARTITION BY k, y IS NULL ORDER BY y) <= goal, false) AS a FROM r1),
 r3 AS (SELECT *, goal - coalesce(sum(size) FILTER (WHERE a) OVER (PARTITION BY k), 0) AS room FROM r2),
 r4 AS (SELECT *, y IS NOT NULL AND NOT a AND size <= room AS c FROM r3),
 r5 AS (SELECT *, c AND sum(size) OVER (PARTITION BY k, c ORDER BY y) <= room AS b FROM r4),
-r6 AS (SELECT *, room - coalesce(sum(size) FILTER (WHERE b) OVER (PARTITION BY k), 0) AS room2 FROM r5),
-r7 AS (SELECT *, y IS NOT NULL AND NOT a AND NOT b AND abs(room2 - size) < room2 AS e, abs(room2 - size) AS miss FROM r6),
-r8 AS (SELECT *, e AND rank() OVER (PARTITION BY k, e ORDER BY miss, y) = 1 AS one FROM r7)
-SELECT doc_id, size, ss AS source_size, target, size * (whole + (a OR b OR one)::BIGINT) AS taken FROM r8
+r6 AS (SELECT *, room - coalesce(sum(size) FILTER (WHERE b) OVER (PARTITION BY k), 0) AS room2, whole + (a OR b)::BIGINT AS n FROM r5),
+more AS (SELECT k, size AS asize, room2, min(u) AS add_u FROM r6 WHERE size > 0 AND n < 3 GROUP BY ALL),
+less AS (SELECT k, size AS dsize, min(u) AS drop_u FROM r6 WHERE size > 0 AND n > 0 GROUP BY ALL UNION ALL SELECT DISTINCT k, 0, NULL::DOUBLE FROM r6),
+pick AS (SELECT k, add_u, drop_u FROM (SELECT *, abs(room2 + dsize - asize) AS miss FROM more JOIN less USING (k)) WHERE miss < room2
+         QUALIFY row_number() OVER (PARTITION BY k ORDER BY miss, dsize, asize) = 1)
+SELECT doc_id, size, ss AS source_size, target,
+       CASE WHEN size > 0 THEN size * (n + coalesce(u = add_u, false)::BIGINT - coalesce(u = drop_u, false)::BIGINT) ELSE 0 END AS taken
+FROM r6 LEFT JOIN pick USING (k)
 """
 
 
