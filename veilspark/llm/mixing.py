@@ -170,9 +170,10 @@ def best_change(known: DataFrame, state: DataFrame, max_repeat: int) -> DataFram
     given = F.struct("size", F.col("drop").alias("u"))
     asks = sizes.filter("drop IS NOT NULL").select("source_key", (F.col("left") + F.col("size")).alias("at"), F.lit(1).alias("kind"), "left", F.lit(None).cast("struct<size:long,u:double>").alias("offer"), given.alias("given"))
     nothing = state.select("source_key", F.col("left").alias("at"), F.lit(1).alias("kind"), "left", F.lit(None).cast("struct<size:long,u:double>").alias("offer"), F.struct(F.lit(0).cast("long").alias("size"), F.lit(None).cast("double").alias("u")).alias("given"))
-    line = Window.partitionBy("source_key").orderBy("at", "kind")
-    below = F.last("offer", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))
-    above = F.first("offer", ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing))
+    # two running windows: a frame to the end of the partition would be computed anew for every row
+    line = Window.partitionBy("source_key").rowsBetween(Window.unboundedPreceding, 0)
+    below = F.last("offer", ignorenulls=True).over(line.orderBy("at", "kind"))
+    above = F.last("offer", ignorenulls=True).over(line.orderBy(F.desc("at"), F.desc("kind")))
     near = offers.unionByName(asks).unionByName(nothing).select("*", F.array(below, above).alias("near")).filter("kind = 1")
     pairs = near.select("source_key", "at", "left", "given", F.explode("near").alias("offer")).filter("offer IS NOT NULL")
     pairs = pairs.withColumn("miss", F.abs(F.col("at") - F.col("offer.size"))).filter(F.col("miss") < F.col("left"))
