@@ -145,7 +145,7 @@ def test_kmeans_and_route(spark):
     with pytest.raises(ValueError):
         cluster.nearest(F.array(), [], [])
     with pytest.raises(ValueError):
-        cluster.dp_kmeans(rows.limit(0), spec, 2, 1.0, Noise.test(4))
+        cluster.dp_kmeans(rows.limit(0), spec, 2, math.inf, Noise.test(4))
 
 
 def test_fallback_and_pools(spark):
@@ -158,7 +158,7 @@ def test_fallback_and_pools(spark):
     rows = toy(spark, [(i, 0.1, "a", i % 2) for i in range(20)])
     spec = encode.onehot_spec(TOY)
     centers = [[0.1, 0.6, 0, 0], [0.9, 0, 0.6, 0]]
-    pools, log = synth.cluster_pools(cluster.assign(rows, spec, centers), TOY, centers, spec, 6, lambda r, c, n: synth.marginal_synthesize(r, TOY, 5.0, n, Noise.test(1)))
+    pools, log = synth.cluster_pools(cluster.assign(rows, spec, centers), TOY, centers, spec, 6, lambda r, c, n: synth.marginal_synthesize(r, TOY, math.inf, n, Noise.test(1)))
     assert [x.fallback for x in log] == [False, True] and pools.count() == 12
 
 
@@ -169,6 +169,53 @@ def test_synthesis_follows_the_data(spark):
         assert abs(df.target.mean() - 0.5) < 0.15 and ((df.c == "b") == (df.target == 1)).mean() > 0.8
 
 
+def test_pools_of_any_size_are_drawn_row_by_row(spark, monkeypatch):
+    monkeypatch.setattr(synth, "BLOCK_ROWS", 100)
+    rows = toy(spark, [(i, i % 50 / 50, "abd"[i % 3], i % 2) for i in range(600)])
+    pool = synth.marginal_synthesize(rows, TOY, math.inf, 450, Noise.test(1)).toPandas()
+    assert sorted(pool.synth_id) == list(range(450)) and abs(pool.target.mean() - 0.5) < 0.1
+    made = synth.generator_synthesize(rows, TOY, math.inf, 3000, Noise.test(1), config=synth.GeneratorConfig(rounds=3)).toPandas()
+    assert sorted(made.synth_id) == list(range(3000)) and abs(made.target.mean() - 0.5) < 0.1
+
+
+def test_private_defaults():
+    import inspect
+
+    for f in (experiment.run_experiments, experiment.task_weights, experiment.MarginalBackend, experiment.GeneratorBackend):
+        make = inspect.signature(f).parameters["noise"].default
+        assert make(1).private and make(1).key != make(1).key
+    assert not parse_args(["marginal", "--root", "x"]).test_noise
+    assert Noise.test(1, 2.0).key != Noise.test(1, 4.0).key and Noise.test(7).key == "7"
+    ledger = experiment.spent(2.0)
+    ledger.spend("main", 2.0)
+    assert ledger.total == 2.0
+    with pytest.raises(privacy.BudgetError):
+        ledger.spend("main", 0.1)
+
+
+def test_every_cluster_gets_noise(spark):
+    rows = toy(spark, [(i, 0.1, "a", 1) for i in range(50)])
+    spec = encode.onehot_spec(TOY)
+    coded = rows.select(encode.onehot(spec).alias("x"))
+    out = cluster.step(coded, [[0.1, 0.5, 0, 0], [0.9, 0, 0.5, 0]], spec, 1.0, Noise.test(2), 0)
+    assert sorted(r.cluster for r in out.collect()) == [0, 1]
+
+
+def test_prompts_reach_a_scorer(spark):
+    q = spark.createDataFrame([(i, i / 10, "a", i % 2) for i in range(4)], "query_id long, x double, c string, target int")
+    demos = q.crossJoin(spark.createDataFrame([(1,), (2,)], "demo_rank int"))
+    load = lambda: lambda texts: score.max_label_scores([{" 0": 0.1, "1": float("x" in t), "?": 9.0} for t in texts])
+    found = experiment.prompt_scorer(TOY, score.text_scorer(load), max_tokens=6)(q, demos, "query_id").toPandas()
+    assert sorted(found.query_id) == [0, 1, 2, 3] and set(found.prediction) <= {0, 1}
+    assert score.max_label_scores([{"0": 1.0, " 0": 2.0}]) == [(2.0, float("-inf"))]
+    cut = one(spark.range(1).select(prompt.left_truncated(F.lit("a b c\nd Label: "), 3)))
+    assert cut == "d Label: " and one(spark.range(1).select(prompt.left_truncated(F.lit("a b"), 3))) == "a b"
+    seen = []
+    weigher = score.text_weigher(lambda system, text: seen.append(text) or '{"x": 1.0, "c": 0.5,}')
+    two = spark.createDataFrame([(0.2, "a", 0), (0.8, "b", 1)], "x double, c string, target int")
+    assert weigher(two, TOY) == pytest.approx({"x": 4 / 3, "c": 2 / 3}) and "Class summary (label=1): x=80.00, c=b" in seen[0]
+
+
 def test_json_repair_and_weights(spark):
     cases = [('{"a": 0.4, }', {"a": "0.4"}), ('text {"a": 1} more', {"a": "1"}), ("[1, 2]", None)]
     df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, t string")
@@ -260,8 +307,9 @@ def test_csv_end_to_end(spark, tmp_path):
     bad = sum(1 for i in range(300) if not i % 50 or not i % 41)
     assert ctx.train.count() == 300 - bad and ctx.evaluation.count() == 100
     assert ctx.train.select("`Max HR/min`").dtypes[0][1] == "double" and ctx.schema.label == "HeartDisease"
-    r = experiment.run_experiments(spark, experiment.MarginalBackend(), [ctx], trials=1, ks=(2,), epsilons=(8.0,), n_synth=300, cache_dir=str(tmp_path / "cache"), out=str(tmp_path / "results")).toPandas()
+    r = experiment.run_experiments(spark, experiment.MarginalBackend(noise=Noise.test), [ctx], trials=1, ks=(2,), epsilons=(8.0,), n_synth=300, noise=Noise.test, cache_dir=str(tmp_path / "cache"), out=str(tmp_path / "results")).toPandas()
     assert len(r) == 2 and r[r.method == "global"].accuracy.iloc[0] > 0.6
+    assert (r.epsilon_spent <= r.epsilon + 1e-9).all() and not ctx.persisted
     assert len(os.listdir(tmp_path / "cache")) == 1 and spark.read.parquet(str(tmp_path / "results_retrieval")).count() == 200
 
 

@@ -26,18 +26,20 @@ class Noise:
     private: bool = False
 
     @staticmethod
-    def test(seed: int) -> Noise:
-        return Noise(str(seed))
+    def test(*seed: int | str) -> Noise:
+        """Repeatable, removable noise; further parts of the seed tell releases apart."""
+        return Noise("|".join(map(str, seed)))
 
     @staticmethod
-    def secret() -> Noise:
+    def secret(*_: int | str) -> Noise:
+        """A fresh key at every call, whatever is passed."""
         return Noise(secrets.token_hex(32), True)
 
     def uniform(self, *parts: Column | str | int) -> Column:
-        """Strictly inside (0, 1), a function of the key and ``parts``."""
+        """Strictly inside (0, 1), with 52 bits, a function of the key and ``parts``."""
         joined = F.concat_ws("|", F.lit(self.key), *[_text(p) for p in parts]).cast("binary")
         digest = F.sha2(joined, 256) if self.private else F.md5(joined)
-        return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+        return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
     def laplace(self, scale: float, *parts: Column | str | int) -> Column:
         """Laplace with mean 0; zero for scales that are not positive and finite."""

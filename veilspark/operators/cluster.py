@@ -33,7 +33,7 @@ def initial_centers(spec: OneHotSpec, k: int, noise: Noise) -> list[list[float]]
     import hashlib
 
     def u(i: int, j: int) -> float:
-        return (int(hashlib.md5(f"{noise.key}|start|{i}|{j}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+        return (int(hashlib.md5(f"{noise.key}|start|{i}|{j}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
 
     return [[u(i, j) * top for j, top in enumerate(spec.upper)] for i in range(k)]
 
@@ -46,7 +46,7 @@ def rounds_for(n: int, width: int, epsilon: float, k: int) -> int:
 
 
 def step(coded: DataFrame, centers: Sequence[Sequence[float]], spec: OneHotSpec, epsilon: float, noise: Noise, round_: int) -> DataFrame:
-    """(cluster, count, center) after one noisy update; one row per cluster that has rows.
+    """(cluster, count, center) after one noisy update; a row for every cluster, so none shows whether it has rows.
 
     One aggregate with k * (width + 1) outputs. A row adds at most its clipped coordinates
     to one cluster: counts get Laplace 2 / epsilon; sums share the other half of
@@ -54,7 +54,11 @@ def step(coded: DataFrame, centers: Sequence[Sequence[float]], spec: OneHotSpec,
     """
     k, width = len(centers), spec.width
     reach = sum(s for _, s in spec.numeric) + sum(s for _, _, s in spec.blocks)  # L1 norm of a row at most
-    sums = coded.withColumn("cluster", nearest(F.col("x"), centers)).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("x")[j]).alias(f"s{j}") for j in range(width)])
+    found = coded.withColumn("cluster", nearest(F.col("x"), centers)).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("x")[j]).alias(f"s{j}") for j in range(width)])
+    ids = coded.sparkSession.createDataFrame([(i,) for i in range(k)], "cluster int")
+    sums = ids.join(found, "cluster", "left").na.fill(0)
+    if infinite(epsilon):
+        sums = sums.filter("n > 0")  # nothing is hidden; an empty cluster keeps its centre
     exact = infinite(epsilon)
     count = F.col("n").cast("double") + (F.lit(0.0) if exact else noise.laplace(2.0 / epsilon, "km-count", round_, F.col("cluster")))
     count = F.greatest(count, F.lit(1.0))
@@ -62,16 +66,22 @@ def step(coded: DataFrame, centers: Sequence[Sequence[float]], spec: OneHotSpec,
     center = F.array(
         *[F.least(F.greatest((F.col(f"s{j}") + (F.lit(0.0) if exact else noise.laplace(2.0 * reach / epsilon, "km-sum", round_, F.col("cluster"), j))) / count, F.lit(0.0)), F.lit(upper[j])) for j in range(width)]
     )
-    return sums.select("cluster", count.alias("count"), center.alias("center")).filter(F.col("cluster") < k)
+    return sums.select("cluster", count.alias("count"), center.alias("center"))
 
 
 def dp_kmeans(rows: DataFrame, spec: OneHotSpec, k: int, epsilon: float, noise: Noise, rounds: int | None = None, n: int | None = None) -> list[list[float]]:
-    """Centres after a fixed number of noisy Lloyd rounds; only k * width numbers reach the driver."""
+    """Centres after a fixed number of noisy Lloyd rounds; only k * width numbers reach the driver.
+
+    ``n`` is a public row count that sets the rounds; without it a tenth of epsilon buys a noisy one.
+    """
     coded = rows.select(onehot(spec).alias("x"))
-    n = coded.count() if n is None else n
-    if n == 0:
+    if rounds is None and n is None:
+        n = coded.count()
+        if not infinite(epsilon):
+            share, epsilon = 0.1 * epsilon, 0.9 * epsilon
+            n = max(1, round(coded.sparkSession.range(1).select(F.lit(float(n)) + noise.laplace(1.0 / share, "km-rows")).first()[0]))
+    if n is not None and n < 1:
         raise ValueError("no rows to cluster")
-    k = max(1, min(k, n))
     rounds = rounds_for(n, spec.width, epsilon, k) if rounds is None else rounds
     centers = initial_centers(spec, k, noise)
     each = epsilon if infinite(epsilon) else epsilon / rounds

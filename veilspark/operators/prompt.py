@@ -37,6 +37,7 @@ FRAMES = {
         "Does this patient have diabetes?",
     ),
 }
+#: Introduction of the plain list (fixed value).
 CENSUS_INTRO = "An individual recorded in the 1994 US census has the following attributes:"
 MODES = ("json", "natural", "sentence")
 
@@ -105,12 +106,14 @@ def example(df: DataFrame, schema: PublicSchema, mode: str) -> Column:
 
 
 def system_message(mode: str) -> str:
+    # fixed values
     if mode == "sentence":
         return "Follow the labeled examples. Output exactly one answer: Yes or No."
     return "Follow the labeled examples. Output exactly one label: 0 or 1."
 
 
 def header(schema: PublicSchema, mode: str) -> str:
+    # fixed values
     if mode == "sentence":
         return f"Use the labeled examples to perform {schema.task}.\nAnswer the final question with only Yes or No.\n"
     return f"Use the labeled examples to perform {schema.task} for the query instance.\nAllowed labels: 0 or 1.\nReturn only 0 or 1.\n"
@@ -153,6 +156,12 @@ def scorer_input(system: Column, user: Column, mode: str = "json") -> Column:
     return F.concat(F.when(F.endswith(text, F.lit(cue)), text).otherwise(F.concat(text, F.lit("\n" + cue))), F.lit(" "))
 
 
+def left_truncated(text: Column, max_tokens: int) -> Column:
+    """The last ``max_tokens`` tokens of a text, a token being a word with the white space before it; the answer's cue stays."""
+    tokens = F.regexp_extract_all(text, F.lit(r"(\s*\S+|\s+$)"))
+    return F.when(F.size(tokens) <= max_tokens, text).otherwise(F.regexp_replace(F.array_join(F.slice(tokens, -max_tokens, max_tokens), ""), r"^\s+", ""))
+
+
 # -- weighting prompt and replies -----------------------------------------------------------------
 
 
@@ -190,6 +199,7 @@ def summary_line(schema: PublicSchema) -> Column:
 
 
 def weighting_prompt(schema: PublicSchema, lines: Sequence[str]) -> str:
+    # fixed wording
     described = "\n\n".join(feature_description(schema, f) for f in schema.features)
     return (
         f"Prediction Task: {target_description(schema)}\n\nClass-Conditioned Privacy-Preserving Summaries:\n" + "\n".join(lines)

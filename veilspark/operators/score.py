@@ -61,6 +61,25 @@ def text_scorer(load: Callable[[], Callable[[Sequence[str]], Sequence[tuple[floa
     return run
 
 
+def max_label_scores(variants: Sequence[Mapping[str, float]], labels: Sequence[Sequence[str]] = (("0", " 0"), ("1", " 1"))) -> list[tuple[float, float]]:
+    """(score of 0, score of 1) per text: for each label the greatest score among its spellings, minus infinity without any."""
+    return [tuple(max((v[w] for w in names if w in v), default=float("-inf")) for names in labels) for v in variants]
+
+
+def text_weigher(ask: Callable[[str, str], str], system: str = "You rate how much each feature tells about the label. Answer with JSON only.") -> Weigher:
+    """A weigher that asks a language model once, over the class summaries, and reads its reply leniently."""
+
+    def run(prototypes: DataFrame, schema: PublicSchema) -> dict[str, float]:
+        from .prompt import normalize_weights, parse_weights, summary_line, weighting_prompt
+
+        lines = [r[0] for r in prototypes.orderBy("target").select(summary_line(schema)).collect()]  # two rows
+        reply = prototypes.sparkSession.createDataFrame([(ask(system, weighting_prompt(schema, lines)),)], "reply string")
+        weights = normalize_weights(parse_weights(F.col("reply"), schema.features), schema.features)
+        return dict(reply.select(weights.alias("w")).first()["w"])
+
+    return run
+
+
 def class_gap_weigher(prototypes: DataFrame, schema: PublicSchema) -> dict[str, float]:
     """|difference| of the two class summaries, 0/1 for categories, over the mean."""
     rows = {r["target"]: r for r in prototypes.collect()}  # two rows

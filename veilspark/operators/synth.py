@@ -7,10 +7,11 @@ noisy marginals of public size. Synthetic rows are produced by Spark from those
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -146,8 +147,26 @@ def gradual_update(tables: dict[tuple[str, str], np.ndarray], attributes: Mappin
     return rows
 
 
-#: Synthetic rows up to which the driver runs the gradual update; larger pools repeat its rows by key.
-UPDATE_ROWS = 100_000
+#: Synthetic rows that one task updates gradually; a pool is made of as many blocks as it needs, each fitted to the tables by itself.
+BLOCK_ROWS = 20_000
+
+
+def gradual_pool(spark: SparkSession, tables: dict[tuple[str, str], np.ndarray], attributes: Mapping[str, int], n_synth: int, rounds: int, seed: int) -> DataFrame:
+    """(synth_id, coded attributes): ``n_synth`` rows, every one from the gradual update of its block; blocks are dealt to tasks."""
+    names = list(attributes)
+    blocks = max(1, -(-n_synth // BLOCK_ROWS))
+    size = -(-n_synth // blocks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                first, end = i * size, min((i + 1) * size, n_synth)
+                if first < end:
+                    rows = gradual_update(tables, attributes, end - first, rounds, seed + 7919 * i)
+                    yield pa.record_batch([pa.array(np.arange(first, end)), *(pa.array(rows[:, j].astype(np.int32)) for j in range(len(names)))], names=["synth_id", *names])
+
+    ids = spark.range(0, blocks, 1, min(blocks, 4096))
+    return ids.mapInArrow(run, "synth_id long, " + ", ".join(f"`{c}` int" for c in names))
 
 
 def tables_of(noisy: DataFrame, attributes: Mapping[str, int]) -> dict[tuple[str, str], np.ndarray]:
@@ -159,14 +178,6 @@ def tables_of(noisy: DataFrame, attributes: Mapping[str, int]) -> dict[tuple[str
     return out
 
 
-def from_codes(spark: SparkSession, rows: np.ndarray, names: Sequence[str], n_synth: int, noise: Noise) -> DataFrame:
-    fitted = spark.createDataFrame([(i, *map(int, r)) for i, r in enumerate(rows)], "at int, " + ", ".join(f"`{c}` int" for c in names))
-    if n_synth == len(rows):
-        return fitted.withColumnRenamed("at", "synth_id")
-    ids = spark.range(n_synth).select(F.col("id").alias("synth_id"), F.floor(noise.uniform("pick", F.col("id")) * len(rows)).cast("int").alias("at"))
-    return ids.join(F.broadcast(fitted), "at").drop("at")  # at most UPDATE_ROWS rows
-
-
 def marginal_synthesize(rows: DataFrame, schema: PublicSchema, epsilon: float, n_synth: int, noise: Noise, bins: int = 8, delta: float = 1e-5, consistency_rounds: int = 2, view_rounds: int = 10, update_rounds: int = 20, target_only: bool = True, seed: int = 0) -> DataFrame:
     """The marginal method: dependency scores, noisy tables, consistency, gradual update, decoding.
 
@@ -187,22 +198,23 @@ def marginal_synthesize(rows: DataFrame, schema: PublicSchema, epsilon: float, n
         best = scores.withColumn("score", F.col("indif") + z).orderBy(F.desc("score"), "attr_a", "attr_b").limit(len(star) + view_rounds).collect()
         pairs = list(dict.fromkeys([*star, *[(r["attr_a"], r["attr_b"]) for r in best]]))
     noisy = noisy_pairs(pair_marginals(coded, pairs, attributes), measure, delta, noise, len(pairs))
-    tables = consistent(tables_of(noisy, attributes), consistency_rounds)
-    fitted = gradual_update(tables, attributes, min(n_synth, UPDATE_ROWS), update_rounds, seed)
-    out = from_codes(rows.sparkSession, fitted, list(attributes), n_synth, noise)
+    found = tables_of(noisy, attributes)
+    if not any(t.sum() > 0 for t in found.values()):
+        raise EmptyTables("no noisy cell is positive")
+    tables = consistent(found, consistency_rounds)
+    out = gradual_pool(rows.sparkSession, tables, attributes, n_synth, update_rounds, seed)
     return decode_rows(out, schema, bins, ["synth_id"])
 
 
 @dataclass
 class GeneratorConfig:
-    """Rounds, budget share of selection, mixture size, learning rate and inner steps."""
+    """Rounds, budget share of selection, mixture size, learning rate and inner steps. Measured tables are pairs."""
 
     rounds: int = 10
     alpha: float = 0.5
     components: int = 128
     rate: float = 0.1
     inner: int = 100
-    degree: int = 2
     target_star: bool = False
 
 
@@ -236,15 +248,16 @@ class Mixture:
                 self.moments[a] = 0.9 * self.moments[a] + 0.1 * g * g
                 self.logits[a] -= rate * g / np.sqrt(self.moments[a] + 1e-12)
 
-    def sample(self, n: int, seed: int) -> np.ndarray:
-        rng = np.random.default_rng(seed)
+    def sample(self, spark: SparkSession, n: int, noise: Noise) -> DataFrame:
+        """(synth_id, coded attributes): a keyed component and a keyed draw per attribute for each of ``n`` rows, in Spark."""
         p = self.parts()
-        which = rng.integers(len(next(iter(p.values()))), size=n)
-        columns = []
-        for a in self.attributes:
-            cdf = p[a].cumsum(axis=1)[which]
-            columns.append(np.minimum((rng.random(n)[:, None] > cdf).sum(axis=1), self.attributes[a] - 1))
-        return np.stack(columns, axis=1)
+        c = len(next(iter(p.values())))
+        drawn = spark.range(n).select(F.col("id").alias("synth_id"), F.floor(noise.uniform("component", F.col("id")) * c).cast("int").alias("__at"))
+        table = [(i, *[[float(v) for v in p[a][i].cumsum()] for a in self.attributes]) for i in range(c)]
+        cdfs = spark.createDataFrame(table, "__at int, " + ", ".join(f"__c{j} array<double>" for j in range(len(self.attributes))))
+        rows = drawn.join(F.broadcast(cdfs), "__at")  # one row a component
+        pick = lambda j, a, s: F.least(F.size(F.filter(F.col(f"__c{j}"), lambda v: v < noise.uniform("draw", a, F.col("synth_id")))), F.lit(s - 1)).cast("int").alias(a)
+        return rows.select("synth_id", *[pick(j, a, s) for j, (a, s) in enumerate(self.attributes.items())])
 
 
 def generator_synthesize(rows: DataFrame, schema: PublicSchema, epsilon: float, n_synth: int, noise: Noise, bins: int = 8, delta: float = 1e-5, config: GeneratorConfig | None = None, seed: int = 0, n: int | None = None) -> DataFrame:
@@ -258,7 +271,10 @@ def generator_synthesize(rows: DataFrame, schema: PublicSchema, epsilon: float,
     attributes = sizes(schema, bins)
     workload = target_star(schema.features) if c.target_star else [p for p in all_pairs([*schema.features, "target"], 2)]
     true = tables_of(pair_marginals(coded, workload, attributes), attributes)
-    n = max(1.0, float(next(iter(true.values())).sum())) if n is None else max(1.0, float(n))
+    total = float(next(iter(true.values())).sum()) if n is None else float(n)
+    if infinite(epsilon) and total < 1:
+        raise EmptyTables("no row")
+    n = max(1.0, total)
     true = {k: t / n for k, t in true.items()}
     rng = np.random.default_rng(seed if not noise.private else None)
     model = Mixture(attributes, c.components, seed)
@@ -272,15 +288,14 @@ def generator_synthesize(rows: DataFrame, schema: PublicSchema, epsilon: float,
             pick = names[int(score.argmax())]
             measured[pick] = true[pick]
         else:
-            gumbel = rng.gumbel(size=len(score)) * (2 / n) / (2 * math.sqrt(2 * c.alpha * rho))
+            # one replaced row moves a table's L1 error by 2 / n at most; the exponential mechanism has epsilon sqrt(8 alpha rho)
+            gumbel = rng.gumbel(size=len(score)) * 2 * (2 / n) / math.sqrt(8 * c.alpha * rho)
             pick = names[int((score + gumbel).argmax())]
             sigma = gauss_sigma((1 - c.alpha) * rho, math.sqrt(2) / n)
             measured[pick] = np.maximum(true[pick] + rng.normal(scale=sigma, size=true[pick].shape), 0)
             measured[pick] /= max(measured[pick].sum(), 1e-12)
         model.fit(measured, c.rate, c.inner)
-    codes = model.sample(min(n_synth, UPDATE_ROWS), seed + 1)
-    out = from_codes(rows.sparkSession, codes, list(attributes), n_synth, noise)
-    return decode_rows(out, schema, bins, ["synth_id"])
+    return decode_rows(model.sample(rows.sparkSession, n_synth, noise), schema, bins, ["synth_id"])
 
 
 def centroid_fallback(spark: SparkSession, center: Mapping[str, float | str], schema: PublicSchema, n_rows: int, compat: Sequence[float] | None = None) -> DataFrame:
@@ -303,29 +318,34 @@ def centroid_fallback(spark: SparkSession, center: Mapping[str, float | str], sc
 
 @dataclass
 class ClusterLog:
+    """``error`` tells why a cluster fell back to its decoded centre; nothing here is counted on private rows."""
+
     cluster_id: int
     fallback: bool
-    rows: int
     error: str | None = None
 
 
+class EmptyTables(ArithmeticError):
+    """All noisy cells are zero: there is nothing to synthesise from."""
+
+
 def cluster_pools(assigned: DataFrame, schema: PublicSchema, centers: Sequence[Sequence[float]], spec, rows_per_cluster: int, synthesize) -> tuple[DataFrame, list[ClusterLog]]:
-    """(pools with cluster_id, log): one pool per centre, the decoded centre where rows are missing or synthesis fails."""
+    """(pools with cluster_id, log): one pool per centre, the decoded centre where the noisy tables are empty.
+
+    The choice rests on noisy tables alone (``EmptyTables``); any other error is an error.
+    """
     from .encode import decode_center
 
     spark = assigned.sparkSession
-    sizes_ = {r["cluster_id"]: r["n"] for r in assigned.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).collect()}  # k rows
     pools, log = None, []
     for c, center in enumerate(centers):
         error = None
         try:
-            if not sizes_.get(c):
-                raise LookupError("empty cluster")
             pool = validate_pool(synthesize(assigned.filter(F.col("cluster_id") == c).drop("cluster_id"), c, rows_per_cluster), schema)
-        except (ArithmeticError, LookupError, ValueError) as e:
+        except EmptyTables as e:
             error = f"{type(e).__name__}: {e}"
             pool = centroid_fallback(spark, decode_center(spec, center), schema, rows_per_cluster)
-        log.append(ClusterLog(c, error is not None, sizes_.get(c, 0), error))
+        log.append(ClusterLog(c, error is not None, error))
         pool = pool.withColumn("cluster_id", F.lit(c))
         pools = pool if pools is None else pools.unionByName(pool)
     return pools, log

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs
-from ..functions.rand import Noise, order_key
+from ..functions.rand import Noise
 from ..operators import cluster, encode, marginals, prep, privacy, prompt, sampling, score, synth
-from ..sources.schema import DECLARED
+from ..sources.schema import DECLARED, PublicSchema
 from ..sources.tables import read_parquet
 from . import experiment
 
@@ -51,7 +51,7 @@ def _r(x: str, digits: int = 6) -> str:
 
 def _u(seed, *parts: str) -> str:
     joined = ", ".join([f"'{seed}'", *[f"({p})::VARCHAR" for p in parts]])
-    return f"((('0x' || substr(md5(concat_ws('|', {joined})), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+    return f"((('0x' || substr(md5(concat_ws('|', {joined})), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
 
 
 def _lap(scale: float, seed, *parts: str) -> str:
@@ -197,6 +197,36 @@ def key_product(spark, d):
     return privacy.key_grid(s, exprs.group_spec(s, 8), spark).drop("key_id")
 
 
+_BANK = PublicSchema("Bank", {}, {"marital": ("married", "single", "divorced"), "contact": ("cellular", "telephone")}, "y", "yes")
+_DIABETES = PublicSchema("Diabetes", {"Age": (20.0, 90.0), "Pregnancies": (0.0, 20.0)}, {}, "y", "1")
+
+
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'Married' ELSE 'Not-Married' END AS marital, CASE WHEN c_nationkey % 2 = 0 THEN 'Cellular' ELSE 'Non-Cellular' END AS contact FROM customer")
+def category_merge(spark, d):
+    df = read_parquet(spark, d, "customer")
+    marital = F.when(F.col("c_mktsegment") == "BUILDING", " Married ").otherwise("single")
+    contact = F.when(F.col("c_nationkey") % 2 == 0, "CELLULAR").otherwise("telephone")
+    named = df.select("c_custkey", marital.alias("marital"), contact.alias("contact"))
+    return named.select("c_custkey", *[exprs.group_key(_BANK, c).alias(c) for c in ("marital", "contact")])
+
+
+@query("SELECT c_custkey, CASE WHEN 20 + c_custkey % 71 <= 33 THEN 'low' ELSE 'high' END AS age_group, CASE WHEN c_custkey % 21 <= 4 THEN 'low' ELSE 'high' END AS pregnancies_group FROM customer")
+def scaled_thresholds(spark, d):
+    raw = read_parquet(spark, d, "customer").select("c_custkey", (20 + F.col("c_custkey") % 71).cast("double").alias("Age"), (F.col("c_custkey") % 21).cast("double").alias("Pregnancies"))
+    scaled = raw.select("c_custkey", *[exprs.scale(_DIABETES, c).alias(c) for c in _DIABETES.numeric])
+    return scaled.select("c_custkey", exprs.group_key(_DIABETES, "Age").alias("age_group"), exprs.group_key(_DIABETES, "Pregnancies").alias("pregnancies_group"))
+
+
+@query('SELECT c_custkey AS "customer key", c_mktsegment AS segment FROM customer')
+def lower_names(spark, d):
+    return prep.lower_names(read_parquet(spark, d, "customer").select(F.col("c_custkey").alias(" Customer Key"), F.col("c_mktsegment").alias("SEGMENT ")))
+
+
+@query("SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
+def distinct_values(spark, d):
+    return read_parquet(spark, d, "lineitem").select("l_returnflag", "l_linestatus").distinct()
+
+
 @query(f"WITH {ORDERS} SELECT row_id, o_orderstatus FROM o WHERE target = 1")
 def label_filter(spark, d):
     return declared(spark, d, "orders").filter("target = 1").select("row_id", "o_orderstatus")
@@ -427,7 +457,23 @@ def kmeans_step(spark, d):
     return r6(s.select("cluster", F.col("count").alias("n"), *[F.col("center")[j].alias(f"c{j}") for j in range(4)]))
 
 
-@query()
+def _km_rounds_sql(k: int, eps: float, rounds: int) -> str:
+    """dp_kmeans, round by round: assignment by a join with the k centres, sums, noise, clipping."""
+    reach, upper, each = _SN + _SC, SPEC.upper, eps / rounds
+    start = cluster.initial_centers(SPEC, k, Noise.test(SEED))
+    values = ", ".join("(" + ", ".join([str(i), *[f"{v!r}::DOUBLE" for v in c]]) + ")" for i, c in enumerate(start))
+    sql = f"WITH {ORDERS}, x AS (SELECT row_id, {', '.join(f'{x} AS x{j}' for j, x in enumerate(_X))} FROM o), c0 AS (SELECT * FROM (VALUES {values}) t(cluster, {', '.join(f'c{j}' for j in range(4))}))"
+    far = " + ".join(f"(x{j} - c{j}) * (x{j} - c{j})" for j in range(4))
+    for r in range(rounds):
+        n = f"greatest(coalesce(n, 0) + {_lap(2.0 / each, SEED, repr_('km-count'), repr_(str(r)), 'cluster')}, 1.0)"
+        move = ", ".join(f"least(greatest((coalesce(s{j}, 0) + {_lap(2.0 * reach / each, SEED, repr_('km-sum'), repr_(str(r)), 'cluster', repr_(str(j)))}) / {n}, 0), {upper[j]!r}::DOUBLE) AS c{j}" for j in range(4))
+        sql += f""", a{r} AS (SELECT row_id, min({{'d': {far}, 'id': cluster}}).id AS cluster FROM x CROSS JOIN c{r} GROUP BY row_id),
+          s{r} AS (SELECT cluster, count(*) AS n, {', '.join(f'sum(x{j}) AS s{j}' for j in range(4))} FROM a{r} JOIN x USING (row_id) GROUP BY cluster),
+          c{r + 1} AS (SELECT cluster, {move} FROM (SELECT cluster FROM c0) LEFT JOIN s{r} USING (cluster))"""
+    return sql + f" SELECT cluster, {', '.join(_r(f'c{j}') + f' AS c{j}' for j in range(4))} FROM c{rounds}"
+
+
+@query(_km_rounds_sql(3, 2.0, 3))
 def dp_kmeans_fixed_rounds(spark, d):
     centers = cluster.dp_kmeans(declared(spark, d, "orders"), SPEC, 3, 2.0, Noise.test(SEED), rounds=3)
     return r6(spark.createDataFrame([(i, *c) for i, c in enumerate(centers)], "cluster int, c0 double, c1 double, c2 double, c3 double"))
@@ -512,9 +558,9 @@ def balanced_demos(spark, d):
     return _demos(spark, d, "true")
 
 
-@query(_PARTS + _demo_sql(_Q, "SELECT row_id AS pool_id, target FROM o WHERE target = 0 OR row_id <= 8", 16))
+@query(_PARTS + _demo_sql(_Q, "SELECT row_id AS pool_id, target FROM o WHERE target = 0 OR o_totalprice >= 0.995", 16))
 def demos_with_replacement(spark, d):
-    return _demos(spark, d, "target = 0 OR row_id <= 8", 16)
+    return _demos(spark, d, "target = 0 OR o_totalprice >= 0.995", 16)  # few rows of class 1
 
 
 @query(_PARTS + _demo_sql(_Q, "SELECT row_id AS pool_id, target FROM o WHERE target = 1", 3))
@@ -522,16 +568,12 @@ def demos_single_class(spark, d):
     return _demos(spark, d, "target = 1", 3)
 
 
-@query(
-    f"WITH {ORDERS}, b AS (SELECT *, {_nearest()} AS cl FROM o), pl AS (SELECT row_id AS pool_id, target, cl, row_number() OVER (PARTITION BY cl ORDER BY {_h(SEED, 'row_id')}, row_id) AS r FROM b) SELECT b.row_id AS query_id, b.cl AS cluster_id, pool_id FROM b JOIN pl USING (cl) WHERE pl.r <= 2"
-)
+@query(f"WITH {ORDERS}, {BALANCED} SELECT q.row_id AS query_id, q.cl AS cluster_id, p.row_id AS pool_id FROM (SELECT row_id, {_nearest()} AS cl FROM b) q JOIN (SELECT row_id, {_nearest()} AS cl FROM o) p USING (cl)")
 def route_pool_join(spark, d):
-    from pyspark.sql import Window
-
-    routed = cluster.assign(declared(spark, d, "orders"), SPEC, CENTERS)
-    first = Window.partitionBy("cluster_id").orderBy(order_key(SEED, F.col("row_id")), "row_id")
-    pools = routed.withColumn("r", F.row_number().over(first)).filter("r <= 2").select("cluster_id", F.col("row_id").alias("pool_id"))
-    return routed.select(F.col("row_id").alias("query_id"), "cluster_id").join(F.broadcast(pools), "cluster_id").select("query_id", "cluster_id", "pool_id")
+    rows = declared(spark, d, "orders")
+    queries = cluster.assign(sampling.balanced(rows, 50, SEED), SPEC, CENTERS).select(F.col("row_id").alias("query_id"), "cluster_id")
+    pools = cluster.assign(rows, SPEC, CENTERS).select("cluster_id", F.col("row_id").alias("pool_id"))
+    return pools.join(F.broadcast(queries), "cluster_id").select("query_id", "cluster_id", "pool_id")  # 100 queries at most
 
 
 @query(f"WITH {ORDERS} SELECT row_id FROM o WHERE {_u(SEED, repr_('bernoulli'), 'row_id')} < 0.3")
@@ -622,6 +664,26 @@ def weight_normalize(spark, d):
     return r6(rows.select("id", w["a"].alias("a"), w["b"].alias("b")))
 
 
+_SUMMARY = "'Class summary (label=' || target || '): o_totalprice=' || printf('%.2f', 0.25 * n * 500000.0::DOUBLE) || ', o_orderstatus=' || s"
+
+
+@query(f"WITH t AS (SELECT unnest([0, 1]) AS target, unnest([1, 3]) AS n, unnest(['F', 'O']) AS s) SELECT target, {_SUMMARY} AS line FROM t")
+def class_summary_lines(spark, d):
+    prototypes = spark.createDataFrame([(0.25, "F", 0), (0.75, "O", 1)], "o_totalprice double, o_orderstatus string, target int")
+    return prototypes.select("target", prompt.summary_line(DECLARED["orders"]).alias("line"))
+
+
+@query(f"WITH {ORDERS} SELECT row_id AS query_id, (o_totalprice > 0.5 OR (o_totalprice = 0.5 AND false))::INT AS prediction FROM o")
+def text_scorer_labels(spark, d):
+    """A scorer over texts, batch by batch: here the text is a number and label 1 scores by it."""
+    texts = declared(spark, d, "orders").select(F.col("row_id").alias("query_id"), F.format_string("%.17g", "o_totalprice").alias("prompt"))
+
+    def load():
+        return lambda batch: score.max_label_scores([{"0": 0.5, " 0": 0.1, " 1": float(t)} for t in batch])
+
+    return score.text_scorer(load)(texts, "query_id")
+
+
 # -- metrics --------------------------------------------------------------------------------------
 
 _METRICS = f"""SELECT tp, fp, fn, tn, {_r('(tp + tn) / nullif(tp + fp + fn + tn, 0)::DOUBLE')} AS accuracy, {_r('coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0)')} AS f1,
@@ -675,7 +737,7 @@ def marginal_synth(spark, d):
 
 @query()
 def generator_synth(spark, d):
-    return r6(synth.generator_synthesize(declared(spark, d, "lineitem"), DECLARED["lineitem"], 4.0, 2000, Noise.test(SEED), config=synth.GeneratorConfig(rounds=5, inner=60), seed=SEED))
+    return r6(synth.generator_synthesize(declared(spark, d, "lineitem"), DECLARED["lineitem"], 4.0, 2000, Noise.test(SEED), seed=SEED))
 
 
 @query()
@@ -691,7 +753,7 @@ def cluster_star_synth(spark, d):
 @query()
 def experiment_end_to_end(spark, d):
     ctx = experiment.prepare_dataset(spark, "orders", d)
-    return r6(experiment.run_experiments(spark, experiment.MarginalBackend(), [ctx], trials=1, ks=(2,), epsilons=(2.0,), n_synth=400))
+    return r6(experiment.run_experiments(spark, experiment.MarginalBackend(noise=Noise.test), [ctx], trials=1, ks=(2,), epsilons=(2.0,), n_synth=400, noise=Noise.test))
 
 
 @query()

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
+from ..functions.rand import Noise
 from ..operators.synth import GeneratorConfig
 from .experiment import METHODS, GeneratorBackend, MarginalBackend, prepare_dataset, run_experiments
 
@@ -34,18 +35,20 @@ def parse_args(argv: Sequence[str] | None = None) -> argparse.Namespace:
     p.add_argument("--rounds", type=int, default=10)
     p.add_argument("--alpha", type=float, default=0.5)
     p.add_argument("--inner", type=int, default=100)
+    p.add_argument("--test-noise", action="store_true", help="repeatable noise that anyone can remove: NOT private")
     return p.parse_args(argv)
 
 
 def main(argv: Sequence[str] | None = None) -> None:
     a = parse_args(argv)
     spark = SparkSession.builder.appName("veilspark").getOrCreate()
+    noise = Noise.test if a.test_noise else Noise.secret
     if a.backend == "marginal":
-        backend = MarginalBackend(a.bins, a.delta, a.consistency_rounds, a.view_rounds, a.update_rounds)
+        backend = MarginalBackend(a.bins, a.delta, a.consistency_rounds, a.view_rounds, a.update_rounds, noise)
     else:
-        backend = GeneratorBackend(a.bins, a.delta, GeneratorConfig(rounds=a.rounds, alpha=a.alpha, inner=a.inner))
+        backend = GeneratorBackend(a.bins, a.delta, GeneratorConfig(rounds=a.rounds, alpha=a.alpha, inner=a.inner), noise)
     contexts = [prepare_dataset(spark, d, a.root) for d in a.datasets]
-    run_experiments(spark, backend, contexts, a.methods, a.trials, a.k, a.epsilon, a.shots, a.delta, a.cluster_share, a.weight_fraction, cache_dir=a.cache_dir, out=a.out, n_synth=a.n_synth).show(truncate=False)
+    run_experiments(spark, backend, contexts, a.methods, a.trials, a.k, a.epsilon, a.shots, a.delta, a.cluster_share, a.weight_fraction, cache_dir=a.cache_dir, out=a.out, noise=noise, n_synth=a.n_synth).show(truncate=False)
 
 
 if __name__ == "__main__":

@@ -96,12 +96,12 @@ class MarginalBackend:
     consistency_rounds: int = 2
     view_rounds: int = 10
     update_rounds: int = 20
-    noise: Callable[[int], Noise] = Noise.test
+    noise: Callable[..., Noise] = Noise.secret
     name: str = "marginal"
     seed_offset: int = 1081
 
     def _make(self, rows, schema, epsilon, n, seed, target_only):
-        return synth.marginal_synthesize(rows, schema, epsilon, n, self.noise(seed), self.bins, self.delta, self.consistency_rounds, self.view_rounds, self.update_rounds, target_only, seed)
+        return synth.marginal_synthesize(rows, schema, epsilon, n, self.noise(self.name, epsilon, seed), self.bins, self.delta, self.consistency_rounds, self.view_rounds, self.update_rounds, target_only, seed)
 
     def global_pool(self, rows, schema, epsilon, n_synth, seed):
         return self._make(rows, schema, epsilon, n_synth, seed, False)
@@ -115,14 +115,14 @@ class GeneratorBackend:
     bins: int = 8
     delta: float = 1e-5
     config: synth.GeneratorConfig = field(default_factory=synth.GeneratorConfig)
-    noise: Callable[[int], Noise] = Noise.test
+    noise: Callable[..., Noise] = Noise.secret
     name: str = "generator"
     seed_offset: int = 808
 
     def _make(self, rows, schema, epsilon, n, seed, star):
         from dataclasses import replace
 
-        return synth.generator_synthesize(rows, schema, epsilon, n, self.noise(seed), self.bins, self.delta, replace(self.config, target_star=star), seed)
+        return synth.generator_synthesize(rows, schema, epsilon, n, self.noise(self.name, epsilon, seed), self.bins, self.delta, replace(self.config, target_star=star), seed)
 
     def global_pool(self, rows, schema, epsilon, n_synth, seed):
         return self._make(rows, schema, epsilon, n_synth, seed, False)
@@ -157,13 +157,13 @@ def evaluation_prompts(routed: DataFrame, pools: DataFrame, schema: PublicSchema
     return p.select("query_id", prompt.scorer_input(F.col("system_message"), F.col("user_message"), mode).alias("prompt"))
 
 
-def task_weights(ctx: DatasetContext, weight_rows: DataFrame, epsilon: float, weigher: score.Weigher, cache_dir: str | None = None, noise: Callable[[int], Noise] = Noise.test, fraction: float = 0.1) -> dict[str, float]:
+def task_weights(ctx: DatasetContext, weight_rows: DataFrame, epsilon: float, weigher: score.Weigher, cache_dir: str | None = None, noise: Callable[..., Noise] = Noise.secret, fraction: float = 0.1) -> dict[str, float]:
     """Feature weights from the DP class summaries, read through a cache."""
     name = ctx.schema.name
     if cache_dir and (found := tables.read_cache(cache_dir, name, epsilon, SPLIT_SEED, ctx.feature_cols)):
         return found
     seed = SUMMARY_SEED + (0 if infinite(epsilon) else round(1000 * epsilon))
-    prototypes = privacy.class_prototypes(weight_rows, ctx.schema, epsilon, noise(seed))
+    prototypes = privacy.class_prototypes(weight_rows, ctx.schema, epsilon, noise("weights", seed))
     rows = [r.asDict() for r in prototypes.drop("key_id").collect()]  # two rows
     weights = weigher(weight_rows.sparkSession.createDataFrame(rows, prototypes.drop("key_id").schema), ctx.schema)
     if cache_dir:
@@ -188,15 +188,18 @@ def check_arguments(methods: Sequence[str], cluster_share: float, delta: float,
 def run_experiments(
     spark: SparkSession, backend: Backend, contexts: Sequence[DatasetContext], methods: Sequence[str] = METHODS, trials: int = 10, ks: Sequence[int] = (3,), epsilons: Sequence[float] = (1.0, 2.0, 4.0),
     shots: int = 8, delta: float = 1e-5, cluster_share: float = 0.3, weight_fraction: float = 0.1, weigher: score.Weigher = score.class_gap_weigher, cache_dir: str | None = None, out: str | None = None,
-    noise: Callable[[int], Noise] = Noise.test, n_synth: int | None = None,
+    noise: Callable[..., Noise] = Noise.secret, n_synth: int | None = None, scorer: Callable[[encode.OneHotSpec, PublicSchema], score.Scorer] | None = None,
 ) -> DataFrame:
     """One result row per dataset, method, k, epsilon and trial.
 
     Global pools do not depend on k and are built once per (dataset, epsilon, trial).
-    The reserved weighting part and the main part are disjoint, so their spends compose in parallel.
+    The reserved weighting part and the main part are disjoint, so their spends compose in parallel; both kinds of
+    pools are made of the main part alone. Every row of the results is a release with a ledger of its own, and every
+    release has noise of its own: ``noise`` is called with method, k, epsilon and seed, and is secret unless given.
+    ``scorer`` makes a scorer of the weighted space and the schema, by default the nearest demonstration.
     """
     check_arguments(methods, cluster_share, delta, epsilons, ks)
-    results = None
+    found, kind = [], None
     for ctx in contexts:
         schema = ctx.schema
         train = ctx.keep(ctx.train)
@@ -204,35 +207,56 @@ def run_experiments(
         weight_rows, main = sampling.disjoint_split(train, weight_fraction, SPLIT_SEED, n=n)
         total = n_synth or n
         for eps in epsilons:
-            ledger = privacy.BudgetLedger(eps)
-            ledger.spend("weight", eps)
             weights = task_weights(ctx, weight_rows, eps, weigher, cache_dir, noise, weight_fraction)
             spec = encode.onehot_spec(schema, weights)
-            scorer = score.nearest_demo_scorer(spec)
+            answer = score.nearest_demo_scorer(spec) if scorer is None else scorer(spec, schema)
             eps_cluster, eps_synth = privacy.split_budget(eps, cluster_share)
             for t in range(trials):
                 seed = 1000 + t + backend.seed_offset
                 runs = []
                 if "global" in methods:
-                    pool = backend.global_pool(train, schema, eps, total, seed).withColumn("cluster_id", F.lit(0))
-                    runs.append(("global", None, constant_pool(ctx.evaluation), pool, 0))
+                    ledger = spent(eps)
+                    pool = backend.global_pool(main, schema, ledger.spend("main", eps), total, seed).withColumn("cluster_id", F.lit(0))
+                    runs.append(("global", None, constant_pool(ctx.evaluation), pool, 0, ledger))
                 if "clustered" in methods:
                     for k in ks:
-                        centers = cluster.dp_kmeans(main, spec, k, eps_cluster, noise(seed), n=n)
+                        ledger = spent(eps)
+                        centers = cluster.dp_kmeans(main, spec, k, ledger.spend("main", eps_cluster), noise("centers", k, eps, seed))
                         assigned = cluster.assign(main, spec, centers)
-                        make = lambda rows, c, size, s=seed: backend.cluster_pool(rows, schema, eps_synth, size, s + c)
+                        each = ledger.spend("main", eps_synth)  # clusters are disjoint
+                        make = lambda rows, c, size, s=seed, e=each: backend.cluster_pool(rows, schema, e, size, s + c)
                         pools, log = synth.cluster_pools(assigned, schema, centers, spec, max(1, total // k), make)
-                        runs.append(("clustered", k, routed_pool(ctx.evaluation, spec, centers, pools), pools, sum(x.fallback for x in log)))
-                for method, k, routed, pool, fallbacks in runs:
-                    m, per_query = evaluate(routed, pool, schema, scorer, shots, t * 10_000)
+                        runs.append(("clustered", k, routed_pool(ctx.evaluation, spec, centers, pools), pools, sum(x.fallback for x in log), ledger))
+                for method, k, routed, pool, fallbacks, ledger in runs:
+                    m, per_query = evaluate(routed, pool, schema, answer, shots, t * 10_000)
                     about = {
                         "dataset": schema.name, "method": method, "epsilon": float(eps), "delta": float(delta), "K": k or 1, "seed": seed, "base_synthesizer": backend.name, "uses_dp_summaries": True,
-                        "eps_cluster": eps_cluster if k else 0.0, "eps_synth": eps_synth if k else float(eps), "target_centered": k is not None, "fallback_clusters": fallbacks,
+                        "eps_cluster": eps_cluster if k else 0.0, "eps_synth": eps_synth if k else float(eps), "target_centered": k is not None, "fallback_clusters": fallbacks, "epsilon_spent": float(ledger.total),
                         "weight_sample_fraction": weight_fraction, "weight_split_seed": SPLIT_SEED, "weight_source": getattr(weigher, "__name__", "weigher"),
                     }
                     tag = lambda df, keys: df.select(*[F.lit(about[x]).alias(x) for x in keys], *[F.col(c) for c in df.columns])
                     row = tag(m, about)
                     if out:
                         tables.append_results(row, tag(per_query, ("dataset", "method", "epsilon", "K", "seed")), out)
-                    results = row if results is None else results.unionByName(row)
-    return results
+                    # one row: collected here, so that a sweep's plan does not grow and tables can be let go
+                    kind, found = row.schema, found + [tuple(r) for r in row.collect()]
+        ctx.release()
+    return spark.createDataFrame(found, kind)
+
+
+def spent(epsilon: float) -> privacy.BudgetLedger:
+    """The ledger of one release, with the feature weights already bought from the reserved part."""
+    ledger = privacy.BudgetLedger(epsilon)
+    ledger.spend("weight", epsilon)
+    return ledger
+
+
+def prompt_scorer(schema: PublicSchema, score_texts, mode: str = "json", max_tokens: int = 4000) -> score.Scorer:
+    """A scorer that reads prompts: demonstrations and query are rendered, cut from the left to ``max_tokens`` words, and scored."""
+
+    def run(queries: DataFrame, demos: DataFrame, query_key: str) -> DataFrame:
+        p = prompt.prompts(queries, demos, schema, mode, query_key)
+        text = prompt.scorer_input(F.col("system_message"), F.col("user_message"), mode)
+        return score_texts(p.select(query_key, prompt.left_truncated(text, max_tokens).alias("prompt")), query_key)
+
+    return run
