@@ -78,16 +78,16 @@ class Packer:
         self.steps[size] = group, left - 1
         offset, sequence = 0, self.base + self.sequences
         self.sequences += 1
-        for (key, ids), start, length in pieces:
-            self.rows.append((key, start, length, zlib.crc32(ids[start : start + length].data), len(ids), sequence, offset, size, group))
+        for (key, ids, base, total), start, length in pieces:
+            self.rows.append((key, start, length, zlib.crc32(ids[start - base : start - base + length].data), total, sequence, offset, size, group))
             offset += length
 
     def add(self, key, ids: np.ndarray) -> None:
-        doc, n = (key, ids), len(ids)
+        n = len(ids)
         for start in range(0, n - self.window + 1, self.window):
-            self._close(self.window, [(doc, start, self.window)])
-        if rest := n % self.window:
-            self._put(doc, n - rest, rest)
+            self._close(self.window, [((key, ids, 0, n), start, self.window)])
+        if rest := n % self.window:  # what waits holds its own ids only, not the document's
+            self._put((key, ids[n - rest :].copy(), n - rest, n), n - rest, rest)
         if self.waiting > POOL_TOKENS:
             self.pack(POOL_TOKENS // 2)
 
