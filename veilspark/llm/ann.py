@@ -14,8 +14,8 @@ number of tasks. The rotation is fitted on at most ``SAMPLE`` vectors; every vec
 
 Edge cases. Vectors that are null, empty, zero, of another length than most, or
 hold null or non-finite components take no part, as queries or candidates.
-If fewer than k codes of a block lie in the radius, the whole block is
-reranked, so short tables give all their candidates. Ties go to the smaller id. Repeated ids
+If fewer than k codes of a block lie in the radius, it grows by one flip a substring and the
+lists are probed again, so short tables give all their candidates. Ties go to the smaller id. Repeated ids
 are candidates each; an id is never its own neighbour. Null ids take no part.
 """
 
@@ -90,17 +90,21 @@ class Index:
         for s in range(SUBS):
             order = np.argsort(parts[:, s], kind="stable")
             self.lists.append((order, np.searchsorted(parts[order, s], np.arange(257))))
-        self.probes = _probes(radius // SUBS)
+        self.probes: dict[int, list[np.ndarray]] = {}
 
-    def within(self, code: np.uint64) -> np.ndarray:
+    def within(self, code: np.uint64, radius: int | None = None) -> np.ndarray:
         """All positions whose codes lie within the radius of ``code``."""
+        radius = self.radius if radius is None else radius
+        flips = radius // SUBS
+        if flips not in self.probes:
+            self.probes[flips] = _probes(flips)
         hit = np.zeros(len(self.codes), bool)
         for s, value in enumerate(np.array([code]).view(np.uint8)):
             order, at = self.lists[s]
-            for p in self.probes[value]:
+            for p in self.probes[flips][value]:
                 hit[order[at[p] : at[p + 1]]] = True
         found = np.flatnonzero(hit)
-        return found[np.bitwise_count(self.codes[found] ^ code) <= self.radius]
+        return found[np.bitwise_count(self.codes[found] ^ code) <= radius]
 
 
 def search_block(qid: np.ndarray, qx: np.ndarray, qcode: np.ndarray, cid: np.ndarray, cx: np.ndarray, ccode: np.ndarray, k: int = TOP, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,10 +113,11 @@ def search_block(qid: np.ndarray, qx: np.ndarray, qcode: np.ndarray, cid: np.nda
     norm = np.sqrt(np.einsum("ij,ij->i", cx, cx))
     out: list[tuple] = []
     for i in range(len(qid)):
+        reach = radius
         at = index.within(qcode[i])
-        at = at[cid[at] != qid[i]]
-        if len(at) < k:
-            at = np.flatnonzero(cid != qid[i])
+        while len(at := at[cid[at] != qid[i]]) < k and reach < BITS:
+            reach = min(reach + SUBS, BITS)
+            at = index.within(qcode[i], reach)
         score = np.array([]) if not len(at) else (cx[at] @ qx[i]) / (norm[at] * np.sqrt(qx[i] @ qx[i]))
         if len(at) > 4 * k:
             edge = np.partition(score, len(score) - k)[-k]
