@@ -128,6 +128,39 @@ def test_feistel_permutes(spark, n):
     assert a * b >= n and (n < 100 or a * b - n < 40)
 
 
+def test_sharding_is_the_stated_permutation(spark):
+    """Shard and slot from a Feistel network and its walk in plain Python, ties and null ids included."""
+    from xxhash import xxh64_intdigest
+
+    rows = [(i // 2, f"t{i * 31 % 17}", "s") for i in range(150)] + [(None, "z", "s"), (None, None, "s"), (3, "t5", "s"), (3, "t5", "s")]
+    n, table = len(rows), docs(spark, rows).repartition(3)
+    a, b = sharding.domain(n)
+
+    def mix(round_, half, modulus):
+        h = xxh64_intdigest(sharding.SEED.to_bytes(4, "little"), 42)
+        h = xxh64_intdigest(half.to_bytes(8, "little"), xxh64_intdigest(round_.to_bytes(4, "little"), h))
+        return (h - (1 << 64) if h >> 63 else h) % modulus
+
+    def permute(x):
+        l, r = x % a, x // a
+        for i in range(sharding.ROUNDS):
+            l = (l + mix(2 * i, r, a)) % a
+            r = (r + mix(2 * i + 1, l, b)) % b
+        return r * a + l
+
+    def spot(x):
+        x = permute(x)
+        while x >= n:
+            x = permute(x)
+        return x
+
+    out = sharding.shard(table).toPandas()
+    assert sorted(out.row_number) == list(range(n)) and all((s, t) == (spot(x) % 24, spot(x) // 24) for x, s, t in zip(out.row_number, out.shard, out.slot))
+    by_number = out.sort_values("row_number").doc_id
+    assert by_number.isna().tolist() == [True, True] + [False] * (n - 2) and by_number.dropna().is_monotonic_increasing
+    assert all(sorted(g) == list(range(len(g))) for _, g in out.groupby("shard").slot)
+
+
 def test_mixing(spark, edges, none):
     out = mixing.mix_report(edges).toPandas()
     assert len(out) == len(EDGES) and (out.taken <= 3 * out["size"]).all() and mixing.mix_report(none).count() == 0
