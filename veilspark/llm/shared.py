@@ -2,8 +2,8 @@
 
 Intermediate results that cut lineage are written as Parquet below
 ``spark.checkpoint.dir``, the folder that the driver and all executors see.
-Only a session without that setting (tests, notebooks on one machine) gets a
-temporary folder. Nothing is ever kept in executor memory alone, so a lost
+Only a local session without that setting (tests, notebooks on one machine) gets a
+temporary folder; on a cluster its absence is an error. Nothing is ever kept in executor memory alone, so a lost
 executor costs a re-read and never a result.
 """
 
@@ -30,6 +30,8 @@ def shared_root(spark: SparkSession) -> str:
     """The shared folder: the session's checkpoint directory, or a new one if unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         root = _own.get(app) or _own.setdefault(app, tempfile.mkdtemp(prefix="veilspark-"))
     return root.rstrip("/")
