@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilspark.llm import ann, exact_dedup, html_text, labelled, mixing, packing, quality, repeats, sharding, simhash, toxicity
+from veilspark.llm import ann, exact_dedup, html_text, labelled, mixing, packing, quality, repeats, sharding, simhash, tokens, toxicity
 from veilspark.llm.queries import tokenizer_path
 
 SMALL = "/root/testdata/sf0.001"
@@ -230,6 +230,19 @@ def test_packing(spark, edges, none):
         assert size <= 2048 and size & (size - 1) == 0
 
 
+def test_coder_equals_the_tokenizer():
+    import random
+
+    rng = random.Random(3)
+    signs = [chr(i) for i in range(0x250)] + ["'s", "'LL", "_'re", " ", "\t", "<|endoftext|>", "\u65e5", "1st", "e\u0301"] * 20
+    latin = [c for c in signs if tokens._SIMPLE.fullmatch(c)]
+    texts = ["".join(rng.choice(part) for _ in range(rng.randint(0, 60))) for part in (latin, latin, latin, signs) for _ in range(1500)]
+    coder = tokens.Coder(tokenizer_path(), entries=500)  # small, so that generations turn over
+    for i in range(0, len(texts), 100):
+        for t, ids in zip(texts[i : i + 100], coder.encode(texts[i : i + 100])):
+            assert ids.tolist() == coder.tokenizer.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
 def test_packer_fills_windows():
     rng = np.random.default_rng(1)
     p = packing.Packer()
