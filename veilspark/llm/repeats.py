@@ -20,8 +20,9 @@ keeps the method's frame and sorts a sample from which all other positions are i
 4. Induction. Repeated runs and windows become byte intervals of their documents.
 
 Map tasks settle repeats within their own batches before anything is shuffled, so a passage
-in a third of all documents costs one row per batch. Windows are compared by 64-bit hashes
-within one key; two different windows of one key are mistaken with odds of 2**-64 a pair.
+in a third of all documents costs one row per batch. Within one key, runs and windows are compared
+by 64-bit hashes (odds of a mistake: 2**-64 a pair of one key). The windows of hot keys,
+which meet all other hot windows, are compared by 128 bits.
 
 Edge cases. Null text counts as empty. Texts under ``LENGTH`` bytes have nothing to
 remove. Documents are ordered by id, nulls last; rows of equal id are
@@ -74,11 +75,12 @@ def grams(words: np.ndarray) -> np.ndarray:
     return _mix(words[:-8] * _C[0] + _mix(words[8:]) * _C[1])
 
 
-def window_hashes(words: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Hash of the ``LENGTH`` bytes that start at each of ``at``."""
-    total = np.zeros(len(at), np.uint64)
+def window_hashes(words: np.ndarray, at: np.ndarray, other: bool = False) -> np.ndarray:
+    """Hash of the ``LENGTH`` bytes that start at each of ``at``; ``other``: a second one, with factors of its own."""
+    total = np.full(len(at), int(other), np.uint64)
+    carry, factor = (_C[1], _C[3]) if other else (_C[3], _C[0])
     for j in (*range(0, LENGTH - 8, 8), LENGTH - 8):
-        total = _mix(total * _C[3] + words[at + j] * _C[0])
+        total = _mix(total * carry + words[at + j] * factor)
     return total
 
 
@@ -226,15 +228,16 @@ def _spans(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return doc[head], start[head], start[np.append(head[1:] - 1, len(start) - 1)] if len(head) else start[head]
 
 
-def _hashed(key: np.ndarray, doc: np.ndarray, a: np.ndarray, p: np.ndarray, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, start in its document) of every window of ``runs``; windows meet only at one key and one offset."""
+def _hashed(key: np.ndarray, doc: np.ndarray, a: np.ndarray, p: np.ndarray, runs: list[bytes], wide: bool = False) -> tuple[np.ndarray, ...]:
+    """(hash, row, start in its document) of every window of ``runs``, and a second hash if ``wide``; windows meet only at one key and one offset."""
     size = np.array([len(r) for r in runs], np.int64)
     begin = np.concatenate(([0], np.cumsum(size)[:-1]))
     count = size - LENGTH + 1
     row = np.repeat(np.arange(len(runs)), count)
     nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    h = window_hashes(_words(b"".join(runs)), begin[row] + nth)
-    return _mix(h + key.view(np.uint64)[row] * _C[1] + (p[row] - a[row] - nth).astype(np.uint64) * _C[3]), row, a[row] + nth
+    words, at = _words(b"".join(runs)), begin[row] + nth
+    h = _mix(window_hashes(words, at) + key.view(np.uint64)[row] * _C[1] + (p[row] - a[row] - nth).astype(np.uint64) * _C[3])
+    return (h, row, a[row] + nth, *([window_hashes(words, at, True)] if wide else []))
 
 
 _RUN = "kind int, key long, doc long, a long, p long, run binary"
@@ -250,17 +253,17 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents (rid, text, list of (kind, key, a, b, p)) -> rows of ``_RUN``.
 
     An open anchor brings its run's bytes and is dealt by its key. The windows of a hot
-    key are dealt one by one, by their hashes, the first of a batch only; the rest of
+    key are dealt one by one, by their hashes (key, p), the first of a batch only; the rest of
     the batch is settled and leaves as intervals (a, p) of ``_GONE``.
     """
 
     def windows(hot: list[tuple]) -> Iterator[pa.RecordBatch]:
         key, doc, a, p = (np.array(x, np.int64) for x in list(zip(*hot))[:4])
-        h, row, start = _hashed(key, doc, a, p, [x[4] for x in hot])
-        order = np.lexsort((start, doc[row], h))
+        h, row, start, more = _hashed(key, doc, a, p, [x[4] for x in hot], True)
+        order = np.lexsort((start, doc[row], more, h))
         fresh = np.empty(len(h), bool)
-        fresh[order] = _first_of_run(h[order])
-        yield _runs(_HOT, h[fresh].view(np.int64), doc[row[fresh]], start[fresh], start[fresh], None)
+        fresh[order] = _first_of_run(h[order], more[order])
+        yield _runs(_HOT, h[fresh].view(np.int64), doc[row[fresh]], start[fresh], more[fresh].view(np.int64), None)
         old = np.flatnonzero(~fresh)
         old = old[np.lexsort((start[old], doc[row[old]]))]
         d, first, last = _spans(doc[row[old]], start[old])
@@ -288,10 +291,10 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of ``_RUN`` sorted by (key, doc, a) -> intervals of windows that some earlier run has too.
+    """Rows of ``_RUN`` sorted by (key, p if hot, doc, a) -> intervals of windows that some earlier run has too.
 
     What is kept between batches: the window hashes of one key (``HOT`` runs at most),
-    or the one hash of a hot window.
+    or the two hashes of one hot window.
     """
     seen_key, seen = None, np.empty(0, np.uint64)
     hot_key = None
@@ -302,10 +305,10 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(_GONE, 0, 0, doc[gone], a[gone], p[gone], 0)
         hot = kind == _HOT
         if hot.any():
-            k, d, at = key[hot], doc[hot], a[hot]
-            old = ~_first_of_run(k)
-            old[0] = k[0] == hot_key
-            hot_key = k[-1]
+            k, more, d, at = key[hot], p[hot], doc[hot], a[hot]
+            old = ~_first_of_run(k, more)
+            old[0] = hot_key == (k[0], more[0])
+            hot_key = k[-1], more[-1]
             yield _batch(_GONE, 0, 0, d[old], at[old], at[old] + LENGTH, 0)
         whole = np.flatnonzero(kind == _OPEN)
         if not len(whole):
@@ -372,7 +375,7 @@ def repeated(docs: DataFrame, hot: int = HOT) -> DataFrame:
     undecided = decided.filter(F.col("kind").isin(_OPEN, _HOT))
     wanted = undecided.groupBy("doc").agg(F.collect_list(F.struct("kind", "key", "a", "b", "p")).alias("wanted"))  # bounded by the document
     runs = docs.join(wanted, docs.rid == wanted.doc).select("rid", "text", "wanted").mapInArrow(_fetch, _RUN)
-    compared = runs.repartition(n, "key").sortWithinPartitions("key", "doc", "a").mapInArrow(_compare, _ROW)
+    compared = runs.repartition(n, "key").sortWithinPartitions("key", F.when(F.col("kind") == _HOT, F.col("p")), "doc", "a").mapInArrow(_compare, _ROW)
     gone = decided.filter(F.col("kind") == _GONE).select("doc", "a", "b").unionByName(compared.select("doc", "a", "b"))
     return gone
 
