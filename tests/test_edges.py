@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from veilspark.functions import exprs
 from veilspark.functions.rand import Noise
 from veilspark.operators import cluster, encode, marginals, prep, privacy, prompt, sampling, score, synth
+from veilspark.operators.generator import GeneratorConfig, Mixture
 from veilspark.plans import experiment
 from veilspark.plans.cli import parse_args
 from veilspark.sources import schema as S
@@ -74,7 +75,7 @@ def test_budget_ledger():
 
 
 def test_noise_statistics(spark):
-    n = spark.range(20000).select(Noise.test(3).laplace(2.0, "z", F.col("id")).alias("z"), Noise.secret().normal(1.5, F.col("id")).alias("g"), Noise.test(3).geometric(1.0, F.col("id")).alias("k"))
+    n = spark.range(20000).select(Noise.test(3).laplace(2.0, "z", F.col("id")).alias("z"), Noise.secret().normal(1.5, F.col("id")).alias("g"), Noise.test(3).discrete_laplace(1.0, F.col("id")).alias("k"))
     r = n.agg(F.avg("z"), F.stddev("z"), F.avg("g"), F.stddev("g"), F.avg("k")).first()
     assert abs(r[0]) < 0.1 and abs(r[1] - math.sqrt(8)) < 0.15 and abs(r[2]) < 0.06 and abs(r[3] - 1.5) < 0.05 and abs(r[4]) < 0.05
     for scale in (0.0, -1.0, math.inf, math.nan):
@@ -158,8 +159,13 @@ def test_fallback_and_pools(spark):
     rows = toy(spark, [(i, 0.1, "a", i % 2) for i in range(20)])
     spec = encode.onehot_spec(TOY)
     centers = [[0.1, 0.6, 0, 0], [0.9, 0, 0.6, 0]]
-    pools, log = synth.cluster_pools(cluster.assign(rows, spec, centers), TOY, centers, spec, 6, lambda r, c, n: synth.marginal_synthesize(r, TOY, math.inf, n, Noise.test(1)))
-    assert [x.fallback for x in log] == [False, True] and pools.count() == 12
+    for method in (synth.MarginalMethod(marginals.sizes(TOY), math.inf), synth.GeneratorMethod(marginals.sizes(TOY), math.inf, config=GeneratorConfig(rounds=2, target_star=True))):
+        pools, log = synth.cluster_pools(cluster.assign(rows, spec, centers), TOY, centers, spec, 6, method, Noise.test(1))
+        assert [x.fallback for x in log] == [False, True]
+        assert pools.groupBy("cluster_id").count().orderBy("cluster_id").collect() == [(0, 6), (1, 6)]
+    wrong = spark.createDataFrame([(0.1, "a", 2)], "x double, c string, target int")
+    with pytest.raises(Exception, match="targets other than 0 and 1"):
+        synth.validate_pool(wrong, TOY).collect()
 
 
 def test_synthesis_follows_the_data(spark):
@@ -174,7 +180,7 @@ def test_pools_of_any_size_are_drawn_row_by_row(spark, monkeypatch):
     rows = toy(spark, [(i, i % 50 / 50, "abd"[i % 3], i % 2) for i in range(600)])
     pool = synth.marginal_synthesize(rows, TOY, math.inf, 450, Noise.test(1)).toPandas()
     assert sorted(pool.synth_id) == list(range(450)) and abs(pool.target.mean() - 0.5) < 0.1
-    made = synth.generator_synthesize(rows, TOY, math.inf, 3000, Noise.test(1), config=synth.GeneratorConfig(rounds=3)).toPandas()
+    made = synth.generator_synthesize(rows, TOY, math.inf, 3000, Noise.test(1), config=GeneratorConfig(rounds=3)).toPandas()
     assert sorted(made.synth_id) == list(range(3000)) and abs(made.target.mean() - 0.5) < 0.1
 
 

@@ -56,8 +56,9 @@ def counted(coded: DataFrame, sets: Sequence[tuple[str, ...]], attributes: Mappi
 
 
 def marginal_tables(coded: DataFrame, sets: Sequence[tuple[str, ...]], attributes: Mapping[str, int], by: Sequence[str] = (), groups: DataFrame | None = None) -> DataFrame:
-    """(by..., set_id, attrs, codes, n): dense tables of attribute sets of any degree, from one pass.
+    """(by..., set_id, at, attrs, codes, n): dense tables of attribute sets of any degree, from one pass.
 
+    ``at`` is a cell's place in its table, row by row. The empty set is a table of one cell: the number of rows.
     ``groups`` lists the values of ``by`` that get tables; without it, those that rows have.
     """
     spark = coded.sparkSession
@@ -70,11 +71,11 @@ def marginal_tables(coded: DataFrame, sets: Sequence[tuple[str, ...]], attribute
     about = spark.createDataFrame(about, "set_id int, attrs array<string>, shape array<int>, strides array<long>, offset long, cells long")
     grid_ = about.withColumn("rel", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
     codes = F.zip_with("shape", "strides", lambda n, t: (F.floor(F.col("rel") / t) % n).cast("int"))
-    dense = grid_.select("set_id", "attrs", codes.alias("codes"), (F.col("offset") + F.col("rel")).alias("cell"))
+    dense = grid_.select("set_id", F.col("rel").alias("at"), "attrs", codes.alias("codes"), (F.col("offset") + F.col("rel")).alias("cell"))
     if by:
         dense = dense.crossJoin(F.broadcast(coded.select(*by).distinct() if groups is None else groups))  # groups are clusters: few
     found = counted(coded, sets, attributes, by)
-    return dense.join(found, [*by, "cell"], "left").select(*by, "set_id", "attrs", "codes", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return dense.join(found, [*by, "cell"], "left").select(*by, "set_id", "at", "attrs", "codes", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def grid(spark, attributes: Mapping[str, int], set_: tuple[str, ...]) -> DataFrame:
@@ -134,9 +135,9 @@ def target_difference(coded: DataFrame, pairs: Sequence[tuple[str, str]], attrib
     return found.unionByName(coded.sparkSession.createDataFrame(rest, "attr_a string, attr_b string, indif double"))
 
 
-def workload_answers(pairs: DataFrame) -> DataFrame:
-    """Marginal cells as shares of all rows."""
+def workload_answers(tables: DataFrame, table: Sequence[str] = ("attr_a", "attr_b")) -> DataFrame:
+    """Marginal cells as shares of all rows; ``table`` names the columns that tell tables apart."""
     from pyspark.sql import Window
 
-    total = F.greatest(F.sum("n").over(Window.partitionBy("attr_a", "attr_b")), F.lit(1)).cast("double")
-    return pairs.withColumn("answer", F.col("n") / total).drop("n")
+    total = F.greatest(F.sum("n").over(Window.partitionBy(*table)), F.lit(1)).cast("double")
+    return tables.withColumn("answer", F.col("n") / total).drop("n")

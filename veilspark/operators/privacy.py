@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from itertools import product
 
@@ -19,15 +20,19 @@ class BudgetError(ValueError):
 
 @dataclass
 class BudgetLedger:
-    """Epsilon spent per disjoint part of a table; parts compose in parallel, spends in sequence."""
+    """Epsilon spent per disjoint part of a table; parts compose in parallel, spends in sequence.
+
+    Neighbours differ by one added or removed row. A spend on a Poisson sample of a part is charged what it costs the part.
+    """
 
     epsilon: float
     spent: dict[str, float] = field(default_factory=dict)
 
-    def spend(self, part: str, epsilon: float) -> float:
+    def spend(self, part: str, epsilon: float, rate: float = 1.0) -> float:
+        """Charge ``epsilon``, used on a secret Poisson sample of ``rate`` of the part; returns it."""
         if not epsilon > 0:
             raise BudgetError(f"epsilon must be positive, not {epsilon}")
-        used = self.spent.get(part, 0.0) + epsilon
+        used = self.spent.get(part, 0.0) + amplified(epsilon, rate)
         if not infinite(self.epsilon) and used > self.epsilon * (1 + 1e-9):
             raise BudgetError(f"part {part!r}: {used} of {self.epsilon} would be spent")
         self.spent[part] = used
@@ -38,6 +43,31 @@ class BudgetLedger:
         return max(self.spent.values(), default=0.0)
 
 
+def amplified(epsilon: float, rate: float) -> float:
+    """What ``epsilon`` spent on a Poisson sample costs the whole: ln(1 + rate (exp(epsilon) - 1))."""
+    if not 0 < rate <= 1:
+        raise ValueError(f"sample rate must lie in (0, 1], not {rate}")
+    if rate == 1 or infinite(epsilon):
+        return epsilon
+    return epsilon + math.log(rate + (1 - rate) * math.exp(-epsilon))
+
+
+def affordable(epsilon: float, rate: float) -> float:
+    """The epsilon to spend on a Poisson sample so that the whole is charged ``epsilon``: the inverse of ``amplified``."""
+    if not 0 < rate <= 1:
+        raise ValueError(f"sample rate must lie in (0, 1], not {rate}")
+    if rate == 1 or infinite(epsilon):
+        return epsilon
+    return epsilon + math.log((1 - (1 - rate) * math.exp(-epsilon)) / rate)
+
+
+def poisson_sample(df: DataFrame, rate: float, noise: Noise, key: str = "row_id") -> DataFrame:
+    """Each row by a coin of its own, keyed by ``noise``: the sample that ``amplified`` speaks of, if the noise is secret. Maybe no row."""
+    if not 0 < rate <= 1:
+        raise ValueError(f"sample rate must lie in (0, 1], not {rate}")
+    return df if rate == 1 else df.filter(noise.uniform("sample", col(key)) < rate)
+
+
 def split_budget(epsilon: float, cluster_share: float) -> tuple[float, float]:
     """(clustering, synthesis) shares of epsilon."""
     if not 0 < cluster_share < 1:
@@ -46,7 +76,8 @@ def split_budget(epsilon: float, cluster_share: float) -> tuple[float, float]:
 
 
 def noisy_count(n: Column, epsilon: float, noise: Noise, *parts) -> Column:
-    return n.cast("double") + (F.lit(0.0) if infinite(epsilon) else noise.laplace(1.0 / epsilon, *parts))
+    """The count with discrete Laplace noise: an integer, maybe below zero."""
+    return n.cast("long") + noise.discrete_laplace(epsilon, *parts)
 
 
 def noisy_mean(total: Column, n: Column, epsilon: float, noise: Noise, *parts, min_count: float = 1.0) -> Column:
@@ -69,7 +100,7 @@ def key_grid(schema: PublicSchema, spec: list[str], spark) -> DataFrame:
 
 
 def bernoulli(df: DataFrame, rate: float, seed: int, key: str = "row_id") -> DataFrame:
-    """Each row by a keyed coin; at least one row (the least hash) if any."""
+    """Each row by a coin that ``seed`` tells; at least one row (the least hash) if any. For evaluation: it amplifies nothing."""
     if not 0 < rate <= 1:
         raise ValueError(f"sample rate must lie in (0, 1], not {rate}")
     if rate >= 1:
@@ -82,30 +113,33 @@ def bernoulli(df: DataFrame, rate: float, seed: int, key: str = "row_id") -> Dat
     return some.drop("__u")
 
 
-def dp_group_by(rows: DataFrame, schema: PublicSchema, epsilon: float, shots: int, noise: Noise, spec: list[str] | None = None, min_count: float = 1.0, resample_seed: int | None = None) -> DataFrame:
-    """One prototype row per public key: noisy means, noisy modes, noisy target.
+def dp_group_by(rows: DataFrame, schema: PublicSchema, epsilon: float, shots: int, noise: Noise, spec: list[str] | None = None, min_count: float = 1.0, sample_rate: float = 1.0, exact_shots: bool = True, seed: int = 0, key: str = "row_id") -> DataFrame:
+    """One prototype row per public key: noisy means, noisy modes, noisy target; ``shots`` of them.
 
     Two aggregates over the rows, whatever the number of keys: sums and counts per
     key, and category counts per (key, column, value). Both shrink in the map tasks to at most the public
-    grid; noise is added to grid cells only. ``shots`` rows come back, resampled by hash if
-    the grid has another size and ``resample_seed`` is given.
+    grid; noise is added to grid cells only. If the grid has another size than ``shots``, its rows are resampled
+    by hash (``seed``) and numbered in ``slot``, unless ``exact_shots`` is off. With a ``sample_rate`` below 1 only a
+    Poisson sample of the rows is read: charge it with ``BudgetLedger.spend(part, epsilon, sample_rate)``.
     """
     spark = rows.sparkSession
     spec = [c for c in (group_spec(schema, shots) if spec is None else spec) if c is not None]
     grid = F.broadcast(key_grid(schema, spec, spark))  # the public grid
     names = [f"g{i}" for i in range(max(1, len(spec)))]
+    rows = poisson_sample(rows, sample_rate, noise, key)
     keyed = rows.select("*", *([group_key(schema, c).alias(f"g{i}") for i, c in enumerate(spec)] or [F.lit("__ALL__").alias("g0")]))
     private = [*schema.features, "target"]
     each = float("inf") if infinite(epsilon) else epsilon / max(len(private), 1)
     sums = keyed.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), *[F.sum(clip(F.coalesce(col(c), F.lit(0.0)), 0, 1)).alias(f"sum_{i}") for i, c in enumerate(schema.numeric)])
-    key = F.concat_ws("/", *names)
+    cell = F.concat_ws("/", *names)
     means = grid.join(sums, names, "left").select(
         "key_id", *names, F.coalesce("n", F.lit(0)).alias("n"),
-        *[noisy_mean(F.coalesce(f"sum_{i}", F.lit(0.0)), F.coalesce("n", F.lit(0)), each, noise, "mean", key, c, min_count=min_count).alias(c) for i, c in enumerate(schema.numeric)],
+        *[noisy_mean(F.coalesce(f"sum_{i}", F.lit(0.0)), F.coalesce("n", F.lit(0)), each, noise, "mean", cell, c, min_count=min_count).alias(c) for i, c in enumerate(schema.numeric)],
     )
     modes = noisy_modes(keyed, grid, names, schema, each, noise)
     out = means.join(modes, "key_id").select("key_id", *[col(c) for c in schema.numeric], *[col(c) for c in schema.categorical], F.col("target").cast("int").alias("target"))
-    return out if resample_seed is None else resample(out, shots, resample_seed, "key_id")
+    size = math.prod(len(group_domain(schema, c)) for c in spec)
+    return resample(out, shots, seed, "key_id", size) if exact_shots and shots != size else out
 
 
 def noisy_modes(keyed: DataFrame, grid: DataFrame, names: list[str], schema: PublicSchema, epsilon: float, noise: Noise) -> DataFrame:
@@ -120,10 +154,10 @@ def noisy_modes(keyed: DataFrame, grid: DataFrame, names: list[str], schema: Pub
     return best.groupBy("key_id").agg(*[F.max(F.when(F.col("attr") == i, F.col("value"))).alias(c) for i, (c, _) in enumerate(columns)])
 
 
-def resample(rows: DataFrame, k: int, seed: int, key: str) -> DataFrame:
-    """Exactly k rows: the k least hashes, or, from fewer rows, k keyed draws with replacement."""
+def resample(rows: DataFrame, k: int, seed: int, key: str, n: int | None = None) -> DataFrame:
+    """Exactly k rows: the k least hashes, or, from fewer rows, k keyed draws with replacement. ``n``: their number, if known."""
     ranked = rows.withColumn("__r", F.row_number().over(Window.orderBy(order_key(seed, "resample", F.col(key)), key)))
-    n = rows.count()  # a driver-sized grid or pool
+    n = rows.count() if n is None else n  # a public grid
     if k <= n:
         return ranked.filter(F.col("__r") <= k).withColumn("slot", F.col("__r")).drop("__r")
     slots = rows.sparkSession.range(1, k + 1).select(F.col("id").cast("int").alias("slot"))

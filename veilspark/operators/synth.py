@@ -1,16 +1,24 @@
 """Synthetic pools: star sampler, marginal method with gradual update, generator, centroid fallback.
 
-Private rows are only touched by one grouping-sets pass per pool; everything after that works on
-noisy marginals of public size. Synthetic rows are produced by Spark from those marginals.
+Neighbouring tables differ by one added or removed row, for every method: it moves one cell of each table by one,
+so no noise scale depends on how many rows there are, and a row belongs to one cluster, so clusters that are
+disjoint are charged once. Private rows are touched by one pass for all clusters together: it
+counts dense tables of public size by cluster. A method turns a cluster's noisy tables into a model (one small task a
+cluster); models reach the driver (as many numbers as the public grid and the method's size allow,
+whatever the number of rows) and rows are drawn from them block by block, in as many tasks as a pool has blocks.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+import pickle
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,7 +26,8 @@ from pyspark.sql import functions as F
 from ..functions.exprs import col, decode, midpoint, target_code
 from ..functions.rand import Noise, infinite
 from ..sources.schema import PublicSchema, SchemaError
-from .marginals import all_pairs, encode_rows, independence_difference, pair_marginals, sizes, target_star
+from .generator import GeneratorConfig, Mixture
+from .marginals import all_pairs, encode_rows, independence_difference, marginal_tables, sizes, target_star
 
 
 def zcdp(epsilon: float, delta: float) -> float:
@@ -32,10 +41,10 @@ def gauss_sigma(rho: float, sensitivity: float = 1.0) -> float:
 
 
 def noisy_pairs(pairs: DataFrame, epsilon: float, delta: float, noise: Noise, n_tables: int, by: Sequence[str] = ()) -> DataFrame:
-    """Pair cells with Gaussian noise; rho is split evenly over the tables; negatives go to 0."""
+    """Pair cells with discrete Gaussian noise; rho is split evenly over the tables; negatives go to 0."""
     sigma = 0.0 if infinite(epsilon) else gauss_sigma(zcdp(epsilon, delta) / max(1, n_tables))
-    z = noise.normal(sigma, "cell", *[F.col(b) for b in by], F.col("attr_a"), F.col("attr_b"), F.col("code_a"), F.col("code_b"))
-    return pairs.withColumn("n", F.greatest(F.col("n") + z, F.lit(0.0)))
+    z = noise.discrete_normal(sigma, "cell", *[F.col(b) for b in by], F.col("attr_a"), F.col("attr_b"), F.col("code_a"), F.col("code_b"))
+    return pairs.withColumn("n", F.greatest(F.col("n") + z, F.lit(0)))
 
 
 def star_synthesize(noisy: DataFrame, features: Sequence[str], n_synth: int, noise: Noise, by: str | None = None) -> DataFrame:
@@ -84,34 +93,75 @@ def decode_rows(coded: DataFrame, schema: PublicSchema, bins: int, keep: Sequenc
 
 
 def validate_pool(pool: DataFrame, schema: PublicSchema) -> DataFrame:
-    """The pool, if it has the prepared columns and only 0/1 targets."""
+    """The pool, if it has the prepared columns; a target other than 0 and 1 stops whatever reads it. Runs nothing by itself."""
     missing = [c for c in [*schema.features, "target"] if c not in pool.columns]
     if missing:
         raise SchemaError(f"pool lacks {missing}")
-    if not pool.filter("target IS NULL OR target NOT IN (0, 1)").isEmpty():
-        raise SchemaError("pool has targets other than 0 and 1")
-    return pool
+    wrong = F.raise_error(F.lit("pool has targets other than 0 and 1")).cast(pool.schema["target"].dataType)
+    return pool.withColumn("target", F.when(F.col("target").isin(0, 1), F.col("target")).otherwise(wrong))
 
 
-def consistent(tables: dict[tuple[str, str], np.ndarray], rounds: int = 2) -> dict[tuple[str, str], np.ndarray]:
-    """Noisy pair tables made to agree on shared attributes and on one total, without negatives."""
-    out = {k: np.maximum(v, 0.0) for k, v in tables.items()}
+def simplex(v: np.ndarray, total: float) -> np.ndarray:
+    """The nearest array without negatives and with the given sum: all cells go down (or up) alike, those that end below 0 stay at 0."""
+    flat = np.sort(v.ravel())[::-1]
+    above = flat - (np.cumsum(flat) - total) / np.arange(1, flat.size + 1)
+    k = int(np.flatnonzero(above > 0)[-1]) + 1 if total > 0 else 0
+    return np.maximum(v - (flat[:k].sum() - total) / k, 0.0) if k else np.zeros(v.shape)
+
+
+def consistent(tables: Mapping[tuple[str, str], np.ndarray], rounds: int = 2, sigmas: Mapping[tuple[str, str], float] | None = None) -> dict[tuple[str, str], np.ndarray]:
+    """Noisy pair tables made to agree on shared attributes and on one total, without negatives.
+
+    The total and the shared views are means weighted by the inverse of their variance; negatives leave by
+    projection, which keeps the sum: cutting them off alone would add rows wherever cells are empty.
+    """
+    sigma = {k: max(float((sigmas or {}).get(k, 1.0)), 1e-9) for k in tables}
+    known = np.array([1.0 / (t.size * sigma[k] ** 2) for k, t in tables.items()])
+    total = max(0.0, float((known * [t.sum() for t in tables.values()]).sum() / known.sum()))
+    out = {k: simplex(v, total) for k, v in tables.items()}
     for _ in range(rounds):
-        total = float(np.mean([t.sum() for t in out.values()])) or 1.0
-        out = {k: t * (total / t.sum()) if t.sum() > 0 else np.full(t.shape, total / t.size) for k, t in out.items()}
-        for a in {x for k in out for x in k}:
+        for a in sorted({x for k in out for x in k}):
             sides = [(k, k.index(a)) for k in out if a in k]
-            # weigh each view by the number of cells summed into it: fewer cells, less noise
-            weights = np.array([1.0 / out[k].shape[1 - i] for k, i in sides])
+            # fewer cells summed into a view, less noise in it
+            weights = np.array([1.0 / (out[k].shape[1 - i] * sigma[k] ** 2) for k, i in sides])
             views = np.array([out[k].sum(axis=1 - i) for k, i in sides])
             agreed = (weights[:, None] * views).sum(axis=0) / weights.sum()
             for (k, i), view in zip(sides, views):
-                t = out[k]
-                change = (agreed - view) / t.shape[1 - i]
-                out[k] = np.maximum(t + (change[:, None] if i == 0 else change[None, :]), 0.0)
+                change = (agreed - view) / out[k].shape[1 - i]
+                out[k] = out[k] + (change[:, None] if i == 0 else change[None, :])
+        out = {k: simplex(t, total) for k, t in out.items()}
     return out
 
 
+def choose_views(scores: Mapping[tuple[str, str], float], cells: Mapping[tuple[str, str], int], given: Sequence[tuple[str, str]], rho: float, most: int | None = None) -> list[tuple[str, str]]:
+    """``given`` and the pairs that are worth their noise, the most useful first; at most ``most`` of them.
+
+    A table left out costs the dependency that it would have shown, a table put in costs its expected noise, and
+    takes budget from all others. The pair that lowers the sum most is added until none does.
+    ``scores`` are noisy, so the choice is free.
+    """
+    chosen = list(given)
+
+    def cost(views: Sequence[tuple[str, str]]) -> float:
+        left_out = sum(max(v, 0.0) for k, v in scores.items() if k not in set(views))
+        return left_out + sum(cells[k] * s * math.sqrt(2 / math.pi) for k, s in view_sigmas(cells, views, rho).items())
+
+    now = cost(chosen)
+    while most is None or len(chosen) - len(given) < most:
+        rest = [(cost([*chosen, k]), k) for k in scores if k not in chosen and scores[k] > 0]
+        if not rest or min(rest)[0] >= now:
+            break
+        now, best = min(rest)
+        chosen.append(best)
+    return chosen
+
+
+def view_sigmas(cells: Mapping[tuple[str, str], int], views: Sequence[tuple[str, str]], rho: float) -> dict[tuple[str, str], float]:
+    """The sigma of each table: budgets grow with the cells to the power of 2/3, which makes the sum of all noise least."""
+    share = {k: cells[k] ** (2 / 3) for k in views}
+    return {k: 0.0 if math.isinf(rho) else gauss_sigma(rho * v / sum(share.values())) for k, v in share.items()}
+
+
 def gradual_update(tables: dict[tuple[str, str], np.ndarray], attributes: Mapping[str, int], n: int, rounds: int, seed: int) -> np.ndarray:
     """``n`` coded rows whose pair tables are moved towards ``tables``, from independent one-way samples.
 
@@ -147,155 +197,233 @@ def gradual_update(tables: dict[tuple[str, str], np.ndarray], attributes: Mappin
     return rows
 
 
-#: Synthetic rows that one task updates gradually; a pool is made of as many blocks as it needs, each fitted to the tables by itself.
-BLOCK_ROWS = 20_000
+@dataclass
+class ClusterLog:
+    """``error`` tells why a cluster fell back to its decoded centre; nothing here is counted on private rows."""
 
+    cluster_id: int
+    fallback: bool
+    error: str | None = None
 
-def gradual_pool(spark: SparkSession, tables: dict[tuple[str, str], np.ndarray], attributes: Mapping[str, int], n_synth: int, rounds: int, seed: int) -> DataFrame:
-    """(synth_id, coded attributes): ``n_synth`` rows, every one from the gradual update of its block; blocks are dealt to tasks."""
-    names = list(attributes)
-    blocks = max(1, -(-n_synth // BLOCK_ROWS))
-    size = -(-n_synth // blocks)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in b.column(0).to_pylist():
-                first, end = i * size, min((i + 1) * size, n_synth)
-                if first < end:
-                    rows = gradual_update(tables, attributes, end - first, rounds, seed + 7919 * i)
-                    yield pa.record_batch([pa.array(np.arange(first, end)), *(pa.array(rows[:, j].astype(np.int32)) for j in range(len(names)))], names=["synth_id", *names])
+class EmptyTables(ArithmeticError):
+    """No noisy cell is positive: there is nothing to synthesise from."""
 
-    ids = spark.range(0, blocks, 1, min(blocks, 4096))
-    return ids.mapInArrow(run, "synth_id long, " + ", ".join(f"`{c}` int" for c in names))
 
+#: A cluster's tables inside a task: (set number, cell) -> exact and noisy counts, by set.
+Tables = Mapping[int, tuple[np.ndarray, np.ndarray]]
 
-def tables_of(noisy: DataFrame, attributes: Mapping[str, int]) -> dict[tuple[str, str], np.ndarray]:
-    """Noisy cells on the driver: as many numbers as the public grid has."""
-    out: dict[tuple[str, str], np.ndarray] = {}
-    for r in noisy.collect():
-        k = (r["attr_a"], r["attr_b"])
-        out.setdefault(k, np.zeros((attributes[k[0]], attributes[k[1]])))[r["code_a"], r["code_b"]] = r["n"]
-    return out
 
+class Method(Protocol):
+    """A synthesis strategy over counted tables. ``measured`` runs on the driver and adds noise; the rest runs inside tasks."""
+
+    def sets(self) -> list[tuple[str, ...]]:
+        """The attribute sets to count."""
+
+    def measured(self, cells: DataFrame, noise: Noise) -> DataFrame:
+        """``cells`` (cluster_id, set_id, at, n) with noisy counts m."""
 
-def marginal_synthesize(rows: DataFrame, schema: PublicSchema, epsilon: float, n_synth: int, noise: Noise, bins: int = 8, delta: float = 1e-5, consistency_rounds: int = 2, view_rounds: int = 10, update_rounds: int = 20, target_only: bool = True, seed: int = 0) -> DataFrame:
-    """The marginal method: dependency scores, noisy tables, consistency, gradual update, decoding.
+    def fit(self, tables: Tables, cluster_id: int, noise: Noise):
+        """A model of the noisy tables, or None if they are empty."""
 
-    A tenth of epsilon picks the pairs (all of the star in ``target_only`` mode, else
-    those with the largest noisy dependency, ``view_rounds`` of them beyond the star); the rest measures them.
+    def draw(self, model, n: int, rng: np.random.Generator) -> np.ndarray:
+        """``n`` coded rows."""
+
+
+def noisy_sets(cells: DataFrame, sigmas: Mapping[int, float], noise: Noise) -> DataFrame:
+    """``cells`` with m = n + discrete normal noise of its set's sigma; sets without a sigma are left out."""
+    z = None
+    for sigma in sorted(set(sigmas.values())):
+        of = F.col("set_id").isin([i for i, s in sigmas.items() if s == sigma])
+        z = (F.when if z is None else z.when)(of, noise.discrete_normal(sigma, "cell", F.col("cluster_id"), F.col("set_id"), F.col("at")))
+    return cells.filter(F.col("set_id").isin(sorted(sigmas))).withColumn("m", F.col("n") + z)
+
+
+@dataclass
+class MarginalMethod:
+    """Noisy pair tables, made consistent; rows start from one-way tables and are updated gradually towards the pairs.
+
+    With ``target_only``, every feature's table with the target is measured. Else a tenth of rho buys
+    noisy dependency scores of all pairs, and up to ``view_rounds`` pairs beyond the star are added if they are worth their noise.
     """
-    coded = encode_rows(rows, schema, bins)
-    attributes = sizes(schema, bins)
-    star = target_star(schema.features)
-    pairs = star
-    measure = epsilon
-    if not target_only:
-        select = 0.1 * epsilon if not infinite(epsilon) else epsilon
-        measure = 0.9 * epsilon if not infinite(epsilon) else epsilon
-        candidates = all_pairs([*schema.features, "target"])
-        scores = independence_difference(pair_marginals(coded, candidates, attributes))
-        z = F.lit(0.0) if infinite(epsilon) else noise.laplace(4.0 * len(candidates) / select, "indif", F.col("attr_a"), F.col("attr_b"))
-        best = scores.withColumn("score", F.col("indif") + z).orderBy(F.desc("score"), "attr_a", "attr_b").limit(len(star) + view_rounds).collect()
-        pairs = list(dict.fromkeys([*star, *[(r["attr_a"], r["attr_b"]) for r in best]]))
-    noisy = noisy_pairs(pair_marginals(coded, pairs, attributes), measure, delta, noise, len(pairs))
-    found = tables_of(noisy, attributes)
-    if not any(t.sum() > 0 for t in found.values()):
-        raise EmptyTables("no noisy cell is positive")
-    tables = consistent(found, consistency_rounds)
-    out = gradual_pool(rows.sparkSession, tables, attributes, n_synth, update_rounds, seed)
-    return decode_rows(out, schema, bins, ["synth_id"])
+
+    attributes: Mapping[str, int]
+    epsilon: float
+    delta: float = 1e-5
+    consistency_rounds: int = 2
+    view_rounds: int = 10
+    update_rounds: int = 20
+    target_only: bool = True
+
+    def sets(self) -> list[tuple[str, ...]]:
+        features = [a for a in self.attributes if a != "target"]
+        return target_star(features) if self.target_only else all_pairs([*features, "target"])
+
+    def measured(self, cells: DataFrame, noise: Noise) -> DataFrame:
+        sets = self.sets()
+        size = {s: math.prod(self.attributes[a] for a in s) for s in sets}
+        rho = math.inf if infinite(self.epsilon) else zcdp(self.epsilon, self.delta)
+        views: Sequence[tuple[str, ...]] = sets
+        if not self.target_only:
+            star = [s for s in sets if "target" in s]
+            views = choose_views(self._scores(cells, 0.1 * rho, noise), size, star, 0.9 * rho, self.view_rounds)
+            rho = 0.9 * rho
+        sigma = view_sigmas(size, views, rho)
+        return noisy_sets(cells, {i: sigma[s] for i, s in enumerate(sets) if s in sigma}, noise).withColumn("sigma", element({i: sigma[s] for i, s in enumerate(sets) if s in sigma}))
+
+    def _scores(self, cells: DataFrame, rho: float, noise: Noise) -> dict[tuple[str, str], float]:
+        """Dependency scores of all pairs: one row moves a score by 4 at most, and one more for rounding it to an integer."""
+        sets = self.sets()
+        pair = cells.select(F.col("set_id").cast("string").alias("attr_a"), F.lit("").alias("attr_b"), F.col("codes")[0].alias("code_a"), F.col("codes")[1].alias("code_b"), "n")
+        scores = independence_difference(pair).select(F.col("attr_a").cast("int").alias("set_id"), F.round("indif").cast("long").alias("score"))
+        z = noise.discrete_normal(0.0 if math.isinf(rho) else gauss_sigma(rho / len(sets), 5.0), "score", F.col("set_id"))
+        return {sets[r.set_id]: float(r.noisy) for r in scores.select("set_id", (F.col("score") + z).alias("noisy")).collect()}
+
+    def fit(self, tables: Tables, cluster_id: int, noise: Noise):
+        sets = self.sets()
+        if not any((m > 0).any() for _, m in tables.values()):
+            return None
+        found = {sets[i]: m.astype(float).reshape([self.attributes[a] for a in sets[i]]) for i, (_, m) in tables.items()}
+        size = {s: t.size for s, t in found.items()}
+        rho = math.inf if infinite(self.epsilon) else (1.0 if self.target_only else 0.9) * zcdp(self.epsilon, self.delta)
+        return consistent(found, self.consistency_rounds, view_sigmas(size, list(found), rho))
+
+    def draw(self, model, n: int, rng: np.random.Generator) -> np.ndarray:
+        return gradual_update(model, self.attributes, n, self.update_rounds, int(rng.integers(1 << 62)))
 
 
 @dataclass
-class GeneratorConfig:
-    """Rounds, budget share of selection, mixture size, learning rate and inner steps. Measured tables are pairs."""
-
-    rounds: int = 10
-    alpha: float = 0.5
-    components: int = 128
-    rate: float = 0.1
-    inner: int = 100
-    target_star: bool = False
-
-
-class Mixture:
-    """A mixture of independent categorical attributes, fitted to measured pair tables by gradient steps."""
-
-    def __init__(self, attributes: Mapping[str, int], components: int, seed: int):
-        rng = np.random.default_rng(seed)
-        self.attributes = dict(attributes)
-        self.logits = {a: rng.normal(scale=0.5, size=(components, s)) for a, s in attributes.items()}
-        self.moments = {a: np.full_like(v, 1e-6) for a, v in self.logits.items()}
-
-    def parts(self) -> dict[str, np.ndarray]:
-        e = {a: np.exp(v - v.max(axis=1, keepdims=True)) for a, v in self.logits.items()}
-        return {a: v / v.sum(axis=1, keepdims=True) for a, v in e.items()}
-
-    def answer(self, pair: tuple[str, str]) -> np.ndarray:
-        p = self.parts()
-        return p[pair[0]].T @ p[pair[1]] / len(p[pair[0]])
-
-    def fit(self, measured: dict[tuple[str, str], np.ndarray], rate: float, inner: int) -> None:
-        for _ in range(inner):
-            p = self.parts()
-            grads = {a: np.zeros_like(v) for a, v in p.items()}
-            for (a, b), m in measured.items():
-                gap = (p[a].T @ p[b] / len(p[a]) - m) / len(p[a])
-                grads[a] += p[b] @ gap.T
-                grads[b] += p[a] @ gap
-            for a, g in grads.items():
-                g = p[a] * (g - (g * p[a]).sum(axis=1, keepdims=True))
-                self.moments[a] = 0.9 * self.moments[a] + 0.1 * g * g
-                self.logits[a] -= rate * g / np.sqrt(self.moments[a] + 1e-12)
-
-    def sample(self, spark: SparkSession, n: int, noise: Noise) -> DataFrame:
-        """(synth_id, coded attributes): a keyed component and a keyed draw per attribute for each of ``n`` rows, in Spark."""
-        p = self.parts()
-        c = len(next(iter(p.values())))
-        drawn = spark.range(n).select(F.col("id").alias("synth_id"), F.floor(noise.uniform("component", F.col("id")) * c).cast("int").alias("__at"))
-        table = [(i, *[[float(v) for v in p[a][i].cumsum()] for a in self.attributes]) for i in range(c)]
-        cdfs = spark.createDataFrame(table, "__at int, " + ", ".join(f"__c{j} array<double>" for j in range(len(self.attributes))))
-        rows = drawn.join(F.broadcast(cdfs), "__at")  # one row a component
-        pick = lambda j, a, s: F.least(F.size(F.filter(F.col(f"__c{j}"), lambda v: v < noise.uniform("draw", a, F.col("synth_id")))), F.lit(s - 1)).cast("int").alias(a)
-        return rows.select("synth_id", *[pick(j, a, s) for j, (a, s) in enumerate(self.attributes.items())])
-
-
-def generator_synthesize(rows: DataFrame, schema: PublicSchema, epsilon: float, n_synth: int, noise: Noise, bins: int = 8, delta: float = 1e-5, config: GeneratorConfig | None = None, seed: int = 0, n: int | None = None) -> DataFrame:
-    """The adaptive generator: select the worst-answered table, measure it, refit; then sample and decode.
-
-    Spark answers the whole workload once. Each round spends alpha of its share of rho on an
-    exponential-mechanism choice and the rest on a Gaussian measurement.
+class GeneratorMethod:
+    """The adaptive generator: a mixture whose worst-answered table is measured and fitted, round after round.
+
+    A twentieth of rho buys a noisy number of rows; each round spends alpha of its share on an
+    exponential-mechanism choice among the tables and the rest on one measurement. Counts are
+    compared, not shares: a row moves a table's L1 error and one of its cells by one, whatever the number of rows.
     """
-    c = config or GeneratorConfig()
-    coded = encode_rows(rows, schema, bins)
-    attributes = sizes(schema, bins)
-    workload = target_star(schema.features) if c.target_star else [p for p in all_pairs([*schema.features, "target"], 2)]
-    true = tables_of(pair_marginals(coded, workload, attributes), attributes)
-    total = float(next(iter(true.values())).sum()) if n is None else float(n)
-    if infinite(epsilon) and total < 1:
-        raise EmptyTables("no row")
-    n = max(1.0, total)
-    true = {k: t / n for k, t in true.items()}
-    rng = np.random.default_rng(seed if not noise.private else None)
-    model = Mixture(attributes, c.components, seed)
-    measured: dict[tuple[str, str], np.ndarray] = {}
-    rho = None if infinite(epsilon) else zcdp(epsilon, delta) / max(1, min(c.rounds, len(true)))
-    for _ in range(min(c.rounds, len(true))):
-        errors = {k: np.abs(model.answer(k) - t).sum() for k, t in true.items() if k not in measured}
-        names = list(errors)
-        score = np.array([errors[k] for k in names])
-        if rho is None:
-            pick = names[int(score.argmax())]
-            measured[pick] = true[pick]
-        else:
-            # one replaced row moves a table's L1 error by 2 / n at most; the exponential mechanism has epsilon sqrt(8 alpha rho)
-            gumbel = rng.gumbel(size=len(score)) * 2 * (2 / n) / math.sqrt(8 * c.alpha * rho)
-            pick = names[int((score + gumbel).argmax())]
-            sigma = gauss_sigma((1 - c.alpha) * rho, math.sqrt(2) / n)
-            measured[pick] = np.maximum(true[pick] + rng.normal(scale=sigma, size=true[pick].shape), 0)
-            measured[pick] /= max(measured[pick].sum(), 1e-12)
-        model.fit(measured, c.rate, c.inner)
-    return decode_rows(model.sample(rows.sparkSession, n_synth, noise), schema, bins, ["synth_id"])
+
+    attributes: Mapping[str, int]
+    epsilon: float
+    delta: float = 1e-5
+    config: GeneratorConfig = GeneratorConfig()
+    seed: int = 0
+
+    COUNT_SHARE = 0.05
+
+    def sets(self) -> list[tuple[str, ...]]:
+        features = [a for a in self.attributes if a != "target"]
+        workload = target_star(features) if self.config.target_star else all_pairs([*features, "target"], min(self.config.degree, len(features) + 1))
+        return [*workload, ()]  # the empty set counts the rows
+
+    def scales(self) -> tuple[float, float, float]:
+        """(sigma of the row count, scale of the choice, sigma of a table); they follow from public settings alone."""
+        if infinite(self.epsilon):
+            return 0.0, 0.0, 0.0
+        rho, rounds = zcdp(self.epsilon, self.delta), self.rounds()
+        each = (1 - self.COUNT_SHARE) * rho / rounds
+        return gauss_sigma(self.COUNT_SHARE * rho), 2.0 / math.sqrt(8 * self.config.alpha * each), gauss_sigma((1 - self.config.alpha) * each)
+
+    def rounds(self) -> int:
+        return max(1, min(self.config.rounds, len(self.sets()) - 1))
+
+    def measured(self, cells: DataFrame, noise: Noise) -> DataFrame:
+        """All tables with the noise that a measurement of each would have; ``fit`` reads those it chooses and pays for."""
+        count, _, table = self.scales()
+        last = len(self.sets()) - 1
+        return noisy_sets(cells, {i: table for i in range(last)} | {last: count}, noise)
+
+    def fit(self, tables: Tables, cluster_id: int, noise: Noise):
+        sets, c = self.sets(), self.config
+        n = float(tables[len(sets) - 1][1][0])
+        if n < 1:
+            return None
+        _, choice, _ = self.scales()
+        shape = [[self.attributes[a] for a in s] for s in sets]
+        model, measured = Mixture(self.attributes, c, self.seed + cluster_id), {}
+        for r in range(self.rounds()):
+            left = [i for i in range(len(sets) - 1) if sets[i] not in measured]
+            score = [np.abs(n * model.answer(sets[i]).ravel() - tables[i][0]).sum() for i in left]
+            gumbel = [-choice * math.log(-math.log(noise.number("choice", cluster_id, r, i))) for i in left]
+            pick = left[int(np.argmax(np.add(score, gumbel)))]
+            measured[sets[pick]] = simplex(tables[pick][1].astype(float).reshape(shape[pick]), n) / n
+            model.fit(measured, r, self.rounds())
+        return model.state()
+
+    def draw(self, model, n: int, rng: np.random.Generator) -> np.ndarray:
+        return Mixture.restored(self.attributes, self.config, model).sample(n, rng)
+
+
+def element(values: Mapping[int, float]):
+    """The value of ``set_id`` among ``values``."""
+    out = None
+    for v in sorted(set(values.values())):
+        out = (F.when if out is None else out.when)(F.col("set_id").isin([i for i, x in values.items() if x == v]), F.lit(float(v)))
+    return out
+
+
+#: Synthetic rows that one task draws at a time; a pool is made of as many blocks as it needs.
+BLOCK_ROWS = 20_000
+
+
+def cluster_models(coded: DataFrame, method: Method, k: int, noise: Noise) -> list[bytes | None]:
+    """The model of each cluster 0 to k - 1 of ``coded`` (cluster_id, codes), None where its noisy tables are empty.
+
+    One scan of ``coded`` for all clusters, whatever k; the tables are of public size, and one task fits one cluster.
+    """
+    spark = coded.sparkSession
+    groups = spark.range(k).select(F.col("id").cast("int").alias("cluster_id"))
+    cells = marginal_tables(coded.withColumn("cluster_id", F.col("cluster_id").cast("int")), method.sets(), method.attributes, ["cluster_id"], groups).drop("attrs").persist()
+
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        tables = {int(i): (g["n"].to_numpy(), g["m"].to_numpy()) for i, g in pdf.sort_values(["set_id", "at"]).groupby("set_id")}
+        model = method.fit(tables, int(key[0]), noise)
+        return pd.DataFrame({"cluster_id": [key[0]], "model": [None if model is None else pickle.dumps(model)]})
+
+    try:
+        noisy = method.measured(cells, noise).select("cluster_id", "set_id", "at", "n", "m")
+        found = {r["cluster_id"]: r["model"] for r in noisy.groupBy("cluster_id").applyInPandas(fit, "cluster_id int, model binary").collect()}
+    finally:
+        cells.unpersist()
+    return [None if found.get(c) is None else bytes(found[c]) for c in range(k)]
+
+
+def draw_pools(spark: SparkSession, models: Sequence[bytes | None], method: Method, rows_each: int, noise: Noise) -> DataFrame:
+    """(cluster_id, synth_id, codes): ``rows_each`` rows of every model there is, block by block."""
+    names = list(method.attributes)
+    blocks = max(1, -(-rows_each // BLOCK_ROWS))
+    size = -(-rows_each // blocks)
+    known = spark.createDataFrame([(c, m) for c, m in enumerate(models) if m is not None], "cluster_id int, model binary")
+    dealt = spark.range(0, blocks, 1, min(blocks, 4096)).join(F.broadcast(known))  # a model a cluster, of public size
+    kind = "cluster_id int, synth_id long, " + ", ".join(f"`{c}` int" for c in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, cluster_id, model in zip(*(c.to_pylist() for c in b.columns)):
+                first, end = block * size, min((block + 1) * size, rows_each)
+                if first < end:
+                    seed = hashlib.sha256(f"{noise.key}|draw|{cluster_id}|{block}".encode()).digest()
+                    rows = method.draw(pickle.loads(model), end - first, np.random.default_rng(int.from_bytes(seed)))
+                    yield pa.record_batch([pa.array(np.full(end - first, cluster_id, np.int32)), pa.array(np.arange(first, end)), *(pa.array(rows[:, j].astype(np.int32)) for j in range(len(names)))], names=["cluster_id", "synth_id", *names])
+
+    return dealt.select("id", "cluster_id", "model").mapInArrow(run, kind)
+
+
+def _pool(rows: DataFrame, schema: PublicSchema, method: Method, n_synth: int, noise: Noise, bins: int) -> DataFrame:
+    """One pool of all ``rows``."""
+    models = cluster_models(encode_rows(rows, schema, bins).withColumn("cluster_id", F.lit(0)), method, 1, noise)
+    if models[0] is None:
+        raise EmptyTables("no noisy cell is positive")
+    return validate_pool(decode_rows(draw_pools(rows.sparkSession, models, method, n_synth, noise), schema, bins, ["synth_id"]), schema)
+
+
+def marginal_synthesize(rows: DataFrame, schema: PublicSchema, epsilon: float, n_synth: int, noise: Noise, bins: int = 8, delta: float = 1e-5, consistency_rounds: int = 2, view_rounds: int = 10, update_rounds: int = 20, target_only: bool = True) -> DataFrame:
+    """The marginal method over all rows: see ``MarginalMethod``."""
+    method = MarginalMethod(sizes(schema, bins), epsilon, delta, consistency_rounds, view_rounds, update_rounds, target_only)
+    return _pool(rows, schema, method, n_synth, noise, bins)
+
+
+def generator_synthesize(rows: DataFrame, schema: PublicSchema, epsilon: float, n_synth: int, noise: Noise, bins: int = 8, delta: float = 1e-5, config: GeneratorConfig | None = None, seed: int = 0) -> DataFrame:
+    """The adaptive generator over all rows: see ``GeneratorMethod``."""
+    return _pool(rows, schema, GeneratorMethod(sizes(schema, bins), epsilon, delta, config or GeneratorConfig(), seed), n_synth, noise, bins)
 
 
 def centroid_fallback(spark: SparkSession, center: Mapping[str, float | str], schema: PublicSchema, n_rows: int, compat: Sequence[float] | None = None) -> DataFrame:
@@ -316,39 +444,22 @@ def centroid_fallback(spark: SparkSession, center: Mapping[str, float | str], sc
     return spark.range(n_rows).select(F.col("id").alias("synth_id"), *[F.lit(row[c]).alias(c) for c in schema.features], (F.col("id") % 2).cast("int").alias("target"))
 
 
-@dataclass
-class ClusterLog:
-    """``error`` tells why a cluster fell back to its decoded centre; nothing here is counted on private rows."""
-
-    cluster_id: int
-    fallback: bool
-    error: str | None = None
-
-
-class EmptyTables(ArithmeticError):
-    """All noisy cells are zero: there is nothing to synthesise from."""
-
-
-def cluster_pools(assigned: DataFrame, schema: PublicSchema, centers: Sequence[Sequence[float]], spec, rows_per_cluster: int, synthesize) -> tuple[DataFrame, list[ClusterLog]]:
+def cluster_pools(assigned: DataFrame, schema: PublicSchema, centers: Sequence[Sequence[float]], spec, rows_per_cluster: int, method: Method, noise: Noise, bins: int = 8) -> tuple[DataFrame, list[ClusterLog]]:
     """(pools with cluster_id, log): one pool per centre, the decoded centre where the noisy tables are empty.
 
-    The choice rests on noisy tables alone (``EmptyTables``); any other error is an error.
+    All clusters' tables come from one scan of ``assigned``. Whether a cluster falls back rests on noisy tables alone.
     """
     from .encode import decode_center
 
     spark = assigned.sparkSession
-    pools, log = None, []
-    for c, center in enumerate(centers):
-        error = None
-        try:
-            pool = validate_pool(synthesize(assigned.filter(F.col("cluster_id") == c).drop("cluster_id"), c, rows_per_cluster), schema)
-        except EmptyTables as e:
-            error = f"{type(e).__name__}: {e}"
-            pool = centroid_fallback(spark, decode_center(spec, center), schema, rows_per_cluster)
-        log.append(ClusterLog(c, error is not None, error))
-        pool = pool.withColumn("cluster_id", F.lit(c))
-        pools = pool if pools is None else pools.unionByName(pool)
-    return pools, log
+    models = cluster_models(encode_rows(assigned, schema, bins, keep=["cluster_id"]), method, len(centers), noise)
+    pools = decode_rows(draw_pools(spark, models, method, rows_per_cluster, noise), schema, bins, ["cluster_id", "synth_id"])
+    log = [ClusterLog(c, m is None, "no noisy cell is positive" if m is None else None) for c, m in enumerate(models)]
+    for x in log:
+        if x.fallback:
+            own = centroid_fallback(spark, decode_center(spec, centers[x.cluster_id]), schema, rows_per_cluster)
+            pools = pools.unionByName(own.withColumn("cluster_id", F.lit(x.cluster_id)))
+    return validate_pool(pools, schema), log
 
 
 def fallback_count(log: DataFrame) -> DataFrame:

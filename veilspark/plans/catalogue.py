@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs
-from ..functions.rand import Noise
+from ..functions.rand import Noise, laplace_bits, normal_table
 from ..operators import cluster, encode, marginals, prep, privacy, prompt, sampling, score, synth
 from ..sources.schema import DECLARED, PublicSchema
 from ..sources.tables import read_parquet
@@ -59,6 +59,24 @@ def _lap(scale: float, seed, *parts: str) -> str:
     return f"(-{scale!r}::DOUBLE * sign({u}) * ln(1.0::DOUBLE - 2.0::DOUBLE * abs({u})))"
 
 
+def _i60(seed, *parts: str) -> str:
+    """A keyed integer below 2**60."""
+    joined = ", ".join([f"'{seed}'", *[f"({p})::VARCHAR" for p in parts]])
+    return f"('0x' || substr(md5(concat_ws('|', {joined})), 1, 15))::BIGINT"
+
+
+def _geo(epsilon: float, seed, *parts: str) -> str:
+    """Discrete Laplace noise: the difference of two geometric numbers, bit by bit."""
+    side = lambda s: " + ".join(f"({_i60(seed, *parts, repr_(s), repr_(str(j)))} < {t})::BIGINT * {1 << j}" for j, t in enumerate(laplace_bits(epsilon)))
+    return f"(({side('+')}) - ({side('-')}))"
+
+
+def _dnorm(sigma: float, seed, *parts: str) -> str:
+    """Discrete normal noise: how many thresholds the keyed integer reaches."""
+    table = normal_table(sigma)
+    return f"(len(list_filter([{', '.join(map(str, table))}]::BIGINT[], lambda t: t <= {_i60(seed, *parts, repr_('0'))})) - {len(table) // 2})"
+
+
 def _h(seed, *parts: str) -> str:
     return "md5(concat_ws('|', " + ", ".join([f"'{seed}'", *[f"({p})::VARCHAR" for p in parts]]) + "))"
 
@@ -235,8 +253,8 @@ def label_filter(spark, d):
 # -- private aggregates ---------------------------------------------------------------------------
 
 
-def _group_sql(eps: float, spec: list[str], empty: bool = False) -> str:
-    """dp_group_by over orders in SQL; ``spec`` as in the operator."""
+def _group_sql(eps: float, spec: list[str], empty: bool = False, rate: float = 1.0) -> str:
+    """dp_group_by over orders in SQL; ``spec`` and ``rate`` as in the operator."""
     key_of = {"target": "target::VARCHAR", "o_orderstatus": "CASE WHEN o_orderstatus IN ('F', 'O') THEN 'group0' ELSE 'group1' END", "o_totalprice": "CASE WHEN o_totalprice <= 0.5 THEN 'low' ELSE 'high' END"}
     domain_of = {"target": "['0','1']", "o_orderstatus": "['group0','group1']", "o_totalprice": "['low','high']"}
     gs = [f"g{i}" for i in range(len(spec))] or ["g0"]
@@ -254,8 +272,8 @@ def _group_sql(eps: float, spec: list[str], empty: bool = False) -> str:
         mean, noise = "CASE WHEN coalesce(n, 0) > 0 THEN least(greatest(s / n, 0), 1) ELSE 0.5 END", "0.0"
     else:
         mean = f"least(greatest((coalesce(s, 0) + {_lap(2.0 / each, SEED, repr_('mean'), key, repr_('o_totalprice'), repr_('sum'))}) / greatest(coalesce(n, 0) + {_lap(2.0 / each, SEED, repr_('mean'), key, repr_('o_totalprice'), repr_('count'))}, 1.0), 0), 1)"
-        noise = _lap(1.0 / each, SEED, repr_("mode"), key, "col", "v")
-    where = " WHERE NOT (target = 1 AND o_orderstatus = 'P')" if empty else ""
+        noise = _geo(each, SEED, repr_("mode"), key, "col", "v")
+    where = " WHERE NOT (target = 1 AND o_orderstatus = 'P')" if empty else f" WHERE {_u(SEED, repr_('sample'), 'row_id')} < {rate!r}::DOUBLE" if rate < 1 else ""
     return f"""WITH {ORDERS}, k AS (SELECT *, {keys} FROM o{where}), grid AS (SELECT {g}, {ident} AS key_id FROM {grid}),
   st AS (SELECT {g}, count(*) AS n, sum(least(greatest(o_totalprice, 0), 1)) AS s FROM k GROUP BY ALL),
   dom AS (SELECT 'o_orderstatus' AS col, unnest(['F','O','P']) AS v, unnest([0,1,2]) AS pos UNION ALL SELECT 'target', unnest(['0','1']), unnest([0,1])),
@@ -307,7 +325,28 @@ def dp_groupby_empty_group(spark, d):
     return _grouped(spark, d, INF, 4, keep="NOT (target = 1 AND o_orderstatus = 'P')")
 
 
-@query(f"SELECT o_orderstatus, {_r('count(*) + ' + _lap(1.0, SEED, repr_('count'), 'o_orderstatus'))} AS noisy FROM orders GROUP BY o_orderstatus")
+@query(_group_sql(2.0, ["target", "o_orderstatus"], rate=0.5))
+def dp_groupby_sampled(spark, d):
+    """A Poisson sample of half of the rows; the ledger is charged what it costs the whole."""
+    ledger = privacy.BudgetLedger(1.5)
+    epsilon = ledger.spend("orders", 2.0, 0.5)
+    return r6(privacy.dp_group_by(declared(spark, d, "orders"), DECLARED["orders"], epsilon, 4, Noise.test(SEED), ["target", "o_orderstatus"], sample_rate=0.5))
+
+
+def _shots_sql(k: int, n: int) -> str:
+    """The prototypes of four keys, resampled to k rows."""
+    base = f"WITH p AS ({_group_sql(2.0, ['target', 'o_orderstatus'])}), r AS (SELECT *, row_number() OVER (ORDER BY {_h(SEED, repr_('resample'), 'key_id')}, key_id) AS r FROM p)"
+    if k <= n:
+        return base + f" SELECT * EXCLUDE (r), r::INT AS slot FROM r WHERE r <= {k}"
+    return base + f" SELECT r.* EXCLUDE (r), s.slot::INT AS slot FROM (SELECT range AS slot, floor({_u(SEED, repr_('slot'), 'range')} * {n}) + 1 AS r FROM range(1, {k + 1})) s JOIN r USING (r)"
+
+
+@query(_shots_sql(3, 4))
+def dp_groupby_3_shots(spark, d):
+    return r6(privacy.dp_group_by(declared(spark, d, "orders"), DECLARED["orders"], 2.0, 3, Noise.test(SEED), ["target", "o_orderstatus"], seed=SEED))
+
+
+@query(f"SELECT o_orderstatus, (count(*) + {_geo(1.0, SEED, repr_('count'), 'o_orderstatus')})::BIGINT AS noisy FROM orders GROUP BY o_orderstatus")
 def dp_count(spark, d):
     g = read_parquet(spark, d, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
     return r6(g.select("o_orderstatus", privacy.noisy_count(F.col("n"), 1.0, Noise.test(SEED), "count", F.col("o_orderstatus")).alias("noisy")))
@@ -324,7 +363,7 @@ def dp_mean(spark, d):
 
 
 @query(
-    f"""WITH {ORDERS}, z AS (SELECT target, v, pos, count(o.row_id) + {_lap(2.0, SEED, repr_('mode'), 'target', 'v')} AS z FROM (SELECT unnest([0,1]) AS target) CROSS JOIN (SELECT unnest(['F','O','P']) AS v, unnest([0,1,2]) AS pos)
+    f"""WITH {ORDERS}, z AS (SELECT target, v, pos, count(o.row_id) + {_geo(0.5, SEED, repr_('mode'), 'target', 'v')} AS z FROM (SELECT unnest([0,1]) AS target) CROSS JOIN (SELECT unnest(['F','O','P']) AS v, unnest([0,1,2]) AS pos)
   LEFT JOIN o USING (target) WHERE o.o_orderstatus = v OR o.row_id IS NULL GROUP BY target, v, pos)
   SELECT target, v AS mode FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY z DESC, pos) AS r FROM z) WHERE r = 1"""
 )
@@ -397,6 +436,22 @@ def workload_star(spark, d):
     return r6(marginals.workload_answers(_line_pairs(spark, d, STAR)))
 
 
+TRIPLES = marginals.all_pairs(LINE_ATTRS, 3)
+
+
+@query(
+    "WITH " + CODED_LINES + ", m AS (" + " UNION ALL ".join(
+        f"SELECT '{a},{b},{c}' AS attrs, x || ',' || y || ',' || z AS codes, coalesce(n, 0) AS n FROM (SELECT unnest(range({LINE_SIZES[a]})) AS x) CROSS JOIN (SELECT unnest(range({LINE_SIZES[b]})) AS y) CROSS JOIN (SELECT unnest(range({LINE_SIZES[c]})) AS z) "
+        f"LEFT JOIN (SELECT {a} AS x, {b} AS y, {c} AS z, count(*) AS n FROM c GROUP BY ALL) USING (x, y, z)" for a, b, c in TRIPLES
+    ) + f") SELECT attrs, codes, {_r('n / greatest(sum(n) OVER (PARTITION BY attrs), 1)::DOUBLE')} AS answer FROM m"
+)
+def workload_degree3(spark, d):
+    """Tables of three attributes each, all from one pass."""
+    coded = marginals.encode_rows(declared(spark, d, "lineitem"), DECLARED["lineitem"])
+    tables = marginals.marginal_tables(coded, TRIPLES, LINE_SIZES).select(F.array_join("attrs", ",").alias("attrs"), F.array_join("codes", ",").alias("codes"), "n")
+    return r6(marginals.workload_answers(tables, ["attrs"]))
+
+
 # -- encoding, clustering, routing -------------------------------------------------------------------
 
 SPEC = encode.onehot_spec(DECLARED["orders"], {"o_totalprice": 1.2, "o_orderstatus": 0.8})
@@ -581,11 +636,10 @@ def bernoulli_subsample(spark, d):
     return privacy.bernoulli(declared(spark, d, "orders"), 0.3, SEED).select("row_id")
 
 
-@query(f"""WITH k AS (SELECT range AS key_id, row_number() OVER (ORDER BY {_h(SEED, repr_('resample'), 'range')}, range) AS r FROM range(4))
-  SELECT s.slot::INT AS slot, k.key_id::INT AS key_id FROM (SELECT range AS slot, floor({_u(SEED, repr_('slot'), 'range')} * 4) + 1 AS r FROM range(1, 11)) s JOIN k USING (r)""")
+@query(_shots_sql(10, 4))
 def resample_k(spark, d):
-    s = DECLARED["orders"]
-    return privacy.resample(privacy.key_grid(s, exprs.group_spec(s, 4), spark).select("key_id"), 10, SEED, "key_id").select("slot", "key_id")
+    """Ten rows of four prototypes, drawn with replacement."""
+    return r6(privacy.dp_group_by(declared(spark, d, "orders"), DECLARED["orders"], 2.0, 10, Noise.test(SEED), ["target", "o_orderstatus"], seed=SEED))
 
 
 # -- text -----------------------------------------------------------------------------------------
@@ -732,7 +786,7 @@ def star_synth(spark, d):
 
 @query()
 def marginal_synth(spark, d):
-    return r6(synth.marginal_synthesize(declared(spark, d, "lineitem"), DECLARED["lineitem"], 4.0, 2000, Noise.test(SEED), target_only=False, seed=SEED))
+    return r6(synth.marginal_synthesize(declared(spark, d, "lineitem"), DECLARED["lineitem"], 4.0, 2000, Noise.test(SEED), target_only=False))
 
 
 @query()

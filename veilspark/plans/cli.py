@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import SparkSession
 
 from ..functions.rand import Noise
-from ..operators.synth import GeneratorConfig
+from ..operators.generator import GeneratorConfig
 from .experiment import METHODS, GeneratorBackend, MarginalBackend, prepare_dataset, run_experiments
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from pathlib import Path
 from typing import Protocol
 
@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rand import Noise, infinite
-from ..operators import cluster, encode, prep, privacy, prompt, sampling, score, synth
+from ..operators import cluster, encode, marginals, prep, privacy, prompt, sampling, score, synth
+from ..operators.generator import GeneratorConfig
 from ..sources import tables
 from ..sources.schema import DECLARED, PublicSchema
 
@@ -44,8 +45,6 @@ class DatasetContext:
 
 def with_row_id(df: DataFrame, schema: PublicSchema) -> tuple[DataFrame, PublicSchema]:
     """A stable row id for tables without a key: a hash of the row's cells and its copy number."""
-    from dataclasses import replace
-
     from pyspark.sql import Window
 
     if schema.key:
@@ -79,14 +78,14 @@ def prepare_dataset(spark: SparkSession, name: str, root: str | Path, per_class:
 
 
 class Backend(Protocol):
-    """A synthesis strategy: one pool for all queries, or one per cluster."""
+    """A synthesis strategy: one pool for all queries, or one per cluster. Neighbours differ by one added or removed row."""
 
     name: str
     seed_offset: int
 
     def global_pool(self, rows: DataFrame, schema: PublicSchema, epsilon: float, n_synth: int, seed: int) -> DataFrame: ...
 
-    def cluster_pool(self, rows: DataFrame, schema: PublicSchema, epsilon: float, n_synth: int, seed: int) -> DataFrame: ...
+    def cluster_pools(self, assigned: DataFrame, schema: PublicSchema, centers: Sequence[Sequence[float]], spec: encode.OneHotSpec, epsilon: float, rows_each: int, seed: int) -> tuple[DataFrame, list[synth.ClusterLog]]: ...
 
 
 @dataclass
@@ -100,35 +99,29 @@ class MarginalBackend:
     name: str = "marginal"
     seed_offset: int = 1081
 
-    def _make(self, rows, schema, epsilon, n, seed, target_only):
-        return synth.marginal_synthesize(rows, schema, epsilon, n, self.noise(self.name, epsilon, seed), self.bins, self.delta, self.consistency_rounds, self.view_rounds, self.update_rounds, target_only, seed)
-
     def global_pool(self, rows, schema, epsilon, n_synth, seed):
-        return self._make(rows, schema, epsilon, n_synth, seed, False)
+        return synth.marginal_synthesize(rows, schema, epsilon, n_synth, self.noise(self.name, epsilon, seed), self.bins, self.delta, self.consistency_rounds, self.view_rounds, self.update_rounds, False)
 
-    def cluster_pool(self, rows, schema, epsilon, n_synth, seed):
-        return self._make(rows, schema, epsilon, n_synth, seed, True)
+    def cluster_pools(self, assigned, schema, centers, spec, epsilon, rows_each, seed):
+        method = synth.MarginalMethod(marginals.sizes(schema, self.bins), epsilon, self.delta, self.consistency_rounds, self.view_rounds, self.update_rounds)
+        return synth.cluster_pools(assigned, schema, centers, spec, rows_each, method, self.noise(self.name, epsilon, seed), self.bins)
 
 
 @dataclass
 class GeneratorBackend:
     bins: int = 8
     delta: float = 1e-5
-    config: synth.GeneratorConfig = field(default_factory=synth.GeneratorConfig)
+    config: GeneratorConfig = field(default_factory=GeneratorConfig)
     noise: Callable[..., Noise] = Noise.secret
     name: str = "generator"
     seed_offset: int = 808
 
-    def _make(self, rows, schema, epsilon, n, seed, star):
-        from dataclasses import replace
-
-        return synth.generator_synthesize(rows, schema, epsilon, n, self.noise(self.name, epsilon, seed), self.bins, self.delta, replace(self.config, target_star=star), seed)
-
     def global_pool(self, rows, schema, epsilon, n_synth, seed):
-        return self._make(rows, schema, epsilon, n_synth, seed, False)
+        return synth.generator_synthesize(rows, schema, epsilon, n_synth, self.noise(self.name, epsilon, seed), self.bins, self.delta, self.config, seed)
 
-    def cluster_pool(self, rows, schema, epsilon, n_synth, seed):
-        return self._make(rows, schema, epsilon, n_synth, seed, True)
+    def cluster_pools(self, assigned, schema, centers, spec, epsilon, rows_each, seed):
+        method = synth.GeneratorMethod(marginals.sizes(schema, self.bins), epsilon, self.delta, replace(self.config, target_star=True), seed)
+        return synth.cluster_pools(assigned, schema, centers, spec, rows_each, method, self.noise(self.name, epsilon, seed), self.bins)
 
 
 def constant_pool(queries: DataFrame) -> DataFrame:
@@ -136,14 +129,14 @@ def constant_pool(queries: DataFrame) -> DataFrame:
     return queries.withColumn("cluster_id", F.lit(0))
 
 
-def routed_pool(queries: DataFrame, spec: encode.OneHotSpec, centers: Sequence[Sequence[float]], pools: DataFrame) -> DataFrame:
-    """Every query to the nearest cluster whose pool has rows."""
-    return cluster.assign(queries, spec, centers, cluster.filled_clusters(pools))
+def routed_pool(queries: DataFrame, spec: encode.OneHotSpec, centers: Sequence[Sequence[float]], pools: DataFrame, among: Sequence[int] | None = None) -> DataFrame:
+    """Every query to the nearest cluster whose pool has rows; ``among`` tells which do, if that is known without looking."""
+    return cluster.assign(queries, spec, centers, cluster.filled_clusters(pools) if among is None else among)
 
 
-def evaluate(routed: DataFrame, pools: DataFrame, schema: PublicSchema, scorer: score.Scorer, shots: int = 8, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def evaluate(routed: DataFrame, pools: DataFrame, schema: PublicSchema, scorer: score.Scorer, shots: int = 8, seed: int = 0, pool_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(metrics, per-query predictions) as one job: route, sample demonstrations, score, count."""
-    demos = sampling.balanced_demos(routed, pools.withColumnRenamed("synth_id", "pool_id"), shots, seed, by="cluster_id")
+    demos = sampling.balanced_demos(routed, pools.withColumnRenamed("synth_id", "pool_id"), shots, seed, by="cluster_id", pool_rows=pool_rows)
     found = scorer(routed, demos, "query_id")
     per_query = routed.select("query_id", F.col("target").alias("true_label"), F.col("cluster_id").alias("selected_cluster")).join(found, "query_id", "left")
     per_query = per_query.withColumn("prediction", F.coalesce("prediction", F.lit(0)))
@@ -223,12 +216,12 @@ def run_experiments(
                         ledger = spent(eps)
                         centers = cluster.dp_kmeans(main, spec, k, ledger.spend("main", eps_cluster), noise("centers", k, eps, seed))
                         assigned = cluster.assign(main, spec, centers)
-                        each = ledger.spend("main", eps_synth)  # clusters are disjoint
-                        make = lambda rows, c, size, s=seed, e=each: backend.cluster_pool(rows, schema, e, size, s + c)
-                        pools, log = synth.cluster_pools(assigned, schema, centers, spec, max(1, total // k), make)
-                        runs.append(("clustered", k, routed_pool(ctx.evaluation, spec, centers, pools), pools, sum(x.fallback for x in log), ledger))
+                        each = ledger.spend("main", eps_synth)  # an added row lies in one cluster, so all clusters are charged once
+                        pools, log = backend.cluster_pools(assigned, schema, centers, spec, each, max(1, total // k), seed)
+                        routed = routed_pool(ctx.evaluation, spec, centers, pools, range(k))  # every cluster has a pool
+                        runs.append(("clustered", k, routed, pools, sum(x.fallback for x in log), ledger))
                 for method, k, routed, pool, fallbacks, ledger in runs:
-                    m, per_query = evaluate(routed, pool, schema, answer, shots, t * 10_000)
+                    m, per_query = evaluate(routed, pool, schema, answer, shots, t * 10_000, total)
                     about = {
                         "dataset": schema.name, "method": method, "epsilon": float(eps), "delta": float(delta), "K": k or 1, "seed": seed, "base_synthesizer": backend.name, "uses_dp_summaries": True,
                         "eps_cluster": eps_cluster if k else 0.0, "eps_synth": eps_synth if k else float(eps), "target_centered": k is not None, "fallback_clusters": fallbacks, "epsilon_spent": float(ledger.total),
