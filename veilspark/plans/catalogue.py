@@ -209,10 +209,17 @@ def public_group_key(spark, d):
     return declared(spark, d, "part").select("row_id", exprs.group_key(s, "p_size").alias("size_group"), exprs.group_key(s, "p_brand").alias("brand_group"), exprs.group_key(s, "target").alias("target_group"))
 
 
-@query("SELECT t AS g0, g AS g1, p AS g2 FROM (SELECT unnest(['0','1']) AS t), (SELECT unnest(['group0','group1']) AS g), (SELECT unnest(['low','high']) AS p)")
+@query(
+    f"""WITH {ORDERS}, k AS (SELECT target::VARCHAR AS g0, CASE WHEN o_orderstatus IN ('F', 'O') THEN 'group0' ELSE 'group1' END AS g1, CASE WHEN o_totalprice <= 0.5 THEN 'low' ELSE 'high' END AS g2, count(*) AS n FROM o GROUP BY ALL)
+  SELECT g0, g1, g2, coalesce(n, 0) AS n FROM (SELECT unnest(['0','1']) AS g0) CROSS JOIN (SELECT unnest(['group0','group1']) AS g1) CROSS JOIN (SELECT unnest(['low','high']) AS g2) LEFT JOIN k USING (g0, g1, g2)"""
+)
 def key_product(spark, d):
+    """Every public key, whether it has rows or not."""
     s = DECLARED["orders"]
-    return privacy.key_grid(s, exprs.group_spec(s, 8), spark).drop("key_id")
+    spec = exprs.group_spec(s, 8)
+    names = [f"g{i}" for i in range(len(spec))]
+    found = declared(spark, d, "orders").groupBy(*[exprs.group_key(s, c).alias(n) for n, c in zip(names, spec)]).agg(F.count(F.lit(1)).alias("n"))
+    return privacy.key_grid(s, spec, spark).join(found, names, "left").select(*names, F.coalesce("n", F.lit(0)).alias("n"))
 
 
 _BANK = PublicSchema("Bank", {}, {"marital": ("married", "single", "divorced"), "contact": ("cellular", "telephone")}, "y", "yes")
@@ -464,8 +471,8 @@ def _dist(c: list[float]) -> str:
     return "(" + " + ".join(f"({x} - {v!r}::DOUBLE) * ({x} - {v!r}::DOUBLE)" for x, v in zip(_X, c)) + ")"
 
 
-def _nearest(ids=(0, 1, 2)) -> str:
-    return "list_min([" + ", ".join(f"{{'d': {_dist(CENTERS[i])}, 'id': {i}}}" for i in ids) + "]).id"
+def _nearest(ids=(0, 1, 2), centers=CENTERS) -> str:
+    return "list_min([" + ", ".join(f"{{'d': {_dist(centers[i])}, 'id': {i}}}" for i in ids) + "]).id"
 
 
 @query(f"WITH {ORDERS} SELECT row_id, {', '.join(f'{_r(x)} AS x{i}' for i, x in enumerate(_X))} FROM o")
@@ -473,14 +480,25 @@ def onehot_encode(spark, d):
     return r6(declared(spark, d, "orders").select("row_id", *[c.alias(f"x{i}") for i, c in enumerate(encode.coordinates(SPEC))]))
 
 
-@query("SELECT 0 AS cluster_id, 0.182574::DOUBLE AS o_totalprice, 'F' AS o_orderstatus UNION ALL SELECT 1, 0.456435, 'O' UNION ALL SELECT 2, 0.730297, 'P'")
+#: The exact centres of the rows of each cluster, read back as rows.
+_DECODED = f"""WITH {ORDERS}, a AS (SELECT {_nearest()} AS cluster_id, {', '.join(f'avg({x}) AS x{j}' for j, x in enumerate(_X))} FROM o GROUP BY 1),
+  dc AS (SELECT cluster_id, {_r(f'least(greatest(x0 / {_SN!r}::DOUBLE, 0), 1)')} AS o_totalprice, ['F','O','P'][list_position([x1, x2, x3], greatest(x1, x2, x3))] AS o_orderstatus FROM a)"""
+
+
+def _decoded(spark, d) -> dict[int, dict]:
+    """The exact centres of the rows of each cluster, decoded: k rows."""
+    coded = declared(spark, d, "orders").select(encode.onehot(SPEC).alias("x"))
+    return {r["cluster"]: encode.decode_center(SPEC, r["center"]) for r in cluster.step(coded, CENTERS, SPEC, INF, Noise.test(SEED), 0).collect()}
+
+
+@query(f"{_DECODED} SELECT * FROM dc")
 def center_decode(spark, d):
-    return r6(spark.createDataFrame([(i, r["o_totalprice"], r["o_orderstatus"]) for i, r in enumerate(encode.decode_center(SPEC, c) for c in CENTERS)], "cluster_id int, o_totalprice double, o_orderstatus string"))
+    return r6(spark.createDataFrame([(i, r["o_totalprice"], r["o_orderstatus"]) for i, r in _decoded(spark, d).items()], "cluster_id int, o_totalprice double, o_orderstatus string"))
 
 
-@query("SELECT range AS synth_id, 0.456435::DOUBLE AS o_totalprice, 'O' AS o_orderstatus, (range % 2)::INT AS target FROM range(6)")
+@query(f"{_DECODED} SELECT range AS synth_id, o_totalprice, o_orderstatus, (range % 2)::INT AS target FROM dc, range(6) WHERE cluster_id = 1")
 def centroid_fallback(spark, d):
-    return r6(synth.centroid_fallback(spark, encode.decode_center(SPEC, CENTERS[1]), DECLARED["orders"], 6))
+    return r6(synth.centroid_fallback(spark, _decoded(spark, d)[1], DECLARED["orders"], 6))
 
 
 @query(f"WITH {ORDERS} SELECT row_id, {_nearest()} AS cluster_id FROM o")
@@ -704,26 +722,32 @@ def prompt_suffix(spark, d):
     return _customers(spark, d).select("c_custkey", prompt.scorer_input(F.lit(" sys "), F.concat(F.lit("Query: "), F.col("c_nationkey"), F.lit("  "))).alias("prompt"))
 
 
-@query("SELECT * FROM (VALUES (1, 0.4::DOUBLE, 1.0::DOUBLE), (2, 0.5, 0.5), (3, 0.2, 0.5), (4, 0.0, 0.75)) t(id, a, b)")
+_REPLIES = """r AS (SELECT conv_id, turn, text IS NOT NULL AND turn % 4 <> 1 AS object, length(text) % 10 / 10.0::DOUBLE AS a, least(turn, 1)::DOUBLE AS b FROM conversations),
+  w AS (SELECT conv_id, turn, CASE WHEN object THEN a ELSE 0.5::DOUBLE END AS a, CASE WHEN object THEN b ELSE 0.5::DOUBLE END AS b FROM r)"""
+
+
+def _replies(spark, d):
+    """Replies around the conversations' texts: objects with a key's quote missing and a comma too many, and no objects."""
+    text = F.translate("text", "{}", "()")
+    reply = F.concat(text, F.lit(' {a": 0.'), F.length("text") % 10, F.lit(', "b": '), F.col("turn"), F.lit(",} done"))
+    return read_parquet(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 4 == 1, text).otherwise(reply).alias("reply"))
+
+
+@query(f"WITH {_REPLIES} SELECT * FROM w")
 def json_extract_weights(spark, d):
-    rows = spark.createDataFrame([(1, '{"a": 0.4, "b": 3,}'), (2, "[1, 2]"), (3, 'Sure! {a": 0.2, "b": "x"} done'), (4, '{"a": -1, "b": 0.75}')], "id int, reply string")
     w = prompt.parse_weights(F.col("reply"), ["a", "b"])
-    return r6(rows.select("id", w["a"].alias("a"), w["b"].alias("b")))
+    return r6(_replies(spark, d).select("conv_id", "turn", w["a"].alias("a"), w["b"].alias("b")))
 
 
-@query("SELECT * FROM (VALUES (1, 0.571429::DOUBLE, 1.428571::DOUBLE), (2, 1.0, 1.0), (3, 0.571429, 1.428571), (4, 0.0, 2.0)) t(id, a, b)")
+@query(f"WITH {_REPLIES} SELECT conv_id, turn, {_r('CASE WHEN a + b > 0 THEN 2 * a / (a + b) ELSE 1 END')} AS a, {_r('CASE WHEN a + b > 0 THEN 2 * b / (a + b) ELSE 1 END')} AS b FROM w")
 def weight_normalize(spark, d):
-    rows = spark.createDataFrame([(1, '{"a": 0.4, "b": 3,}'), (2, "[1, 2]"), (3, 'Sure! {a": 0.2, "b": "x"} done'), (4, '{"a": -1, "b": 0.75}')], "id int, reply string")
     w = prompt.normalize_weights(prompt.parse_weights(F.col("reply"), ["a", "b"]), ["a", "b"])
-    return r6(rows.select("id", w["a"].alias("a"), w["b"].alias("b")))
+    return r6(_replies(spark, d).select("conv_id", "turn", w["a"].alias("a"), w["b"].alias("b")))
 
 
-_SUMMARY = "'Class summary (label=' || target || '): o_totalprice=' || printf('%.2f', 0.25 * n * 500000.0::DOUBLE) || ', o_orderstatus=' || s"
-
-
-@query(f"WITH t AS (SELECT unnest([0, 1]) AS target, unnest([1, 3]) AS n, unnest(['F', 'O']) AS s) SELECT target, {_SUMMARY} AS line FROM t")
+@query(f"WITH p AS ({_group_sql(INF, ['target'])}) SELECT target, 'Class summary (label=' || target || '): o_totalprice=' || printf('%.2f', o_totalprice * 500000.0::DOUBLE) || ', o_orderstatus=' || o_orderstatus AS line FROM p")
 def class_summary_lines(spark, d):
-    prototypes = spark.createDataFrame([(0.25, "F", 0), (0.75, "O", 1)], "o_totalprice double, o_orderstatus string, target int")
+    prototypes = r6(privacy.class_prototypes(declared(spark, d, "orders"), DECLARED["orders"], INF, Noise.test(SEED)))
     return prototypes.select("target", prompt.summary_line(DECLARED["orders"]).alias("line"))
 
 
@@ -756,9 +780,16 @@ def metrics_zero_division(spark, d):
     return r6(score.metrics(read_parquet(spark, d, "labels").select(F.col("quality").alias("t"), F.lit(0).alias("p")), "t", "p"))
 
 
-@query("SELECT 2::BIGINT AS fallback_clusters")
+_FAR = [*CENTERS, [9.0] * 4]  # a cluster that nothing is near to
+
+
+@query(f"WITH {ORDERS}, a AS (SELECT DISTINCT {_nearest((0, 1, 2, 3), _FAR)} AS id FROM o) SELECT 4::BIGINT - count(*) AS fallback_clusters FROM a")
 def fallback_count(spark, d):
-    return synth.fallback_count(spark.createDataFrame([(0, True), (1, False), (2, True)], "cluster_id int, fallback boolean"))
+    """Clusters without a positive cell in their tables."""
+    s = DECLARED["orders"]
+    coded = marginals.encode_rows(cluster.assign(declared(spark, d, "orders"), SPEC, _FAR), s, keep=["cluster_id"])
+    models = synth.cluster_models(coded, synth.MarginalMethod(marginals.sizes(s), INF), len(_FAR), Noise.test(SEED))
+    return synth.fallback_count(spark.createDataFrame([(c, m is None) for c, m in enumerate(models)], "cluster_id int, fallback boolean"))
 
 
 # -- synthesis and experiments -----------------------------------------------------------------------
@@ -794,7 +825,20 @@ def generator_synth(spark, d):
     return r6(synth.generator_synthesize(declared(spark, d, "lineitem"), DECLARED["lineitem"], 4.0, 2000, Noise.test(SEED), seed=SEED))
 
 
-@query()
+_STAR_SIGMA = synth.gauss_sigma(synth.zcdp(2.0, 1e-5) / 2)
+_MIDS = [(x + y) / 2 for x, y in zip(exprs.edges(8), exprs.edges(8)[1:])]
+_CLUSTER_STAR = f"""WITH {CODED_ORDERS}, cc AS (SELECT c.*, {_nearest()} AS cluster_id FROM c JOIN (SELECT row_id, o_totalprice AS p, o_orderstatus AS s FROM o) USING (row_id)), m AS (""" + " UNION ALL ".join(
+    f"SELECT cluster_id, '{a}' AS attr_a, x AS code_a, y AS code_b, greatest(coalesce(n, 0) + {_dnorm(_STAR_SIGMA, SEED, repr_('cell'), 'cluster_id', repr_(a), repr_('target'), 'x', 'y')}, 0) AS n FROM (SELECT DISTINCT cluster_id FROM cc) CROSS JOIN (SELECT unnest(range({s})) AS x) CROSS JOIN (SELECT unnest(range(2)) AS y) LEFT JOIN (SELECT cluster_id, {a} AS x, target AS y, count(*) AS n FROM cc GROUP BY ALL) USING (cluster_id, x, y)"
+    for a, s in (("o_totalprice", 8), ("o_orderstatus", 3))
+) + f"""), cdf AS (SELECT *, CASE WHEN sum(n) OVER w > 0 THEN sum(n) OVER (w ORDER BY code_a ROWS UNBOUNDED PRECEDING) / sum(n) OVER w ELSE count(*) OVER (w ORDER BY code_a ROWS UNBOUNDED PRECEDING) / count(*) OVER w END AS upto FROM m WINDOW w AS (PARTITION BY cluster_id, attr_a, code_b)),
+  p AS (SELECT cluster_id, coalesce(avg(p), 0.5) AS p FROM (SELECT cluster_id, sum(n) FILTER (WHERE code_b = 1) / nullif(sum(n), 0) AS p FROM m GROUP BY cluster_id, attr_a) GROUP BY cluster_id),
+  s AS (SELECT cluster_id, range AS synth_id, ({_u(SEED, repr_('y'), 'cluster_id', 'range')} < p.p)::INT AS target FROM range(300) CROSS JOIN p),
+  d AS (SELECT cluster_id, synth_id, (SELECT min(code_a) FROM cdf WHERE cdf.cluster_id = s.cluster_id AND attr_a = 'o_totalprice' AND code_b = s.target AND upto >= {_u(SEED, repr_('x'), repr_('o_totalprice'), 's.cluster_id', 's.synth_id')}) AS a,
+    (SELECT min(code_a) FROM cdf WHERE cdf.cluster_id = s.cluster_id AND attr_a = 'o_orderstatus' AND code_b = s.target AND upto >= {_u(SEED, repr_('x'), repr_('o_orderstatus'), 's.cluster_id', 's.synth_id')}) AS b, target FROM s)
+  SELECT cluster_id, synth_id, {_r(str(_MIDS) + "[a + 1]")} AS o_totalprice, ['F','O','P'][b + 1] AS o_orderstatus, target FROM d"""
+
+
+@query(_CLUSTER_STAR.replace(_nearest(), _nearest().replace("o_totalprice", "p").replace("o_orderstatus", "s")))
 def cluster_star_synth(spark, d):
     s = DECLARED["orders"]
     assigned = cluster.assign(declared(spark, d, "orders"), SPEC, CENTERS)
@@ -810,7 +854,21 @@ def experiment_end_to_end(spark, d):
     return r6(experiment.run_experiments(spark, experiment.MarginalBackend(noise=Noise.test), [ctx], trials=1, ks=(2,), epsilons=(2.0,), n_synth=400, noise=Noise.test))
 
 
-@query()
+def _example(price: str, status: str) -> str:
+    return f"""'Input: {{"o_totalprice":"' || printf('%.4f', round({price} * 500000.0::DOUBLE, 2)) || '","o_orderstatus":"' || {status} || '"}}' || chr(10) || 'Label:'"""
+
+
+_EVAL_SPLIT = f"""{ORDERS}, sp AS (SELECT *, row_number() OVER (ORDER BY {_h(experiment.EVAL_SEED, 'row_id')}, row_id) AS r, count(*) OVER () AS total FROM o),
+  te AS (SELECT * FROM sp WHERE r <= least(greatest(floor(0.2::DOUBLE * total), 1), total - 1)),
+  b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY {_h(experiment.EVAL_SEED, 'row_id')}, row_id) AS nth FROM te) WHERE nth <= least(50, (SELECT min(n) FROM (SELECT count(*) AS n FROM te GROUP BY target))))"""
+
+
+@query(
+    f"""WITH {_EVAL_SPLIT}, sl AS (SELECT row_id AS query_id, unnest(range(4)) AS slot FROM b), rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_h(3, 'query_id', 'slot')}, slot) AS nth FROM sl),
+  ex AS (SELECT query_id, string_agg('Example ' || nth || ':' || chr(10) || {_example(repr(encode.decode_center(SPEC, CENTERS[0])['o_totalprice']), repr_('F'))} || ' ' || (slot < 2)::INT || chr(10) || chr(10), '' ORDER BY nth) AS examples FROM rk GROUP BY query_id)
+  SELECT query_id, 'Follow the labeled examples. Output exactly one label: 0 or 1.' || chr(10) || chr(10) || 'Use the labeled examples to perform order urgency prediction for the query instance.' || chr(10) || 'Allowed labels: 0 or 1.' || chr(10) || 'Return only 0 or 1.' || chr(10) || chr(10)
+  || examples || 'Query:' || chr(10) || {_example('o_totalprice', 'o_orderstatus')} || ' ' AS prompt FROM ex JOIN b ON b.row_id = ex.query_id"""
+)
 def evaluation_prompts(spark, d):
     ctx = experiment.prepare_dataset(spark, "orders", d)
     pool = synth.centroid_fallback(spark, encode.decode_center(SPEC, CENTERS[0]), ctx.schema, 12).withColumn("cluster_id", F.lit(0))
