@@ -40,20 +40,61 @@ def nearest_demo_scorer(spec: OneHotSpec) -> Scorer:
     return run
 
 
-def text_scorer(load: Callable[[], Callable[[Sequence[str]], Sequence[tuple[float, float]]]], positive_wins_ties: bool = False) -> Callable[[DataFrame, str, str], DataFrame]:
-    """A scorer over prompt texts: ``load`` runs once per worker, batches go through it whole.
-
-    It returns (score of label 0, score of label 1) per text; 1 only if its score is greater.
+class Tokenizer(Protocol):
+    def encode(self, text: str, add_special_tokens: bool = True):
+        """Something with ``ids`` and, for each of them, ``offsets`` (begin, end) into the text."""
+
+
+def left_cut(text: str, tokenizer: Tokenizer, max_tokens: int) -> tuple[str, int]:
+    """(the longest end of ``text`` that starts with a token and has at most ``max_tokens``, its number of tokens)."""
+    offsets = tokenizer.encode(text, add_special_tokens=False).offsets
+    if len(offsets) <= max_tokens:
+        return text, len(offsets)
+    for begin, _ in offsets[len(offsets) - max_tokens :]:  # the end alone may be cut into tokens in another way: then it starts later
+        rest = text[begin:]
+        n = len(tokenizer.encode(rest, add_special_tokens=False).ids)
+        if n <= max_tokens:
+            return rest, n
+    return "", 0
+
+
+def by_length(lengths: Sequence[int], batch_tokens: int) -> Iterator[list[int]]:
+    """Places in groups of like length, the longest first: padded to its longest, a group has at most ``batch_tokens`` tokens, or one text."""
+    group: list[int] = []
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        if group and (len(group) + 1) * lengths[group[0]] > batch_tokens:
+            yield group
+            group = []
+        group.append(i)
+    if group:
+        yield group
+
+
+def text_scorer(
+    load: Callable[[], Callable[[Sequence[str]], Sequence[tuple[float, float]]]], positive_wins_ties: bool = False, tokenizer: Callable[[], Tokenizer] | None = None, max_tokens: int = 4000, batch_tokens: int = 1 << 16,
+) -> Callable[[DataFrame, str, str], DataFrame]:
+    """A scorer over prompt texts: ``load`` runs once per task and gives a function from texts to
+    (score of label 0, score of label 1) each; the prediction is 1 only if its score is greater. A null text is an empty one.
+
+    With a ``tokenizer`` (made once per task, too), texts are cut from the left to ``max_tokens`` tokens and
+    scored in batches of like length, each of at most ``batch_tokens`` with its padding.
     """
 
     def run(prompts: DataFrame, query_key: str, text_col: str = "prompt") -> DataFrame:
         kind = dict(prompts.dtypes)[query_key]
 
         def batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            score = load()
+            score, coder = load(), None if tokenizer is None else tokenizer()
             for b in batches:
-                pairs = score(b.column(1).to_pylist())
-                label = [int(one > zero or (positive_wins_ties and one == zero)) for zero, one in pairs]
+                texts = [t or "" for t in b.column(1).to_pylist()]
+                groups: Iterator[list[int]] = iter([list(range(len(texts)))])
+                if coder is not None:
+                    texts, lengths = zip(*(left_cut(t, coder, max_tokens) for t in texts)) if texts else ((), ())
+                    groups = by_length(lengths, batch_tokens)
+                label = [0] * len(texts)
+                for group in groups:
+                    for i, (zero, one) in zip(group, score([texts[i] for i in group])):
+                        label[i] = int(one > zero or (positive_wins_ties and one == zero))
                 yield pa.record_batch([b.column(0), pa.array(label, pa.int32())], names=[query_key, "prediction"])
 
         return prompts.select(query_key, text_col).mapInArrow(batch, f"{query_key} {kind}, prediction int")
@@ -61,21 +102,49 @@ def text_scorer(load: Callable[[], Callable[[Sequence[str]], Sequence[tuple[floa
     return run
 
 
-def max_label_scores(variants: Sequence[Mapping[str, float]], labels: Sequence[Sequence[str]] = (("0", " 0"), ("1", " 1"))) -> list[tuple[float, float]]:
+#: Spellings of the labels whose scores count, by serialisation mode (fixed values).
+LABELS = {"json": (("0", " 0"), ("1", " 1")), "sentence": (("No", " No", "no", " no"), ("Yes", " Yes", "yes", " yes"))}
+
+
+def max_label_scores(variants: Sequence[Mapping[str, float]], labels: Sequence[Sequence[str]] = LABELS["json"]) -> list[tuple[float, float]]:
     """(score of 0, score of 1) per text: for each label the greatest score among its spellings, minus infinity without any."""
     return [tuple(max((v[w] for w in names if w in v), default=float("-inf")) for names in labels) for v in variants]
 
 
-def text_weigher(ask: Callable[[str, str], str], system: str = "You rate how much each feature tells about the label. Answer with JSON only.") -> Weigher:
-    """A weigher that asks a language model once, over the class summaries, and reads its reply leniently."""
+#: What a language model is told before it weighs features (fixed wording).
+WEIGHT_SYSTEM = """You are a clinical data scientist evaluating feature importance for tabular classification.
+Calculate the mean shift (delta) between label=0 and label=1 for each feature, and combine it with clinical domain relevance.
+Assign continuous weights between 0.05 (irrelevant) and 1.00 (critical predictor).
+Avoid assigning default flat weights (like 0.5) to multiple features unless they have identical effect sizes."""
+
+
+class ReplyError(ValueError):
+    """A model's reply holds no object with weights."""
+
+
+def text_weigher(ask: Callable[[str, str], str], system: str = WEIGHT_SYSTEM, tokenizer: Callable[[], Tokenizer] | None = None, max_tokens: int = 3000) -> Weigher:
+    """A weigher that asks a language model once, over the class summaries, and reads its reply leniently.
+
+    With a ``tokenizer`` the question's end is cut so that it has at most ``max_tokens`` tokens together with ``system``.
+    A reply without an object is an error.
+    """
 
     def run(prototypes: DataFrame, schema: PublicSchema) -> dict[str, float]:
-        from .prompt import normalize_weights, parse_weights, summary_line, weighting_prompt
+        from .prompt import extract_object, normalize_weights, parse_weights, summary_line, weighting_prompt
 
         lines = [r[0] for r in prototypes.orderBy("target").select(summary_line(schema)).collect()]  # two rows
-        reply = prototypes.sparkSession.createDataFrame([(ask(system, weighting_prompt(schema, lines)),)], "reply string")
+        question = weighting_prompt(schema, lines)
+        if tokenizer is not None:
+            coder = tokenizer()
+            room = max(0, max_tokens - len(coder.encode(system, add_special_tokens=False).ids))
+            offsets = coder.encode(question, add_special_tokens=False).offsets
+            question = question if len(offsets) <= room else question[: offsets[room][0]]
+        reply = prototypes.sparkSession.createDataFrame([(ask(system, question),)], "reply string")
         weights = normalize_weights(parse_weights(F.col("reply"), schema.features), schema.features)
-        return dict(reply.select(weights.alias("w")).first()["w"])
+        found = reply.select(extract_object(F.col("reply")).isNotNull().alias("object"), weights.alias("w")).first()
+        if not found["object"]:
+            raise ReplyError("the reply holds no JSON object")
+        return dict(found["w"])
 
     return run
 

@@ -751,15 +751,27 @@ def class_summary_lines(spark, d):
     return prototypes.select("target", prompt.summary_line(DECLARED["orders"]).alias("line"))
 
 
-@query(f"WITH {ORDERS} SELECT row_id AS query_id, (o_totalprice > 0.5 OR (o_totalprice = 0.5 AND false))::INT AS prediction FROM o")
+@query(
+    f"""WITH p AS ({_group_sql(INF, ['target'])}), z AS (SELECT max(v) FILTER (WHERE target = 0) AS v0, max(v) FILTER (WHERE target = 1) AS v1 FROM (SELECT target, round(o_totalprice * 500000.0::DOUBLE, 2) AS v FROM p)), {ORDERS}
+  SELECT row_id AS query_id, (abs(round(o_totalprice * 500000.0::DOUBLE, 2) - v1) < abs(round(o_totalprice * 500000.0::DOUBLE, 2) - v0))::INT AS prediction FROM o CROSS JOIN z"""
+)
 def text_scorer_labels(spark, d):
-    """A scorer over texts, batch by batch: here the text is a number and label 1 scores by it."""
-    texts = declared(spark, d, "orders").select(F.col("row_id").alias("query_id"), F.format_string("%.17g", "o_totalprice").alias("prompt"))
+    """Every order as a prompt with the two class prototypes for demonstrations; the model's stand-in reads prices out of the prompt's text."""
+    import re
+
+    s = DECLARED["orders"]
+    rows = declared(spark, d, "orders")
+    shots = r6(privacy.class_prototypes(rows, s, INF, Noise.test(SEED))).select((F.col("key_id") + 1).alias("demo_rank"), *s.features, "target")
+    queries = rows.withColumnRenamed("row_id", "query_id")
 
     def load():
-        return lambda batch: score.max_label_scores([{"0": 0.5, " 0": 0.1, " 1": float(t)} for t in batch])
+        def scores(texts):
+            found = [[float(x) for x in re.findall(r'"o_totalprice":"([0-9.]+)"', t)] for t in texts]  # example of label 0, of label 1, query
+            return score.max_label_scores([{" 0": -abs(q - zero), "1": -abs(q - one)} for zero, one, q in found])
+
+        return scores
 
-    return score.text_scorer(load)(texts, "query_id")
+    return experiment.prompt_scorer(s, score.text_scorer(load))(queries, queries.select("query_id").crossJoin(F.broadcast(shots)), "query_id")  # two rows
 
 
 # -- metrics --------------------------------------------------------------------------------------

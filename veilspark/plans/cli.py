@@ -4,12 +4,30 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Sequence
+from importlib import import_module
 
 from pyspark.sql import SparkSession
 
 from ..functions.rand import Noise
 from ..operators.generator import GeneratorConfig
-from .experiment import METHODS, GeneratorBackend, MarginalBackend, prepare_dataset, run_experiments
+from .experiment import METHODS, SPLIT_SEED, SUMMARY_SEED, GeneratorBackend, MarginalBackend, prepare_dataset, run_experiments
+
+
+def named(path: str | None):
+    """The object that ``module:name`` names."""
+    if path is None:
+        return None
+    module, _, name = path.partition(":")
+    if not name:
+        raise ValueError(f"{path!r} should read module:name")
+    return getattr(import_module(module), name)
+
+
+def option(text: str) -> tuple[str, object]:
+    """``name=value`` with a number, true, false or none."""
+    name, _, value = text.partition("=")
+    known = {"true": True, "false": False, "none": None}
+    return name, known[value.lower()] if value.lower() in known else float(value) if set(value) & set(".eE") else int(value)
 
 
 def parse_args(argv: Sequence[str] | None = None) -> argparse.Namespace:
@@ -35,6 +53,12 @@ def parse_args(argv: Sequence[str] | None = None) -> argparse.Namespace:
     p.add_argument("--rounds", type=int, default=10)
     p.add_argument("--alpha", type=float, default=0.5)
     p.add_argument("--inner", type=int, default=100)
+    p.add_argument("--generator", nargs="*", type=option, default=[], metavar="NAME=VALUE", help="further options of the generator, as degree=3 or eta_min=0.001")
+    p.add_argument("--split-seed", type=int, default=SPLIT_SEED)
+    p.add_argument("--summary-seed", type=int, default=SUMMARY_SEED)
+    p.add_argument("--scorer", help="module:name of a function from (weighted space, schema) to a scorer")
+    p.add_argument("--weigher", help="module:name of a weigher")
+    p.add_argument("--ceiling", type=float, help="epsilon that the whole sweep may cost a dataset")
     p.add_argument("--test-noise", action="store_true", help="repeatable noise that anyone can remove: NOT private")
     return p.parse_args(argv)
 
@@ -46,9 +70,12 @@ def main(argv: Sequence[str] | None = None) -> None:
     if a.backend == "marginal":
         backend = MarginalBackend(a.bins, a.delta, a.consistency_rounds, a.view_rounds, a.update_rounds, noise)
     else:
-        backend = GeneratorBackend(a.bins, a.delta, GeneratorConfig(rounds=a.rounds, alpha=a.alpha, inner=a.inner), noise)
+        backend = GeneratorBackend(a.bins, a.delta, GeneratorConfig.of(rounds=a.rounds, alpha=a.alpha, inner=a.inner, **dict(a.generator)), noise)
     contexts = [prepare_dataset(spark, d, a.root) for d in a.datasets]
-    run_experiments(spark, backend, contexts, a.methods, a.trials, a.k, a.epsilon, a.shots, a.delta, a.cluster_share, a.weight_fraction, cache_dir=a.cache_dir, out=a.out, noise=noise, n_synth=a.n_synth).show(truncate=False)
+    run_experiments(
+        spark, backend, contexts, a.methods, a.trials, a.k, a.epsilon, a.shots, a.delta, a.cluster_share, a.weight_fraction, cache_dir=a.cache_dir, out=a.out, noise=noise, n_synth=a.n_synth,
+        scorer=named(a.scorer), split_seed=a.split_seed, summary_seed=a.summary_seed, ceiling=a.ceiling, **({"weigher": named(a.weigher)} if a.weigher else {}),
+    ).show(truncate=False)
 
 
 if __name__ == "__main__":

@@ -150,19 +150,19 @@ def evaluation_prompts(routed: DataFrame, pools: DataFrame, schema: PublicSchema
     return p.select("query_id", prompt.scorer_input(F.col("system_message"), F.col("user_message"), mode).alias("prompt"))
 
 
-def task_weights(ctx: DatasetContext, weight_rows: DataFrame, epsilon: float, weigher: score.Weigher, cache_dir: str | None = None, noise: Callable[..., Noise] = Noise.secret, fraction: float = 0.1) -> dict[str, float]:
+def task_weights(ctx: DatasetContext, weight_rows: DataFrame, epsilon: float, weigher: score.Weigher, cache_dir: str | None = None, noise: Callable[..., Noise] = Noise.secret, fraction: float = 0.1, split_seed: int = SPLIT_SEED, summary_seed: int = SUMMARY_SEED) -> dict[str, float]:
     """Feature weights from the DP class summaries, read through a cache."""
     name = ctx.schema.name
-    if cache_dir and (found := tables.read_cache(cache_dir, name, epsilon, SPLIT_SEED, ctx.feature_cols)):
+    if cache_dir and (found := tables.read_cache(cache_dir, name, epsilon, split_seed, ctx.feature_cols)):
         return found
-    seed = SUMMARY_SEED + (0 if infinite(epsilon) else round(1000 * epsilon))
+    seed = summary_seed + (0 if infinite(epsilon) else round(1000 * epsilon))
     prototypes = privacy.class_prototypes(weight_rows, ctx.schema, epsilon, noise("weights", seed))
     rows = [r.asDict() for r in prototypes.drop("key_id").collect()]  # two rows
     weights = weigher(weight_rows.sparkSession.createDataFrame(rows, prototypes.drop("key_id").schema), ctx.schema)
     if cache_dir:
         tables.write_cache(
             cache_dir, name, epsilon,
-            {"dataset": name, "epsilon": epsilon, "weight_sample_fraction": fraction, "weight_split_seed": SPLIT_SEED, "summary_seed": seed, "scoring_model": getattr(weigher, "__name__", "weigher"), "prompt_version": "offline", "dp_summaries": rows, "normalized_weights": weights},
+            {"dataset": name, "epsilon": epsilon, "weight_sample_fraction": fraction, "weight_split_seed": split_seed, "summary_seed": seed, "scoring_model": getattr(weigher, "__name__", "weigher"), "prompt_version": "offline", "dp_summaries": rows, "normalized_weights": weights},
         )
     return weights
 
@@ -181,7 +181,7 @@ def check_arguments(methods: Sequence[str], cluster_share: float, delta: float,
 def run_experiments(
     spark: SparkSession, backend: Backend, contexts: Sequence[DatasetContext], methods: Sequence[str] = METHODS, trials: int = 10, ks: Sequence[int] = (3,), epsilons: Sequence[float] = (1.0, 2.0, 4.0),
     shots: int = 8, delta: float = 1e-5, cluster_share: float = 0.3, weight_fraction: float = 0.1, weigher: score.Weigher = score.class_gap_weigher, cache_dir: str | None = None, out: str | None = None,
-    noise: Callable[..., Noise] = Noise.secret, n_synth: int | None = None, scorer: Callable[[encode.OneHotSpec, PublicSchema], score.Scorer] | None = None,
+    noise: Callable[..., Noise] = Noise.secret, n_synth: int | None = None, scorer: Callable[[encode.OneHotSpec, PublicSchema], score.Scorer] | None = None, split_seed: int = SPLIT_SEED, summary_seed: int = SUMMARY_SEED, ceiling: float | None = None,
 ) -> DataFrame:
     """One result row per dataset, method, k, epsilon and trial.
 
@@ -190,17 +190,23 @@ def run_experiments(
     pools are made of the main part alone. Every row of the results is a release with a ledger of its own, and every
     release has noise of its own: ``noise`` is called with method, k, epsilon and seed, and is secret unless given.
     ``scorer`` makes a scorer of the weighted space and the schema, by default the nearest demonstration.
+
+    Releases about the same rows add up: ``sweep_epsilon`` in the results is what all releases of a dataset cost together
+    (feature weights are bought once per epsilon). With a ``ceiling``, a sweep that would cost more does not begin.
     """
     check_arguments(methods, cluster_share, delta, epsilons, ks)
+    whole = sweep_cost(methods, trials, ks, epsilons)
+    if ceiling is not None and whole > ceiling * (1 + 1e-9):
+        raise privacy.BudgetError(f"the sweep would cost {whole} of {ceiling}")
     found, kind = [], None
     for ctx in contexts:
         schema = ctx.schema
         train = ctx.keep(ctx.train)
         n = train.count()
-        weight_rows, main = sampling.disjoint_split(train, weight_fraction, SPLIT_SEED, n=n)
+        weight_rows, main = sampling.disjoint_split(train, weight_fraction, split_seed, n=n)
         total = n_synth or n
         for eps in epsilons:
-            weights = task_weights(ctx, weight_rows, eps, weigher, cache_dir, noise, weight_fraction)
+            weights = task_weights(ctx, weight_rows, eps, weigher, cache_dir, noise, weight_fraction, split_seed, summary_seed)
             spec = encode.onehot_spec(schema, weights)
             answer = score.nearest_demo_scorer(spec) if scorer is None else scorer(spec, schema)
             eps_cluster, eps_synth = privacy.split_budget(eps, cluster_share)
@@ -224,8 +230,8 @@ def run_experiments(
                     m, per_query = evaluate(routed, pool, schema, answer, shots, t * 10_000, total)
                     about = {
                         "dataset": schema.name, "method": method, "epsilon": float(eps), "delta": float(delta), "K": k or 1, "seed": seed, "base_synthesizer": backend.name, "uses_dp_summaries": True,
-                        "eps_cluster": eps_cluster if k else 0.0, "eps_synth": eps_synth if k else float(eps), "target_centered": k is not None, "fallback_clusters": fallbacks, "epsilon_spent": float(ledger.total),
-                        "weight_sample_fraction": weight_fraction, "weight_split_seed": SPLIT_SEED, "weight_source": getattr(weigher, "__name__", "weigher"),
+                        "eps_cluster": eps_cluster if k else 0.0, "eps_synth": eps_synth if k else float(eps), "target_centered": k is not None, "fallback_clusters": fallbacks, "epsilon_spent": float(ledger.total), "sweep_epsilon": float(whole),
+                        "weight_sample_fraction": weight_fraction, "weight_split_seed": split_seed, "weight_source": getattr(weigher, "__name__", "weigher"),
                     }
                     tag = lambda df, keys: df.select(*[F.lit(about[x]).alias(x) for x in keys], *[F.col(c) for c in df.columns])
                     row = tag(m, about)
@@ -237,6 +243,12 @@ def run_experiments(
     return spark.createDataFrame(found, kind)
 
 
+def sweep_cost(methods: Sequence[str], trials: int, ks: Sequence[int], epsilons: Sequence[float]) -> float:
+    """What all releases of a sweep cost one dataset: the dearer of its two disjoint parts."""
+    pools = trials * (("global" in methods) + ("clustered" in methods) * len(ks))
+    return sum(epsilons) * max(1, pools)
+
+
 def spent(epsilon: float) -> privacy.BudgetLedger:
     """The ledger of one release, with the feature weights already bought from the reserved part."""
     ledger = privacy.BudgetLedger(epsilon)
@@ -244,12 +256,15 @@ def spent(epsilon: float) -> privacy.BudgetLedger:
     return ledger
 
 
-def prompt_scorer(schema: PublicSchema, score_texts, mode: str = "json", max_tokens: int = 4000) -> score.Scorer:
-    """A scorer that reads prompts: demonstrations and query are rendered, cut from the left to ``max_tokens`` words, and scored."""
+def prompt_scorer(schema: PublicSchema, score_texts, mode: str = "json", max_tokens: int | None = None) -> score.Scorer:
+    """A scorer that reads prompts: demonstrations and query are rendered and scored by ``score_texts``.
+
+    Token budgets are kept by ``text_scorer`` with a tokenizer; without one, ``max_tokens`` words from the right are kept.
+    """
 
     def run(queries: DataFrame, demos: DataFrame, query_key: str) -> DataFrame:
         p = prompt.prompts(queries, demos, schema, mode, query_key)
         text = prompt.scorer_input(F.col("system_message"), F.col("user_message"), mode)
-        return score_texts(p.select(query_key, prompt.left_truncated(text, max_tokens).alias("prompt")), query_key)
+        return score_texts(p.select(query_key, (text if max_tokens is None else prompt.left_truncated(text, max_tokens)).alias("prompt")), query_key)
 
     return run
