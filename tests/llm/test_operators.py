@@ -204,9 +204,18 @@ def test_mixing_comes_near_the_best_of_all(spark):
         target = g.target.iloc[0]
         best = min(abs(sum(a * b for a, b in zip(c, g["size"])) - target) for c in product(range(4), repeat=len(g)))
         miss = abs(g.taken.sum() - target)
-        assert miss >= best - 1e-9 and miss <= g["size"].min()
+        assert best - 1e-9 <= miss <= 2 * best + 1 + 1e-9  # one word counts for nothing
         gaps.append(miss / target)
-    assert np.mean(gaps) < 0.05
+    assert np.mean(gaps) < 0.005
+
+
+def test_mixing_moves_rows_of_one_hash_together(spark):
+    """Rows equal in id and text share u; the last change counts all of them."""
+    rows = [(i % 4, " ".join(["w"] * (10 + 7 * (i % 4))), "a") for i in range(12)] + [(100 + i, " ".join(["w"] * (3 + i)), "b") for i in range(5)]
+    got = mixing.mix_report(docs(spark, rows)).toPandas()
+    assert (got.groupby(["doc_id", "size"]).taken.nunique() == 1).all()
+    for t, g in got.groupby("target"):
+        assert abs(g.taken.sum() - t) <= 30
 
 
 def test_packing(spark, edges, none):

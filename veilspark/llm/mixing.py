@@ -11,9 +11,9 @@ probability p. Documents are ranked by random odds over inclusion odds,
 ``(u / (1 - u)) / (p / (1 - p))``, and taken in that
 order: the sample size that is fixed is the source's words, so the order stops
 where the next document would pass the goal. What is left of the goal goes to
-the documents of lower rank that still fit, by the same order. At last one document
-is added, or one added and one given back, if that brings the mix nearer to its target: of all such
-changes the one that comes nearest.
+the documents of lower rank that still fit, by the same order. At last up to three documents are
+added and up to three given back, if that brings the mix nearer to its target: of all such changes among
+the ``CHOICES`` or so documents of the source with the least u (all, if it has no more) the one that comes nearest.
 
 The outcome is a handful of bounds per source and length class (``plan_mix``), so a document's
 copies are a pure function of its own row. The bounds come from pre-aggregated
@@ -37,6 +37,8 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 SEED = 1729
 LEVELS, CELLS = 2, 4096
+#: Documents of a source that the last change chooses from, about, and how many may come and go.
+CHOICES, MOVES = 24, 3
 
 
 def source_key(name: str = "source") -> Column:
@@ -152,32 +154,45 @@ def plan_mix(docs: DataFrame, weights: tuple = WEIGHTS, max_repeat: int = MAX_RE
     fitting = ranked.join(hint(state), "source_key").filter("y > cut AND size <= room").select("source_key", "size", "y")
     second = stage(_prefix(fitting, state.select("source_key", F.col("room").alias("goal")), hint), "mix-second")
     state = stage(state.join(hint(second.select("source_key", F.col("used").alias("used2"), F.col("cut").alias("cut2"))), "source_key").withColumn("left", F.col("room") - F.col("used2")), "mix-state2")
-    change = best_change(known.join(hint(state), "source_key"), state, max_repeat)
+    counts = rows.filter("size > 0").groupBy("source_key").agg(F.count(F.lit(1)).alias("rows"))
+    change = best_change(known.join(hint(state), "source_key").join(hint(counts), "source_key"), state, max_repeat)
     bounds = plan.drop("goal").join(hint(state.drop("used2", "left")), "source_key").join(hint(change), "source_key", "left")
     return rows, stage(bounds, "mix-bounds")
 
 
+def sums(choices: DataFrame) -> DataFrame:
+    """(source_key, sum, us): the sums of up to ``MOVES`` different ``choices`` (source_key, u, size) of a source, each with the first set of u that makes it."""
+    one = choices.select("source_key", F.col("size").alias("sum"), F.array("u").alias("us"))
+    found, more = one, one
+    for _ in range(MOVES - 1):
+        more = more.join(choices, "source_key").filter(F.element_at("us", -1) < F.col("u")).select("source_key", (F.col("sum") + F.col("size")).alias("sum"), F.concat("us", F.array("u")).alias("us"))
+        found = found.unionByName(more)
+    return found.groupBy("source_key", "sum").agg(F.min("us").alias("us"))
+
+
 def best_change(known: DataFrame, state: DataFrame, max_repeat: int) -> DataFrame:
-    """(source_key, add, drop): u of the document to take once more and of the one to take once less.
+    """(source_key, add, drop): u of the documents to take once more and of those to take once less.
 
-    Works on the distinct sizes of a source: for each size that may go (or none), the sizes just
-    below and above what is then left. Sources that no change brings nearer have no row.
+    A source's choices are its rows with u at most ``CHOICES`` over their number, so a handful whatever its size. For each sum
+    that may go (or none) the sums just below and above what is then left are tried. A document in both lists stays as it is.
+    Sources that no change brings nearer have no row.
     """
-    taken = known.withColumn("n", F.col("whole") + taken_more())
-    sizes = taken.groupBy("source_key", "size", "left").agg(F.min(F.when(F.col("n") < max_repeat, F.col("u"))).alias("add"), F.min(F.when(F.col("n") > 0, F.col("u"))).alias("drop"))
-    sizes = stage(sizes, "mix-sizes")
-    offers = sizes.filter("add IS NOT NULL").select("source_key", F.col("size").cast("double").alias("at"), F.lit(0).alias("kind"), "left", F.struct("size", F.col("add").alias("u")).alias("offer"), F.lit(None).cast("struct<size:long,u:double>").alias("given"))
-    given = F.struct("size", F.col("drop").alias("u"))
-    asks = sizes.filter("drop IS NOT NULL").select("source_key", (F.col("left") + F.col("size")).alias("at"), F.lit(1).alias("kind"), "left", F.lit(None).cast("struct<size:long,u:double>").alias("offer"), given.alias("given"))
-    nothing = state.select("source_key", F.col("left").alias("at"), F.lit(1).alias("kind"), "left", F.lit(None).cast("struct<size:long,u:double>").alias("offer"), F.struct(F.lit(0).cast("long").alias("size"), F.lit(None).cast("double").alias("u")).alias("given"))
+    taken = known.filter(F.col("u") * F.col("rows") <= CHOICES).withColumn("n", F.col("whole") + taken_more())
+    # rows equal in id and text change together
+    choices = stage(taken.groupBy("source_key", "u").agg(F.sum("size").alias("size"), F.max("n").alias("n")), "mix-choices")
+    none = state.select("source_key", F.lit(0).cast("long").alias("sum"), F.array().cast("array<double>").alias("us"))
+    some = lambda on: stage(sums(choices.filter(on).drop("n")).unionByName(none).join(state.select("source_key", "left"), "source_key"), "mix-sums")
+    move = "struct<sum:long,us:array<double>>"
+    offers = some(F.col("n") < max_repeat).select("source_key", F.col("sum").cast("double").alias("at"), F.lit(0).alias("kind"), "left", F.struct("sum", "us").alias("offer"), F.lit(None).cast(move).alias("given"))
+    asks = some(F.col("n") > 0).select("source_key", (F.col("left") + F.col("sum")).alias("at"), F.lit(1).alias("kind"), "left", F.lit(None).cast(move).alias("offer"), F.struct("sum", "us").alias("given"))
     # two running windows: a frame to the end of the partition would be computed anew for every row
     line = Window.partitionBy("source_key").rowsBetween(Window.unboundedPreceding, 0)
     below = F.last("offer", ignorenulls=True).over(line.orderBy("at", "kind"))
     above = F.last("offer", ignorenulls=True).over(line.orderBy(F.desc("at"), F.desc("kind")))
-    near = offers.unionByName(asks).unionByName(nothing).select("*", F.array(below, above).alias("near")).filter("kind = 1")
+    near = offers.unionByName(asks).select("*", F.array(below, above).alias("near")).filter("kind = 1")
     pairs = near.select("source_key", "at", "left", "given", F.explode("near").alias("offer")).filter("offer IS NOT NULL")
-    pairs = pairs.withColumn("miss", F.abs(F.col("at") - F.col("offer.size"))).filter(F.col("miss") < F.col("left"))
-    best = pairs.groupBy("source_key").agg(F.min(F.struct("miss", F.col("given.size").alias("d"), F.col("offer.size").alias("a"), F.col("offer.u").alias("add"), F.col("given.u").alias("drop"))).alias("best"))
+    pairs = pairs.withColumn("miss", F.abs(F.col("at") - F.col("offer.sum"))).filter(F.col("miss") < F.col("left"))
+    best = pairs.groupBy("source_key").agg(F.min(F.struct("miss", F.col("given.sum").alias("d"), F.col("offer.sum").alias("a"), F.col("offer.us").alias("add"), F.col("given.us").alias("drop"))).alias("best"))
     return stage(best.select("source_key", "best.add", "best.drop"), "mix-change")
 
 
@@ -189,7 +204,7 @@ def taken_more() -> Column:
 
 def copies() -> Column:
     """Copies taken of a row (size, u, y), given the bounds of its source and class."""
-    one = lambda c: F.when(F.coalesce(F.col("u") == F.col(c), F.lit(False)), 1).otherwise(0)
+    one = lambda c: F.when(F.coalesce(F.array_contains(c, F.col("u")), F.lit(False)), 1).otherwise(0)
     return F.when(F.col("size") > 0, F.col("whole") + taken_more() + one("add") - one("drop")).otherwise(0)
 
 

@@ -141,12 +141,21 @@ r3 AS (SELECT *, goal - coalesce(sum(size) FILTER (WHERE a) OVER (PARTITION BY k
 r4 AS (SELECT *, y IS NOT NULL AND NOT a AND size <= room AS c FROM r3),
 r5 AS (SELECT *, c AND sum(size) OVER (PARTITION BY k, c ORDER BY y) <= room AS b FROM r4),
 r6 AS (SELECT *, room - coalesce(sum(size) FILTER (WHERE b) OVER (PARTITION BY k), 0) AS room2, whole + (a OR b)::BIGINT AS n FROM r5),
-more AS (SELECT k, size AS asize, room2, min(u) AS add_u FROM r6 WHERE size > 0 AND n < 3 GROUP BY ALL),
-less AS (SELECT k, size AS dsize, min(u) AS drop_u FROM r6 WHERE size > 0 AND n > 0 GROUP BY ALL UNION ALL SELECT DISTINCT k, 0, NULL::DOUBLE FROM r6),
-pick AS (SELECT k, add_u, drop_u FROM (SELECT *, abs(room2 + dsize - asize) AS miss FROM more JOIN less USING (k)) WHERE miss < room2
-         QUALIFY row_number() OVER (PARTITION BY k ORDER BY miss, dsize, asize) = 1)
+-- the last change: up to three of about 24 documents come, and up to three go
+ch AS (SELECT k, u, sum(size)::BIGINT AS size, max(n) AS n FROM (SELECT *, count(*) OVER (PARTITION BY k) AS held FROM r6 WHERE size > 0) WHERE u * held <= 24 GROUP BY k, u),
+mv AS (SELECT 0 AS go, * EXCLUDE (n) FROM ch WHERE n < 3 UNION ALL SELECT 1, * EXCLUDE (n) FROM ch WHERE n > 0),
+m1 AS (SELECT go, k, size AS s, [u] AS us FROM mv),
+m2 AS (SELECT m.go, m.k, s + size AS s, list_append(us, u) AS us FROM m1 m JOIN mv ON m.go = mv.go AND m.k = mv.k AND us[-1] < u),
+m3 AS (SELECT m.go, m.k, s + size AS s, list_append(us, u) AS us FROM m2 m JOIN mv ON m.go = mv.go AND m.k = mv.k AND us[-1] < u),
+sm AS (SELECT go, k, s, min(us) AS us FROM (FROM m1 UNION ALL FROM m2 UNION ALL FROM m3) GROUP BY ALL),
+sn AS (FROM sm UNION ALL SELECT go, k, 0, []::DOUBLE[] FROM (SELECT DISTINCT k FROM r6), (SELECT unnest([0, 1]) AS go)),
+rm AS (SELECT DISTINCT k, room2 FROM r6),
+ask AS (SELECT k, s AS d, us AS gone, room2, room2 + s AS goal FROM sn JOIN rm USING (k) WHERE go = 1),
+off AS (SELECT k, s::DOUBLE AS a, us AS come FROM sn WHERE go = 0),
+pr AS (SELECT ask.*, off.a, off.come FROM ask ASOF JOIN off ON ask.k = off.k AND ask.goal >= off.a UNION ALL SELECT ask.*, off.a, off.come FROM ask ASOF JOIN off ON ask.k = off.k AND ask.goal <= off.a),
+pick AS (SELECT k, come, gone FROM (SELECT *, abs(goal - a) AS miss FROM pr) WHERE miss < room2 QUALIFY row_number() OVER (PARTITION BY k ORDER BY miss, d, a) = 1)
 SELECT doc_id, size, ss AS source_size, target,
-       CASE WHEN size > 0 THEN size * (n + coalesce(u = add_u, false)::BIGINT - coalesce(u = drop_u, false)::BIGINT) ELSE 0 END AS taken
+       CASE WHEN size > 0 THEN size * (n + coalesce(list_contains(come, u), false)::BIGINT - coalesce(list_contains(gone, u), false)::BIGINT) ELSE 0 END AS taken
 FROM r6 LEFT JOIN pick USING (k)
 """
 
