@@ -327,6 +327,35 @@ def test_html_wrappers_and_own_links():
         assert html_text.extract(body, tree) == "Title here Some words stand here, enough of them to see. The report And an end."
 
 
+LEAD = "<h1>The bridge is open</h1><p>" + "The council opened the new bridge after four years of work. " * 5 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "page,kept,dropped",
+    [
+        (f"<article>{LEAD}<p>Read more in <a href=x>the report of the bridge board</a> and in <a href=y>the plan</a> of the city.</p></article>", ["Read more in the report"], []),
+        (f"<article>{LEAD}<p>Read more in <a href=x>the report of the bridge board</a> of the city.</p></article><footer>Copyright</footer>", ["Read more in the report"], ["Copyright"]),
+        (f"<article>{LEAD}<h2>Sources</h2><ul><li><a href=1>Report 1 of the bridge board</a></li><li><a href=2>Report 2 of the bridge board</a></li></ul></article>", ["Sources", "Report 1", "Report 2"], []),
+        (f"<article>{LEAD}<p>All rights reserved.</p></article>", ["All rights reserved."], []),
+        (
+            f"<div>Home News Sport Contact</div><div>We use cookies to improve your visit. Accept all cookies.</div><article>{LEAD}</article><div>Copyright 2024 by the paper. All rights reserved.</div>"
+            "<div>Anna: What a fine bridge it is, I crossed it today.</div><div>Tom: I do not like it at all. It is ugly and dear.</div>",
+            ["council"], ["Home", "cookies", "rights", "Anna", "Tom"],
+        ),
+        (
+            f"<div>Home News Sport Contact</div><div>We use cookies to improve your visit. Accept all cookies.</div><div>{LEAD}</div><div>{'Many people came to see it and crossed it on foot. ' * 4}</div>"
+            "<div>Copyright 2024 by the paper. All rights reserved.</div><h3>2 comments</h3><div>Anna: What a fine bridge it is, I crossed it today.</div>",
+            ["council", "Many people"], ["Home", "cookies", "rights", "Anna"],
+        ),
+        (f"<div>Home News Sport Contact</div><h1>Short story</h1><p>It was cold.</p><p>{'She walked along the river for an hour and thought about the letter. ' * 3}</p><p>He was gone.</p>", ["It was cold.", "He was gone."], ["Home"]),
+    ],
+)
+def test_html_without_names(page, kept, dropped):
+    """Trailing link paragraphs and link lists of the article stay; bare menus, notices and replies go."""
+    text = html_text.extract(page, html_text.train())
+    assert all(k in text for k in kept) and not any(d in text for d in dropped)
+
+
 def test_html_labels_are_learned():
     x, y = html_text.labelled_blocks()
     tree = html_text.train()

@@ -5,14 +5,16 @@ count, link density and sentence ends, the word count and link density of its ne
 its place on the page, and what its elements say: whether they are an article, a
 list item or a heading, or belong to an element for navigation, and whether the nearest element whose
 class, id, role or label holds a hint word (sidebar, comments, ad, ...) is a part of the page beside
-the article. An element that holds the article itself (an article or main element, or the
+the article. Further features are whether a block stands in an article element and whether the page
+has one, the share of its words that notices and menus use (cookie, copyright, reply, ...), and whether the
+heading above it is made of such words. An element that holds the article itself (an article or main element, or the
 first-rank heading where there is none of these) is a wrapper, whatever its names say: it is no hint
 against what it holds, and neither are words behind has, with, no or without. A decision tree, grown by Gini
 impurity on the labelled table below, keeps or drops each block. Script,
 style and similar raw elements never become text; character references are decoded;
 white space inside a block collapses to one space; kept blocks join by one space.
 
-Edge cases. Null and blank html give an empty text. Unclosed and stray tags are
+Edge cases. Null and blank html, and pages of which no block is kept, give an empty text. Unclosed and stray tags are
 tolerated: a closing tag closes up to its nearest open match or nothing. Cut-off
 tags and comments at the end end there. Pages may repeat; rows are independent. Columns of other names
 are not read. An empty table gives an empty result.
@@ -46,13 +48,21 @@ MAIN_HINTS = frozenset("article content post entry story body main text".split()
 #: Words that make the hint behind them a property of a wrapper, not a name.
 QUALIFIERS = frozenset("has have with no not without hide hidden show open close is".split())
 
+#: Words of notices, menus and reader sections, as they stand in texts.
+CUES = frozenset(
+    "cookie cookies consent accept copyright © reserved rights privacy policy terms imprint impressum datenschutz agb mentions légales subscribe subscription newsletter unsubscribe login logout register sign signup "
+    "advertisement advert anzeige publicité publicidad sponsored promo share tweet facebook twitter instagram whatsapp comment comments commented kommentar kommentare commentaires comentarios reply replies respond readers likes "
+    "menu home contact about sitemap faq kontakt startseite accueil inicio related recommended trending".split()
+)
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _HINT_WORDS = re.compile(r"[a-z]+")
+_CUE_WORDS = re.compile(r"[^\W\d_]+|©")
 _SPACE = re.compile(r"\s+")
 
-FEATURES = ("words", "link_density", "words_before", "words_after", "link_before", "link_after", "in_main", "outside", "hint_share", "main_hinted", "page_has_main", "heading", "list_item", "stops", "position")
+FEATURES = ("words", "link_density", "words_before", "words_after", "link_before", "link_after", "in_main", "outside", "hint_share", "main_hinted", "page_has_main", "heading", "list_item", "stops", "position", "in_article", "page_has_article", "cues", "under_cues")
 
 
 @dataclass
@@ -68,6 +78,8 @@ class Block:
     main_hinted: bool = False
     heading: bool = False
     item: bool = False
+    article: bool = False
+    cues: float = 0.0
 
 
 @dataclass
@@ -83,6 +95,7 @@ class Element:
     main_hinted: bool = False
     aside: bool = False
     mark: bool = False
+    article: bool = False
     words: int = 0
 
 
@@ -163,8 +176,10 @@ def blocks(html: str) -> list[Block]:
         if attrs and name not in ("html", "body"):
             against, favour = said(attrs)
             e.main_hinted |= favour
+        e.article = up.article
         if name in MAIN and not (against and name == "article"):
             e.main = e.mark = True
+            e.article |= name == "article"
         e.hinted = (against and name != "main") or bool(attrs and _HIDDEN.search(attrs))
         e.aside = name in OUTSIDE or (name == "header")
         stack.append(len(elements))
@@ -190,25 +205,42 @@ def placed(elements: list[Element], found: list[tuple[str, int, int, int]]) -> l
         beside = not e.mark  # an element that holds the article is a wrapper
         outside.append(e.aside and beside or outside[e.parent])
         share.append(min(share[e.parent], e.words / total if e.hinted and beside else 1.0))
-    return [Block(t, w, lw, elements[at].main, outside[at], share[at], elements[at].main_hinted, elements[at].heading, elements[at].item) for t, w, lw, at in found]
+    return [Block(t, w, lw, elements[at].main, outside[at], share[at], elements[at].main_hinted, elements[at].heading, elements[at].item, elements[at].article, cue_share(t)) for t, w, lw, at in found]
+
+
+def cue_share(text: str) -> float:
+    """The share of a text's words that notices and menus use."""
+    words = _CUE_WORDS.findall(text.lower())
+    return sum(w in CUES for w in words) / max(1, len(words))
+
+
+#: The cue words' share of a heading that speaks for what follows.
+UNDER = 0.3
 
 
 def features(page: list[Block]) -> np.ndarray:
-    """One row of ``FEATURES`` per block."""
+    """One row of ``FEATURES`` per block; the first and the last block are their own neighbours where none stands."""
     n = len(page)
-    x = np.zeros((n + 2, len(FEATURES)))
-    words = np.array([0, *(b.words for b in page), 0], float)
-    density = np.array([0, *(b.link_words / max(b.words, 1) for b in page), 0], float)
-    has_main = any(b.main for b in page)
+    x = np.zeros((n, len(FEATURES)))
+    words = np.array([b.words for b in page], float)
+    density = np.array([b.link_words / max(b.words, 1) for b in page], float)
+    words, density = np.pad(words, 1, mode="edge"), np.pad(density, 1, mode="edge")
+    has_main, has_article, under = any(b.main for b in page), any(b.article for b in page), False
     for i, b in enumerate(page, 1):
+        if b.heading:
+            under = b.cues >= UNDER
         stops = sum(b.text.count(c) for c in ".!?")
-        x[i] = (words[i], density[i], words[i - 1], words[i + 1], density[i - 1], density[i + 1], b.main, b.outside, b.hint_share, b.main_hinted, has_main, b.heading, b.item, min(stops, b.words) / max(b.words, 1), i / n)
-    return x[1:-1]
+        x[i - 1] = (
+            words[i], density[i], words[i - 1], words[i + 1], density[i - 1], density[i + 1], b.main, b.outside, b.hint_share, b.main_hinted, has_main, b.heading, b.item,
+            min(stops, b.words) / max(b.words, 1), i / n, b.article, has_article, b.cues, under,
+        )
+    return x
 
 
 #: The labelled table: invented pages, a line per block in page order, judged by hand; a blank line ends a page.
 #: Label (1: main text), words, link words, sentence ends, then letters for what holds: m in main, o outside, w main hint,
-#: t heading, l list item; a number at the end is the share of the page's words in the hinted element around the block.
+#: a in an article element (and so in main), t heading, l list item; then the share of the page's words in the hinted element around
+#: the block (1 if there is none), and at last the share of cue words.
 TABLE = """
 0 2 2 0 ol
 0 1 1 0 ol
@@ -420,6 +452,141 @@ TABLE = """
 1 30 1 2 m
 1 8 7 0 m
 0 4 4 0 o
+
+0 4 0 0 - 1 .5
+0 12 0 1 - 1 .25
+1 8 0 0 at
+1 90 4 6 a
+1 60 0 4 a
+1 25 9 1 a
+1 2 0 0 at
+1 5 5 0 al
+1 6 6 0 al
+1 7 7 0 al
+0 9 0 1 - 1 .3
+0 22 0 2 -
+0 15 0 2 -
+0 3 0 0 -
+
+1 7 0 0 at
+1 120 0 8 a
+1 12 0 1 a 1 .2
+1 3 0 1 a 1 .67
+1 30 11 2 a
+
+1 6 0 0 at
+1 44 0 3 a
+1 4 0 1 a 1 .5
+1 61 2 4 a 1 .12
+0 4 4 0 a 1 .75
+1 3 0 1 a 1 .67
+
+1 9 0 0 at
+1 40 0 3 a
+1 14 10 1 a
+0 3 3 0 ol
+
+1 2 0 0 mt
+1 4 1 1 m
+1 2 0 1 m
+1 7 2 1 m
+1 5 1 1 m
+
+1 1 0 0 mwt
+1 6 1 1 mw
+1 3 0 1 mw
+
+1 2 0 0 at
+1 13 0 1 a
+1 2 2 0 a
+1 3 0 1 a
+1 1 1 0 a
+1 5 0 1 a
+
+0 5 0 0 -
+0 20 0 2 -
+1 6 0 0 at
+0 3 3 0 a .01 .6
+1 85 2 6 a
+0 8 8 0 al .1
+1 70 0 5 a
+1 12 12 0 a
+0 30 0 3 -
+0 140 0 9 -
+0 40 0 3 -
+
+1 11 0 0 at
+1 66 0 4 a
+1 9 9 0 al
+1 8 8 0 al
+0 3 0 0 at 1 .6
+0 20 0 2 a
+0 35 0 3 a
+0 4 2 0 a
+
+0 4 0 0 -
+0 14 0 1 - 1 .2
+1 7 0 0 t
+1 80 0 5 -
+1 64 3 4 -
+1 3 0 1 -
+1 75 0 5 -
+0 8 0 1 - 1 .4
+0 6 0 0 - 1 .5
+
+0 5 0 0 - 1 .6
+1 9 0 0 t
+1 33 0 2 -
+1 28 12 2 -
+
+1 6 0 0 t
+1 90 0 6 -
+1 24 8 2 -
+0 10 0 1 - 1 .3
+0 7 7 0 -
+
+0 6 0 0 - 1 .33
+1 5 0 0 t
+1 45 0 3 -
+1 52 1 4 -
+0 2 0 0 t 1 .5
+0 18 0 2 -
+0 25 0 2 -
+0 5 0 1 -
+0 31 0 3 -
+
+0 16 0 1 - 1 .19
+1 8 0 0 mt
+1 58 0 4 m
+1 22 9 1 m
+0 7 0 0 mt 1 .4
+0 33 0 3 m
+0 12 0 1 m
+
+1 2 0 0 t
+1 3 0 1 -
+1 40 0 3 -
+1 3 0 1 -
+
+1 6 0 0 at
+1 70 0 5 a
+1 1 0 0 at
+1 6 6 0 al
+1 6 6 0 al
+
+1 5 0 0 t
+1 31 0 2 -
+1 2 0 1 -
+1 64 0 5 -
+1 4 0 1 -
+0 3 3 0 -
+
+1 10 0 0 wt
+1 73 0 5 w
+1 19 7 1 w
+0 2 0 0 wt 1 1
+0 28 0 2 w
+0 11 0 1 - 1 .36
 """
 
 
@@ -429,8 +596,9 @@ def labelled_blocks() -> tuple[np.ndarray, np.ndarray]:
     for page in TABLE.strip().split("\n\n"):
         rows = []
         for line in page.splitlines():
-            label, words, links, stops, what, *share = line.split()
-            rows.append(Block("." * int(stops), int(words), int(links), "m" in what, "o" in what, float(share[0]) if share else 1.0, "w" in what, "t" in what, "l" in what))
+            label, words, links, stops, what, *shares = line.split()
+            share, cues, *_ = [*map(float, shares), *(1.0, 0.0)[len(shares) :]]
+            rows.append(Block("." * int(stops), int(words), int(links), "m" in what or "a" in what, "o" in what, share, "w" in what, "t" in what, "l" in what, "a" in what, cues))
             y.append(int(label))
         x.append(features(rows))
     return np.concatenate(x), np.array(y)
@@ -450,7 +618,7 @@ class Split:
 
 
 #: Columns in the order in which they win on equal gain.
-ORDER = tuple(FEATURES.index(f) for f in ("link_density", "outside", "hint_share", "in_main", "words", "link_before", "link_after", "words_before", "words_after", "stops", "heading", "list_item", "main_hinted", "page_has_main"))
+ORDER = tuple(FEATURES.index(f) for f in ("link_density", "outside", "hint_share", "in_main", "words", "link_before", "link_after", "words_before", "words_after", "stops", "heading", "list_item", "main_hinted", "page_has_main", "cues", "under_cues", "in_article", "page_has_article"))
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 2) -> Leaf | Split:
