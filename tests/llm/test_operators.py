@@ -70,7 +70,12 @@ def test_directory_doubles_and_covers(spark):
     assert ends[0][0] == 0 and ends[-1][1] == 1 << 64 and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
     held = [r["key"] % (1 << 64) for r in keys.collect()]
     assert max(sum(a <= k < b for k in held) for a, b in ends) <= 40 and d.depth == max(b for _, b in d.buckets)
-    assert len(d.cells()) == 1 << exact_dedup.LEVEL
+    assert d.cells().count() == 1 << exact_dedup.LEVEL
+    pages = {r.cell: r.buckets for r in d.cells().collect()}
+    for key in held[:300]:
+        inside = [b for b in pages[key >> 52] if b <= (key ^ 1 << 63) - (1 << 64 if key ^ 1 << 63 >= 1 << 63 else 0)]
+        a, b = next((a, b) for a, b in ends if a <= key < b)
+        assert inside[-1] + (1 << 63) == a
     # keys that share 40 bits are told apart by deeper ones; a single hot key stays whole
     near = [((5 << 24) | i, 1) for i in range(100)] + [(-7, 1000)]
     deep = exact_dedup.build_directory(spark.createDataFrame(near, "key long, n long"), 10)

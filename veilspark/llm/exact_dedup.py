@@ -8,13 +8,14 @@ contiguous key ranges. Then every row is routed through the directory to the tas
 owns its bucket. The owner sorts its rows by (key, text), so that texts whose keys collide
 form a chain, tells the chain's members apart by their bytes, and names for each the
 smallest id and the number of rows. What it finds is the index: one narrow row
-per document, written to the shared folder by key range.
+per document, written to the shared folder; a bucket's rows lie in one file.
 
 A key that alone exceeds the capacity cannot be split by more bits: it is an overflow chain. Its
 rows are dealt to several owners; each compares its share, and one row per
 owner and text, with its bytes, is compared again, so no task ever reads a whole hot group.
-The capacity is a constant or a fixed share of all rows, whichever is more, so the directory and
-the list of overflow chains have a fixed bound (``BUCKETS``) at every size.
+The directory is a table: it is grown, kept and looked up without passing the driver. A bucket holds ``CAPACITY`` rows
+until there are a million full ones (``BUCKETS``, some 270 million documents); from then on it holds
+a millionth of the rows, so that the directory and the list of overflow chains stay small enough to send to every task.
 
 Edge cases. Null text counts as empty; all empty texts form one group. Null
 doc_ids sort last: they stay only if every copy has a null doc_id. Repeated
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .shared import WHITE, small_or_plain, stage, text_or_empty
 
 #: Rows a bucket may hold before it splits, unless that made more than ``BUCKETS`` full ones.
-CAPACITY, BUCKETS = 256, 1024
+CAPACITY, BUCKETS = 256, 1 << 20
 #: Bits of the key that are counted at a time while the directory grows.
 LEVEL = 12
 _FLIP = -(1 << 63)  # makes unsigned order of keys the order of longs
@@ -40,47 +41,29 @@ _FLIP = -(1 << 63)  # makes unsigned order of keys the order of longs
 
 @dataclass(frozen=True)
 class Directory:
-    """(prefix, local depth) of every bucket, in key order; ``depth`` is the global depth, ``chains`` the number of overflow chains."""
+    """``table`` (least, depth): the least key and the local depth of every bucket; ``chains`` is the number of overflow chains."""
 
-    depth: int
-    buckets: tuple[tuple[int, int], ...]
+    table: DataFrame
     capacity: int
     chains: int = 0
 
-    def cells(self) -> list[tuple[int, list[tuple[int, int]]]]:
-        """(leading ``LEVEL`` bits, the buckets there as (least key, number)): the directory's pages."""
-        out: list[tuple[int, list[tuple[int, int]]]] = []
-        for number, (prefix, depth) in enumerate(self.buckets):
-            least = (prefix << (64 - depth)) + _FLIP
-            if depth > LEVEL and out and out[-1][0] == prefix >> (depth - LEVEL):
-                out[-1][1].append((least, number))
-            elif depth > LEVEL:
-                out.append((prefix >> (depth - LEVEL), [(least, number)]))
-            else:
-                first = prefix << (LEVEL - depth)
-                out += [(c, [(least, number)]) for c in range(first, first + (1 << (LEVEL - depth)))]
-        return out
-
-
-def split_page(loads: dict[int, int], prefix: int, depth: int, more: int, capacity: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(buckets that fit, cells that need more bits) below one directory page.
-
-    ``loads``: rows per cell of ``more`` bits behind ``prefix``, which has ``depth`` bits.
-    """
-    sums = [0]
-    for c in range(1 << more):
-        sums.append(sums[-1] + loads.get(c, 0))
-    fits, over, todo = [], [], [(0, 0)]
-    while todo:
-        p, d = todo.pop()
-        first, end = p << (more - d), (p + 1) << (more - d)
-        if sums[end] - sums[first] <= capacity:
-            fits.append((prefix << d | p, depth + d))
-        elif d == more:
-            over.append((prefix << d | p, depth + d))
-        else:
-            todo += [(2 * p, d + 1), (2 * p + 1, d + 1)]
-    return fits, over
+    @property
+    def buckets(self) -> tuple[tuple[int, int], ...]:
+        """(prefix, local depth) of every bucket, in key order, on the driver: for a look at small directories."""
+        found = sorted((r["least"] - _FLIP, r["depth"]) for r in self.table.collect())
+        return tuple((least >> (64 - depth), depth) for least, depth in found)
+
+    @property
+    def depth(self) -> int:
+        """The global depth."""
+        return self.table.agg(F.max("depth")).first()[0]
+
+    def cells(self) -> DataFrame:
+        """(cell, buckets): the directory's pages, for every value of the leading ``LEVEL`` bits the buckets there by least key."""
+        first = F.shiftrightunsigned(F.col("least").bitwiseXOR(_FLIP), 64 - LEVEL)
+        span = F.when(F.col("depth") >= LEVEL, 1).otherwise(F.expr(f"shiftleft(1L, cast({LEVEL} - least({LEVEL}, depth) AS int))"))
+        rows = self.table.select("least", F.explode(F.sequence(first, first + span - 1)).alias("cell"))
+        return rows.groupBy("cell").agg(F.sort_array(F.collect_list("least")).alias("buckets"))
 
 
 def _prefix(bits: int) -> Column:
@@ -90,35 +73,38 @@ def _prefix(bits: int) -> Column:
 def build_directory(keys: DataFrame, capacity: int = CAPACITY) -> Directory:
     """Grow the directory over counted ``keys`` (key, n).
 
-    Level by level only the keys of overfull cells are counted again, by cell; a cell of 64 bits is
-    one key and stays whole, however many rows it has.
+    Level by level the keys of overfull cells alone are counted, by the next ``LEVEL`` bits; inside a cell a bucket
+    ends at the first bit after which it is not overfull. A cell of 64 bits is one key and stays whole, however many rows it has.
     """
-    rows = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    spark = keys.sparkSession
+    rows, most = keys.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     capacity = max(capacity, -(-rows // BUCKETS))
-    chains = keys.filter(F.col("n") > capacity).count()
-    buckets, over, depth = [], [(0, 0)], 0
-    while over:
-        if depth == 64:
-            buckets += over
-            break
+    chains = keys.filter(F.col("n") > capacity).count() if most > capacity else 0
+    pages, depth, found = spark.createDataFrame([(0,)], "page long"), 0, None
+    while True:
         more = min(LEVEL, 64 - depth)
-        if depth:
-            spark = keys.sparkSession
-            wanted = spark.createDataFrame([(p if p < 1 << 63 else p - (1 << 64),) for p, _ in over], "page long")
-            keys = keys.join(F.broadcast(wanted), _prefix(depth) == F.col("page"), "left_semi")  # at most BUCKETS pages
         at = _prefix(depth) if depth else F.lit(0).cast("long")
         cell = _prefix(depth + more).bitwiseAND((1 << more) - 1)
-        pages: dict[int, dict[int, int]] = {}
-        for r in keys.groupBy(at.alias("page"), cell.alias("cell")).agg(F.sum("n").alias("n")).collect():
-            pages.setdefault(r["page"] % (1 << 64), {})[r["cell"]] = r["n"]
-        deeper = []
-        for prefix, d in over:
-            fits, more_over = split_page(pages.get(prefix, {}), prefix, d, more, capacity)
-            buckets += fits
-            deeper += more_over
-        over, depth = deeper, depth + more
-    buckets.sort(key=lambda b: b[0] << (64 - b[1]))
-    return Directory(max(d for _, d in buckets), tuple(buckets), capacity, chains)
+        counted = keys.groupBy(at.alias("page"), cell.alias("cell")).agg(F.sum("n").alias("n"))
+        grid = pages.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((1 << more) - 1).cast("long"))))
+        loads = grid.join(counted, ["page", "cell"], "left").withColumn("n", F.coalesce("n", F.lit(0))).repartition("page")
+        local = F.lit(None).cast("int")
+        for d in range(more, -1, -1):  # the first bit that is enough wins
+            head = F.shiftright("cell", more - d)
+            loads = loads.withColumn(f"n{d}", F.sum("n").over(Window.partitionBy("page", head)))
+            local = F.when(F.col(f"n{d}") <= capacity, d).otherwise(local)
+        last = depth + more == 64
+        split = stage(loads.select("page", "cell", (F.coalesce(local, F.lit(more)) if last else local).alias("d")), "exact-directory")
+        done = split.filter("d IS NOT NULL").select("page", F.expr(f"shiftright(cell, {more} - d)").alias("head"), "d").distinct()
+        left = F.expr(f"shiftleft(page, {more}) | shiftleft(head, {more} - d)")  # the bucket's bits, filled up with zeros
+        buckets = done.select(F.shiftleft(left, 64 - depth - more).bitwiseXOR(_FLIP).alias("least"), (F.col("d") + depth).cast("int").alias("depth"))
+        found = buckets if found is None else found.unionByName(buckets)
+        over = split.filter("d IS NULL").select(F.expr(f"shiftleft(page, {more}) | cell").alias("page"))
+        if last or not over.limit(1).count():
+            return Directory(stage(found, "exact-buckets"), capacity, chains)
+        depth += more
+        pages = over
+        keys = keys.join(small_or_plain(over), _prefix(depth) == F.col("page"), "left_semi")
 
 
 def text_key(norm: Column, bits: int = 64) -> Column:
@@ -129,18 +115,17 @@ def text_key(norm: Column, bits: int = 64) -> Column:
 
 def _routed(docs: DataFrame, id_col: str, text_col: str, carried: list[Column], capacity: int, key_bits: int) -> tuple[DataFrame, Directory]:
     """(rows at their owners, directory): id, norm, key, bucket, part, parts and ``carried``."""
-    spark = docs.sparkSession
     norm = F.regexp_replace(text_or_empty(text_col), WHITE, " ")
     keys = docs.select(norm.alias("norm")).select(text_key(F.col("norm"), key_bits).alias("key"))
     keys = stage(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "exact-keys")
     directory = build_directory(keys, capacity)
-    pages = spark.createDataFrame(directory.cells(), "cell long, buckets array<struct<least: long, number: int>>")
+    pages = directory.cells()
     chains = keys.filter(F.col("n") > directory.capacity).select("key", F.ceil(F.col("n") / directory.capacity).cast("int").alias("parts"))
     rows = docs.select(F.col(id_col).alias("id"), norm.alias("norm"), *carried).withColumn("key", text_key(F.col("norm"), key_bits))
-    rows = rows.withColumn("cell", _prefix(LEVEL)).join(F.broadcast(pages), "cell")  # 2**LEVEL rows
+    rows = rows.withColumn("cell", _prefix(LEVEL)).join(F.broadcast(pages), "cell")  # 2**LEVEL rows, about 2 * BUCKETS longs
     rows = rows.join(F.broadcast(chains), "key", "left")  # fewer than BUCKETS rows
-    here = F.filter("buckets", lambda b: b["least"] <= F.col("key").bitwiseXOR(_FLIP))
-    rows = rows.withColumn("bucket", F.element_at(here, -1)["number"]).drop("cell", "buckets")
+    here = F.filter("buckets", lambda least: least <= F.col("key").bitwiseXOR(_FLIP))
+    rows = rows.withColumn("bucket", F.element_at(here, -1)).drop("cell", "buckets")
     part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     rows = rows.withColumn("part", part).withColumn("parts", F.coalesce("parts", F.lit(1)))
     return rows.repartition("bucket", "part"), directory
