@@ -552,11 +552,17 @@ def test_crf_forward_backward_is_exact():
     assert np.allclose(pairs, expected)
 
 
-def test_toxic_spans():
+def test_toxic_spans(spark):
     texts = {1: [f"this is word{i} and you idiot{'s' * (i % 2)} there. fine day" for i in range(60)], 0: [f"this is word{i} and you friend there. fine day" for i in range(200)]}
     model = toxicity.fit_texts(texts, {0: 200, 1: 60})
     text = "a friend said: you idiot there"
     assert [text[a:b] for a, b, _ in toxicity.spans(text, model)] == ["idiot"] and toxicity.spans("", model) == []
+    long = "déjà 𝄞 vu. " + "a quiet day by the river. " * 200 + text
+    table = docs(spark, [(1, text, "a"), (1, None, "a"), (None, "", "a"), (2, long, "a"), (3, "a quiet day.", None)])
+    got = sorted((r.id or 0, [(x.start, x.end) for x in r.spans]) for r in toxicity.toxic_spans(table, model).collect())
+    at = [(a, b) for a, b, _ in toxicity.spans(text, model)]
+    assert got == [(0, []), (1, []), (1, at), (2, [(a + len(long) - len(text), b + len(long) - len(text)) for a, b in at]), (3, [])]
+    assert toxicity.toxic_spans(table.limit(0), model).count() == 0 and toxicity.toxic_spans(table, toxicity.Model()).filter("size(spans) > 0").isEmpty()
 
 
 def test_ann(spark):

@@ -1,23 +1,22 @@
-"""Exact removal of repeated substrings: sampled suffixes, external sorting, induced positions.
+"""Exact removal of repeated substrings by elected anchors and an external sort of their hashes.
 
 Every byte covered by a ``LENGTH``-byte string that also starts earlier in the corpus is
-removed. Sorting all suffixes of the corpus by external induced sorting in Python
-workers is out of reach of the time limits (README has figures), so this operator
-keeps the method's frame and sorts a sample from which all other positions are induced:
+removed. This is not induced suffix sorting: no suffix is sorted, there are no priority queues and no common-prefix
+values. Sorting all suffixes of the corpus in Python workers is out of reach of the time limits (README has figures). Instead:
 
-1. Sample. Each ``LENGTH``-byte window elects one anchor, the leftmost position of
+1. Anchors. Each ``LENGTH``-byte window elects one anchor, the leftmost position of
    least hash among its ``GRAM``-byte strings. Equal windows elect the same offset, so equal
    windows always meet at equal anchors. About one position in 43 is an anchor. An anchor
    stands for the run of windows that elected it and carries a key (its string's hash)
    and a name (the hash of the whole run's bytes).
-2. External sort. Anchors are sorted by (key, name, document, start) with Spark's
+2. Sort. Anchors are sorted by (key, name, document, start) with Spark's
    disk-backed sort. Every anchor but the first of its name repeats as a whole.
-3. Common prefixes. Only first anchors whose key has several names are undecided; their
+3. Comparison. Only first anchors whose key has several names are undecided; their
    runs' bytes are fetched, and within a key each window is compared with
-   the windows before it, which is where common prefixes and suffixes of runs show. A
+   the windows before it. A
    key with more than ``HOT`` names (a short line that stands in very many documents, with
    other words around it each time) is split: its windows are dealt by their own hashes.
-4. Induction. Repeated runs and windows become byte intervals of their documents.
+4. Intervals. Repeated runs and windows become byte intervals of their documents.
 
 Map tasks settle repeats within their own batches before anything is shuffled, so a passage
 in a third of all documents costs one row per batch. Within one key, runs and windows are compared

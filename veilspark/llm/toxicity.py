@@ -402,14 +402,14 @@ def parts(texts: list[str], chars: int = 2 << 20) -> Iterator[list[str]]:
         yield texts[begin:]
 
 
-def spans(text: str, model: Model, least: float = 0.5) -> list[tuple[int, int, float]]:
-    """(start, end, highest marginal) of runs of tokens at least ``least`` likely toxic."""
+def spans(text: str, model: Model, least: float = 0.5, scorer: Scorer | None = None) -> list[tuple[int, int, float]]:
+    """(start, end, highest marginal) of runs of tokens at least ``least`` likely toxic, in code points."""
     found = [(t.start(), t.end(), t.group()) for t in _TOKEN.finditer(text)]
     words = [f for f in found if f[2] not in _ENDS]
     rows = sentences(text)
     if not rows or not model.crfs:
         return []
-    m = np.mean([m for m, _ in Scorer(model.crfs).marginals(rows)], axis=0)
+    m = np.mean([m for m, _ in (scorer or Scorer(model.crfs)).marginals(rows)], axis=0)
     out: list[tuple[int, int, float]] = []
     breaks = set(np.cumsum([len(r) for r in rows]).tolist())
     open_ = False
@@ -427,6 +427,27 @@ def spans(text: str, model: Model, least: float = 0.5) -> list[tuple[int, int, f
     return out
 
 
+def toxic_spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """One row per document: id and its offending offsets, as spans array<struct<start, end, score>> in text order; empty if none.
+
+    ``start`` and ``end`` count code points of the whole text, ``score`` is the highest marginal inside. One pass, no shuffle; null
+    and empty texts have no spans.
+    """
+    shipped = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # weights of a bounded sample's features
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    struct = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = pickle.loads(shipped.value)
+        scorer = Scorer(m.crfs)
+        for b in batches:
+            found = [[{"start": x, "end": y, "score": p} for x, y, p in spans(t, m, least, scorer)] for t in b.column(1).to_pylist()]
+            yield pa.record_batch([b.column(0), pa.array(found, struct)], names=["id", "spans"])
+
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, spans array<struct<start:long,end:long,score:double>>")
+
+
 def report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, held_out, score, predicted."""
     scored = score(docs, fit(docs, labels, id_col, text_col), id_col, text_col)
