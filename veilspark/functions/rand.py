@@ -16,6 +16,8 @@ from __future__ import annotations
 import hashlib
 import math
 import secrets
+from bisect import bisect_right
+from collections.abc import Iterable
 from dataclasses import dataclass
 from decimal import Decimal, localcontext
 from functools import lru_cache
@@ -68,7 +70,9 @@ def _longs(values: tuple[int, ...]) -> Column:
 
 @dataclass(frozen=True)
 class Noise:
-    key: str
+    """``key`` may be a column: rows then have the noise of their own release."""
+
+    key: str | Column
     private: bool = False
 
     @staticmethod
@@ -87,8 +91,10 @@ class Noise:
         digest = F.sha2(joined, 256) if self.private else F.md5(joined)
         return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
-    def laplace(self, scale: float, *parts: Column | str | int) -> Column:
+    def laplace(self, scale: float | Column, *parts: Column | str | int) -> Column:
         """Laplace with mean 0; zero for scales that are not positive and finite."""
+        if isinstance(scale, Column):
+            return F.when(scale > 0, scale * self.laplace(1.0, *parts)).otherwise(F.lit(0.0))
         if not scale > 0 or math.isinf(scale) or math.isnan(scale):
             return F.lit(0.0)
         u = self.uniform(*parts) - 0.5
@@ -106,6 +112,26 @@ class Noise:
         digest = (hashlib.sha256 if self.private else hashlib.md5)(joined).hexdigest()
         return (int(digest[:13], 16) + 0.5) / float(1 << 52)
 
+    def integers(self, parts: Iterable[tuple]) -> list[int]:
+        """``integer`` of constants, inside a task."""
+        digest = hashlib.sha256 if self.private else hashlib.md5
+        return [int(digest("|".join([self.key, *map(str, p)]).encode()).hexdigest()[:DIGITS], 16) for p in parts]
+
+    def discrete_normals(self, sigma: float, parts: tuple, places: Iterable[int]) -> list[int]:
+        """``discrete_normal`` of (``parts``, place) for each place, inside a task."""
+        places = list(places)
+        if not sigma > 0:
+            return [0] * len(places)
+        times = math.ceil((sigma / WIDEST) ** 2)
+        table = normal_table(sigma / math.sqrt(times))
+        drawn = [bisect_right(table, u) - len(table) // 2 for u in self.integers((*parts, at, i) for at in places for i in range(times))]
+        return [sum(drawn[i : i + times]) for i in range(0, len(drawn), times)]
+
+    def laplace_number(self, scale: float, *parts: str | int) -> float:
+        """``laplace`` of constants, on the driver."""
+        u = self.number(*parts) - 0.5
+        return -scale * math.copysign(1.0, u) * math.log(1.0 - 2.0 * abs(u))
+
     def discrete_laplace(self, epsilon: float, *parts: Column | str | int) -> Column:
         """An integer k with a chance proportional to exp(-epsilon |k|); zero for an infinite epsilon."""
         if not epsilon > 0:
@@ -147,6 +173,6 @@ def infinite(epsilon: float | None) -> bool:
     return epsilon is None or math.isinf(epsilon) or epsilon > 1e20
 
 
-def order_key(seed: int | str, *parts: Column | str | int) -> Column:
+def order_key(seed: int | str | Column, *parts: Column | str | int) -> Column:
     """A hash to order rows by in place of a random number; break ties by the rows' key."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[_text(p) for p in parts]).cast("binary"))
+    return F.md5(F.concat_ws("|", _text(seed), *[_text(p) for p in parts]).cast("binary"))

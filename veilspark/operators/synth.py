@@ -27,7 +27,7 @@ from ..functions.exprs import col, decode, midpoint, target_code
 from ..functions.rand import Noise, infinite
 from ..sources.schema import PublicSchema, SchemaError
 from .generator import GeneratorConfig, Mixture
-from .marginals import all_pairs, encode_rows, independence_difference, marginal_tables, sizes, target_star
+from .marginals import all_pairs, encode_rows, marginal_tables, sizes, target_star
 
 
 def zcdp(epsilon: float, delta: float) -> float:
@@ -210,33 +210,28 @@ class EmptyTables(ArithmeticError):
     """No noisy cell is positive: there is nothing to synthesise from."""
 
 
-#: A cluster's tables inside a task: (set number, cell) -> exact and noisy counts, by set.
-Tables = Mapping[int, tuple[np.ndarray, np.ndarray]]
+#: A cluster's exact tables inside a task: counts by set number, cell by cell.
+Tables = Mapping[int, np.ndarray]
 
 
 class Method(Protocol):
-    """A synthesis strategy over counted tables. ``measured`` runs on the driver and adds noise; the rest runs inside tasks."""
+    """A synthesis strategy over counted tables. ``fit`` and ``draw`` run inside tasks; ``fit`` adds all noise."""
+
+    attributes: Mapping[str, int]
 
     def sets(self) -> list[tuple[str, ...]]:
         """The attribute sets to count."""
 
-    def measured(self, cells: DataFrame, noise: Noise) -> DataFrame:
-        """``cells`` (cluster_id, set_id, at, n) with noisy counts m."""
-
     def fit(self, tables: Tables, cluster_id: int, noise: Noise):
-        """A model of the noisy tables, or None if they are empty."""
+        """A model made of noisy tables, or None if they are empty."""
 
     def draw(self, model, n: int, rng: np.random.Generator) -> np.ndarray:
         """``n`` coded rows."""
 
 
-def noisy_sets(cells: DataFrame, sigmas: Mapping[int, float], noise: Noise) -> DataFrame:
-    """``cells`` with m = n + discrete normal noise of its set's sigma; sets without a sigma are left out."""
-    z = None
-    for sigma in sorted(set(sigmas.values())):
-        of = F.col("set_id").isin([i for i, s in sigmas.items() if s == sigma])
-        z = (F.when if z is None else z.when)(of, noise.discrete_normal(sigma, "cell", F.col("cluster_id"), F.col("set_id"), F.col("at")))
-    return cells.filter(F.col("set_id").isin(sorted(sigmas))).withColumn("m", F.col("n") + z)
+def noisy_table(n: np.ndarray, sigma: float, noise: Noise, cluster_id: int, set_id: int) -> np.ndarray:
+    """Integer counts with discrete normal noise, a function of key, cluster, set and cell."""
+    return n + np.array(noise.discrete_normals(sigma, ("cell", cluster_id, set_id), range(len(n))), np.int64)
 
 
 @dataclass
@@ -259,34 +254,34 @@ class MarginalMethod:
         features = [a for a in self.attributes if a != "target"]
         return target_star(features) if self.target_only else all_pairs([*features, "target"])
 
-    def measured(self, cells: DataFrame, noise: Noise) -> DataFrame:
+    def noisy(self, tables: Tables, cluster_id: int, noise: Noise) -> tuple[dict[tuple[str, ...], np.ndarray], dict[tuple[str, ...], float]]:
+        """(noisy tables of the chosen views, their sigmas)."""
         sets = self.sets()
         size = {s: math.prod(self.attributes[a] for a in s) for s in sets}
         rho = math.inf if infinite(self.epsilon) else zcdp(self.epsilon, self.delta)
         views: Sequence[tuple[str, ...]] = sets
         if not self.target_only:
             star = [s for s in sets if "target" in s]
-            views = choose_views(self._scores(cells, 0.1 * rho, noise), size, star, 0.9 * rho, self.view_rounds)
+            views = choose_views(self._scores(tables, 0.1 * rho, cluster_id, noise), size, star, 0.9 * rho, self.view_rounds)
             rho = 0.9 * rho
         sigma = view_sigmas(size, views, rho)
-        return noisy_sets(cells, {i: sigma[s] for i, s in enumerate(sets) if s in sigma}, noise).withColumn("sigma", element({i: sigma[s] for i, s in enumerate(sets) if s in sigma}))
+        shape = lambda s: [self.attributes[a] for a in s]
+        return {s: noisy_table(tables[i], sigma[s], noise, cluster_id, i).reshape(shape(s)) for i, s in enumerate(sets) if s in sigma}, sigma
 
-    def _scores(self, cells: DataFrame, rho: float, noise: Noise) -> dict[tuple[str, str], float]:
+    def _scores(self, tables: Tables, rho: float, cluster_id: int, noise: Noise) -> dict[tuple[str, str], float]:
         """Dependency scores of all pairs: one row moves a score by 4 at most, and one more for rounding it to an integer."""
-        sets = self.sets()
-        pair = cells.select(F.col("set_id").cast("string").alias("attr_a"), F.lit("").alias("attr_b"), F.col("codes")[0].alias("code_a"), F.col("codes")[1].alias("code_b"), "n")
-        scores = independence_difference(pair).select(F.col("attr_a").cast("int").alias("set_id"), F.round("indif").cast("long").alias("score"))
-        z = noise.discrete_normal(0.0 if math.isinf(rho) else gauss_sigma(rho / len(sets), 5.0), "score", F.col("set_id"))
-        return {sets[r.set_id]: float(r.noisy) for r in scores.select("set_id", (F.col("score") + z).alias("noisy")).collect()}
+        sets, found = self.sets(), {}
+        z = noise.discrete_normals(0.0 if math.isinf(rho) else gauss_sigma(rho / len(sets), 5.0), ("score", cluster_id), range(len(sets)))
+        for i, s in enumerate(sets):
+            t = tables[i].reshape([self.attributes[a] for a in s]).astype(float)
+            found[s] = float(round(np.abs(np.outer(t.sum(axis=1), t.sum(axis=0)) / max(t.sum(), 1.0) - t).sum()) + z[i])
+        return found
 
     def fit(self, tables: Tables, cluster_id: int, noise: Noise):
-        sets = self.sets()
-        if not any((m > 0).any() for _, m in tables.values()):
+        found, sigma = self.noisy(tables, cluster_id, noise)
+        if not any((m > 0).any() for m in found.values()):
             return None
-        found = {sets[i]: m.astype(float).reshape([self.attributes[a] for a in sets[i]]) for i, (_, m) in tables.items()}
-        size = {s: t.size for s, t in found.items()}
-        rho = math.inf if infinite(self.epsilon) else (1.0 if self.target_only else 0.9) * zcdp(self.epsilon, self.delta)
-        return consistent(found, self.consistency_rounds, view_sigmas(size, list(found), rho))
+        return consistent({s: m.astype(float) for s, m in found.items()}, self.consistency_rounds, sigma)
 
     def draw(self, model, n: int, rng: np.random.Generator) -> np.ndarray:
         return gradual_update(model, self.attributes, n, self.update_rounds, int(rng.integers(1 << 62)))
@@ -325,26 +320,21 @@ class GeneratorMethod:
     def rounds(self) -> int:
         return max(1, min(self.config.rounds, len(self.sets()) - 1))
 
-    def measured(self, cells: DataFrame, noise: Noise) -> DataFrame:
-        """All tables with the noise that a measurement of each would have; ``fit`` reads those it chooses and pays for."""
-        count, _, table = self.scales()
-        last = len(self.sets()) - 1
-        return noisy_sets(cells, {i: table for i in range(last)} | {last: count}, noise)
-
     def fit(self, tables: Tables, cluster_id: int, noise: Noise):
         sets, c = self.sets(), self.config
-        n = float(tables[len(sets) - 1][1][0])
+        count, choice, table = self.scales()
+        last = len(sets) - 1
+        n = float(noisy_table(tables[last], count, noise, cluster_id, last)[0])
         if n < 1:
             return None
-        _, choice, _ = self.scales()
         shape = [[self.attributes[a] for a in s] for s in sets]
         model, measured = Mixture(self.attributes, c, self.seed + cluster_id), {}
         for r in range(self.rounds()):
-            left = [i for i in range(len(sets) - 1) if sets[i] not in measured]
-            score = [np.abs(n * model.answer(sets[i]).ravel() - tables[i][0]).sum() for i in left]
+            left = [i for i in range(last) if sets[i] not in measured]
+            score = [np.abs(n * model.answer(sets[i]).ravel() - tables[i]).sum() for i in left]
             gumbel = [-choice * math.log(-math.log(noise.number("choice", cluster_id, r, i))) for i in left]
             pick = left[int(np.argmax(np.add(score, gumbel)))]
-            measured[sets[pick]] = simplex(tables[pick][1].astype(float).reshape(shape[pick]), n) / n
+            measured[sets[pick]] = simplex(noisy_table(tables[pick], table, noise, cluster_id, pick).astype(float).reshape(shape[pick]), n) / n
             model.fit(measured, r, self.rounds())
         return model.state()
 
@@ -352,59 +342,84 @@ class GeneratorMethod:
         return Mixture.restored(self.attributes, self.config, model).sample(n, rng)
 
 
-def element(values: Mapping[int, float]):
-    """The value of ``set_id`` among ``values``."""
-    out = None
-    for v in sorted(set(values.values())):
-        out = (F.when if out is None else out.when)(F.col("set_id").isin([i for i, x in values.items() if x == v]), F.lit(float(v)))
-    return out
+#: Synthetic rows that one task draws at a time; a pool is made of as many blocks as it needs. Models are sent to all tasks up to so many bytes.
+BLOCK_ROWS, SENT_BYTES = 20_000, 64 << 20
 
 
-#: Synthetic rows that one task draws at a time; a pool is made of as many blocks as it needs.
-BLOCK_ROWS = 20_000
+@dataclass(frozen=True)
+class Release:
+    """One pool or one pool per cluster: what is made of which rows with which noise. ``number`` tells releases of one sweep apart."""
 
+    number: int
+    method: Method
+    k: int
+    noise: Noise
 
-def cluster_models(coded: DataFrame, method: Method, k: int, noise: Noise) -> list[bytes | None]:
-    """The model of each cluster 0 to k - 1 of ``coded`` (cluster_id, codes), None where its noisy tables are empty.
 
-    One scan of ``coded`` for all clusters, whatever k; the tables are of public size, and one task fits one cluster.
+def release_models(cells: DataFrame, releases: Sequence[Release]) -> dict[tuple[int, int], bytes | None]:
+    """(release, cluster) -> model, None where its noisy tables are empty.
+
+    ``cells`` (release, cluster_id, set_id, at, n) hold the dense tables of every cluster of every release. One task fits one cluster.
     """
-    spark = coded.sparkSession
-    groups = spark.range(k).select(F.col("id").cast("int").alias("cluster_id"))
-    cells = marginal_tables(coded.withColumn("cluster_id", F.col("cluster_id").cast("int")), method.sets(), method.attributes, ["cluster_id"], groups).drop("attrs").persist()
+    made = {r.number: (r.method, r.noise) for r in releases}
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        tables = {int(i): (g["n"].to_numpy(), g["m"].to_numpy()) for i, g in pdf.sort_values(["set_id", "at"]).groupby("set_id")}
-        model = method.fit(tables, int(key[0]), noise)
-        return pd.DataFrame({"cluster_id": [key[0]], "model": [None if model is None else pickle.dumps(model)]})
+        method, noise = made[int(key[0])]
+        tables = {int(i): g["n"].to_numpy() for i, g in pdf.sort_values(["set_id", "at"]).groupby("set_id")}
+        model = method.fit(tables, int(key[1]), noise)
+        return pd.DataFrame({"release": [key[0]], "cluster_id": [key[1]], "model": [None if model is None else pickle.dumps(model)]})
 
-    try:
-        noisy = method.measured(cells, noise).select("cluster_id", "set_id", "at", "n", "m")
-        found = {r["cluster_id"]: r["model"] for r in noisy.groupBy("cluster_id").applyInPandas(fit, "cluster_id int, model binary").collect()}
-    finally:
-        cells.unpersist()
-    return [None if found.get(c) is None else bytes(found[c]) for c in range(k)]
+    rows = cells.select("release", "cluster_id", "set_id", "at", "n").groupBy("release", "cluster_id")
+    found = {(r["release"], r["cluster_id"]): r["model"] for r in rows.applyInPandas(fit, "release int, cluster_id int, model binary").collect()}
+    return {(r.number, c): None if found[r.number, c] is None else bytes(found[r.number, c]) for r in releases for c in range(r.k)}
 
 
-def draw_pools(spark: SparkSession, models: Sequence[bytes | None], method: Method, rows_each: int, noise: Noise) -> DataFrame:
-    """(cluster_id, synth_id, codes): ``rows_each`` rows of every model there is, block by block."""
-    names = list(method.attributes)
-    blocks = max(1, -(-rows_each // BLOCK_ROWS))
-    size = -(-rows_each // blocks)
-    known = spark.createDataFrame([(c, m) for c, m in enumerate(models) if m is not None], "cluster_id int, model binary")
-    dealt = spark.range(0, blocks, 1, min(blocks, 4096)).join(F.broadcast(known))  # a model a cluster, of public size
-    kind = "cluster_id int, synth_id long, " + ", ".join(f"`{c}` int" for c in names)
+def cluster_cells(coded: DataFrame, sets: Sequence[tuple[str, ...]], attributes: Mapping[str, int], releases: Sequence[Release]) -> DataFrame:
+    """(release, cluster_id, set_id, at, n): dense tables of every cluster, from one scan of ``coded`` (release, cluster_id, codes)."""
+    groups = coded.sparkSession.createDataFrame([(r.number, c) for r in releases for c in range(r.k)], "release int, cluster_id int")
+    by = ["release", "cluster_id"]
+    return marginal_tables(coded.withColumns({b: F.col(b).cast("int") for b in by}), sets, attributes, by, groups).select(*by, "set_id", "at", "n")
+
+
+def cluster_models(coded: DataFrame, method: Method, k: int, noise: Noise) -> list[bytes | None]:
+    """The model of each cluster 0 to k - 1 of ``coded`` (cluster_id, codes), None where its noisy tables are empty."""
+    release = Release(0, method, k, noise)
+    found = release_models(cluster_cells(coded.withColumn("release", F.lit(0)), method.sets(), method.attributes, [release]), [release])
+    return [found[0, c] for c in range(k)]
+
+
+def draw_releases(spark: SparkSession, models: Mapping[tuple[int, int], bytes | None], releases: Sequence[Release], rows_each: Mapping[int, int]) -> DataFrame:
+    """(release, cluster_id, synth_id, codes): ``rows_each`` rows of every model of a release, block by block."""
+    made = {r.number: (r.method, r.noise, rows_each[r.number]) for r in releases}
+    names = list(releases[0].method.attributes)
+    rows = [(n, c, m, max(1, -(-rows_each[n] // BLOCK_ROWS))) for (n, c), m in models.items() if m is not None]
+    known = spark.createDataFrame(rows, "release int, cluster_id int, model binary, blocks int")
+    most = max((r[3] for r in rows), default=1)
+    blocks = spark.range(0, most, 1, min(most, 4096))
+    # a model a cluster, of public size
+    dealt = blocks.join(F.broadcast(known) if sum(len(r[2]) for r in rows) <= SENT_BYTES else known, F.col("id") < F.col("blocks"))
+    dealt = dealt.select("id", "release", "cluster_id", "model", "blocks")
+    kind = "release int, cluster_id int, synth_id long, " + ", ".join(f"`{c}` int" for c in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block, cluster_id, model in zip(*(c.to_pylist() for c in b.columns)):
-                first, end = block * size, min((block + 1) * size, rows_each)
+            for block, release, cluster_id, model, parts in zip(*(c.to_pylist() for c in b.columns)):
+                method, noise, n = made[release]
+                size = -(-n // parts)
+                first, end = block * size, min((block + 1) * size, n)
                 if first < end:
                     seed = hashlib.sha256(f"{noise.key}|draw|{cluster_id}|{block}".encode()).digest()
-                    rows = method.draw(pickle.loads(model), end - first, np.random.default_rng(int.from_bytes(seed)))
-                    yield pa.record_batch([pa.array(np.full(end - first, cluster_id, np.int32)), pa.array(np.arange(first, end)), *(pa.array(rows[:, j].astype(np.int32)) for j in range(len(names)))], names=["cluster_id", "synth_id", *names])
+                    codes = method.draw(pickle.loads(model), end - first, np.random.default_rng(int.from_bytes(seed)))
+                    whole = lambda v: pa.array(np.full(end - first, v, np.int32))
+                    yield pa.record_batch([whole(release), whole(cluster_id), pa.array(np.arange(first, end)), *(pa.array(codes[:, j].astype(np.int32)) for j in range(len(names)))], names=["release", "cluster_id", "synth_id", *names])
+
+    return dealt.mapInArrow(run, kind)
 
-    return dealt.select("id", "cluster_id", "model").mapInArrow(run, kind)
+
+def draw_pools(spark: SparkSession, models: Sequence[bytes | None], method: Method, rows_each: int, noise: Noise) -> DataFrame:
+    """(cluster_id, synth_id, codes): ``rows_each`` rows of every model there is."""
+    release = Release(0, method, len(models), noise)
+    return draw_releases(spark, {(0, c): m for c, m in enumerate(models)}, [release], {0: rows_each}).drop("release")
 
 
 def _pool(rows: DataFrame, schema: PublicSchema, method: Method, n_synth: int, noise: Noise, bins: int) -> DataFrame:
