@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,18 +87,18 @@ def balanced(df: DataFrame, per_class: int, seed: int, key: str = "row_id", labe
     return of(1).unionByName(of(0)).orderBy("__h", key).drop("__h")
 
 
-def balanced_demos(queries: DataFrame, pool: DataFrame, shots: int, seed: int, query_key: str = "query_id", pool_key: str = "pool_id", label: str = "target", by: str | None = None, pool_rows: int | None = None) -> DataFrame:
+def balanced_demos(queries: DataFrame, pool: DataFrame, shots: int, seed: int | Column, query_key: str = "query_id", pool_key: str = "pool_id", label: str = "target", by: str | Sequence[str] | None = None, pool_rows: int | None = None) -> DataFrame:
     """(query key, demo_rank, pool columns): label-balanced demonstrations for every query.
 
     Half of the shots (rounded down) are positive. A class with rows enough
     gives distinct rows, else keyed draws with replacement; a pool with one class gives
-    distinct rows of it. Pools join by ``by`` (a cluster id) if given. For a query, a class of m
+    distinct rows of it. Pools join by ``by`` (a cluster id, or several columns) if given, and ``seed`` may be a column of both sides. For a query, a class of m
     rows is read from a keyed start with a keyed stride, so picks are distinct without ranking the pool per query:
     the join carries exactly the shots, never queries x pool. ``pool_rows``: about how many rows the pool has, if that is known.
     """
     if shots <= 0:
         raise ValueError("shots must be positive")
-    keys = [by] if by else []
+    keys = [by] if isinstance(by, str) else list(by or [])
     ranked = positions(pool, [*keys, label], order_key(seed, "pool", col(pool_key)), pool_key, "__pos", pool.count() if pool_rows is None else pool_rows)
     sizes = pool.groupBy(*keys).agg(F.count(F.when(col(label) == 1, 1)).alias("n1"), F.count(F.when(col(label) == 0, 1)).alias("n0"))
     q = queries.join(F.broadcast(sizes), keys) if keys else queries.crossJoin(F.broadcast(sizes))  # one row a pool
@@ -109,11 +110,11 @@ def balanced_demos(queries: DataFrame, pool: DataFrame, shots: int, seed: int, q
     m = F.when(F.col("__y") == 1, F.col("n1")).otherwise(F.col("n0"))
     want = F.when(F.col("__y") == 1, F.col("__k1")).otherwise(F.col("__k") - F.col("__k1"))
     nth = F.when(F.col("__y") == 1, F.col("__slot")).otherwise(F.col("__slot") - F.col("__k1"))
-    rng = Noise.test(seed)
+    rng = Noise(seed.cast("string")) if isinstance(seed, Column) else Noise.test(seed)
     start = F.floor(rng.uniform("start", col(query_key), F.col("__y")) * m)
     draw = F.floor(rng.uniform("draw", col(query_key), F.col("__slot")) * m)
     slots = slots.withColumn("__pos", F.when(want <= m, (start + nth) % m).otherwise(draw).cast("long"))
     order = order_key(seed + 3, col(query_key), F.col("__slot"))
-    slots = slots.withColumn("demo_rank", F.row_number().over(Window.partitionBy(query_key).orderBy(order, "__slot")))
+    slots = slots.withColumn("demo_rank", F.row_number().over(Window.partitionBy(*keys, query_key).orderBy(order, "__slot")))
     joined = slots.select(query_key, "demo_rank", *keys, "__y", "__pos").join(ranked.withColumnRenamed(label, "__y"), [*keys, "__y", "__pos"])
     return joined.select(query_key, "demo_rank", *[F.col("__y").alias(label) if c == label else col(c) for c in pool.columns])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from pathlib import Path
 from typing import Protocol
@@ -78,14 +78,15 @@ def prepare_dataset(spark: SparkSession, name: str, root: str | Path, per_class:
 
 
 class Backend(Protocol):
-    """A synthesis strategy: one pool for all queries, or one per cluster. Neighbours differ by one added or removed row."""
+    """A synthesis strategy. Neighbours differ by one added or removed row."""
 
     name: str
     seed_offset: int
+    bins: int
+    noise: Callable[..., Noise]
 
-    def global_pool(self, rows: DataFrame, schema: PublicSchema, epsilon: float, n_synth: int, seed: int) -> DataFrame: ...
-
-    def cluster_pools(self, assigned: DataFrame, schema: PublicSchema, centers: Sequence[Sequence[float]], spec: encode.OneHotSpec, epsilon: float, rows_each: int, seed: int) -> tuple[DataFrame, list[synth.ClusterLog]]: ...
+    def method(self, schema: PublicSchema, epsilon: float, seed: int, star: bool) -> synth.Method:
+        """How rows of one release are made: of each feature's table with the target only (``star``), or of all tables of the workload."""
 
 
 @dataclass
@@ -99,12 +100,8 @@ class MarginalBackend:
     name: str = "marginal"
     seed_offset: int = 1081
 
-    def global_pool(self, rows, schema, epsilon, n_synth, seed):
-        return synth.marginal_synthesize(rows, schema, epsilon, n_synth, self.noise(self.name, epsilon, seed), self.bins, self.delta, self.consistency_rounds, self.view_rounds, self.update_rounds, False)
-
-    def cluster_pools(self, assigned, schema, centers, spec, epsilon, rows_each, seed):
-        method = synth.MarginalMethod(marginals.sizes(schema, self.bins), epsilon, self.delta, self.consistency_rounds, self.view_rounds, self.update_rounds)
-        return synth.cluster_pools(assigned, schema, centers, spec, rows_each, method, self.noise(self.name, epsilon, seed), self.bins)
+    def method(self, schema, epsilon, seed, star):
+        return synth.MarginalMethod(marginals.sizes(schema, self.bins), epsilon, self.delta, self.consistency_rounds, self.view_rounds, self.update_rounds, star)
 
 
 @dataclass
@@ -116,12 +113,8 @@ class GeneratorBackend:
     name: str = "generator"
     seed_offset: int = 808
 
-    def global_pool(self, rows, schema, epsilon, n_synth, seed):
-        return synth.generator_synthesize(rows, schema, epsilon, n_synth, self.noise(self.name, epsilon, seed), self.bins, self.delta, self.config, seed)
-
-    def cluster_pools(self, assigned, schema, centers, spec, epsilon, rows_each, seed):
-        method = synth.GeneratorMethod(marginals.sizes(schema, self.bins), epsilon, self.delta, replace(self.config, target_star=True), seed)
-        return synth.cluster_pools(assigned, schema, centers, spec, rows_each, method, self.noise(self.name, epsilon, seed), self.bins)
+    def method(self, schema, epsilon, seed, star):
+        return synth.GeneratorMethod(marginals.sizes(schema, self.bins), epsilon, self.delta, replace(self.config, target_star=star), seed)
 
 
 def constant_pool(queries: DataFrame) -> DataFrame:
@@ -185,6 +178,9 @@ def run_experiments(
 ) -> DataFrame:
     """One result row per dataset, method, k, epsilon and trial.
 
+    A dataset's releases are made together: they share the passes of k-means, one scan that counts all tables, one fit
+    of all models, and one plan that routes, samples and scores all queries, so Spark's jobs grow with the number of
+    datasets and, for feature weights alone, of epsilons, not with methods, cluster counts or trials.
     Global pools do not depend on k and are built once per (dataset, epsilon, trial).
     The reserved weighting part and the main part are disjoint, so their spends compose in parallel; both kinds of
     pools are made of the main part alone. Every row of the results is a release with a ledger of its own, and every
@@ -204,45 +200,132 @@ def run_experiments(
         train = ctx.keep(ctx.train)
         n = train.count()
         weight_rows, main = sampling.disjoint_split(train, weight_fraction, split_seed, n=n)
-        total = n_synth or n
-        for eps in epsilons:
-            weights = task_weights(ctx, weight_rows, eps, weigher, cache_dir, noise, weight_fraction, split_seed, summary_seed)
-            spec = encode.onehot_spec(schema, weights)
-            answer = score.nearest_demo_scorer(spec) if scorer is None else scorer(spec, schema)
-            eps_cluster, eps_synth = privacy.split_budget(eps, cluster_share)
-            for t in range(trials):
-                seed = 1000 + t + backend.seed_offset
-                runs = []
-                if "global" in methods:
-                    ledger = spent(eps)
-                    pool = backend.global_pool(main, schema, ledger.spend("main", eps), total, seed).withColumn("cluster_id", F.lit(0))
-                    runs.append(("global", None, constant_pool(ctx.evaluation), pool, 0, ledger))
-                if "clustered" in methods:
-                    for k in ks:
-                        ledger = spent(eps)
-                        centers = cluster.dp_kmeans(main, spec, k, ledger.spend("main", eps_cluster), noise("centers", k, eps, seed))
-                        assigned = cluster.assign(main, spec, centers)
-                        each = ledger.spend("main", eps_synth)  # an added row lies in one cluster, so all clusters are charged once
-                        pools, log = backend.cluster_pools(assigned, schema, centers, spec, each, max(1, total // k), seed)
-                        routed = routed_pool(ctx.evaluation, spec, centers, pools, range(k))  # every cluster has a pool
-                        runs.append(("clustered", k, routed, pools, sum(x.fallback for x in log), ledger))
-                for method, k, routed, pool, fallbacks, ledger in runs:
-                    m, per_query = evaluate(routed, pool, schema, answer, shots, t * 10_000, total)
-                    about = {
-                        "dataset": schema.name, "method": method, "epsilon": float(eps), "delta": float(delta), "K": k or 1, "seed": seed, "base_synthesizer": backend.name, "uses_dp_summaries": True,
-                        "eps_cluster": eps_cluster if k else 0.0, "eps_synth": eps_synth if k else float(eps), "target_centered": k is not None, "fallback_clusters": fallbacks, "epsilon_spent": float(ledger.total), "sweep_epsilon": float(whole),
-                        "weight_sample_fraction": weight_fraction, "weight_split_seed": split_seed, "weight_source": getattr(weigher, "__name__", "weigher"),
-                    }
-                    tag = lambda df, keys: df.select(*[F.lit(about[x]).alias(x) for x in keys], *[F.col(c) for c in df.columns])
-                    row = tag(m, about)
-                    if out:
-                        tables.append_results(row, tag(per_query, ("dataset", "method", "epsilon", "K", "seed")), out)
-                    # one row: collected here, so that a sweep's plan does not grow and tables can be let go
-                    kind, found = row.schema, found + [tuple(r) for r in row.collect()]
+        specs = {eps: encode.onehot_spec(schema, task_weights(ctx, weight_rows, eps, weigher, cache_dir, noise, weight_fraction, split_seed, summary_seed)) for eps in dict.fromkeys(epsilons)}
+        grid = sweep_grid(methods, trials, ks, epsilons, cluster_share, backend.seed_offset)
+        if not grid:
+            continue
+        clusterings = [cluster.Clustering(c.number, specs[c.epsilon], c.k, c.eps_cluster, noise("centers", c.k, c.epsilon, c.seed)) for c in grid if c.clustered]
+        centers = {c.number: [[0.0] * specs[c.epsilon].width] for c in grid}  # the one pool of a global release
+        centers |= cluster.dp_kmeans_many(main, clusterings) if clusterings else {}
+        pools, fallbacks = sweep_pools(main, schema, backend, grid, specs, centers, n_synth or n)
+        pools = ctx.keep(pools)
+        makers = {eps: score.nearest_demo_scorer(spec) if scorer is None else scorer(spec, schema) for eps, spec in specs.items()}
+        per_query = ctx.keep(sweep_predictions(ctx, grid, specs, centers, pools, makers, shots, n_synth or n))
+        about = []
+        for c in grid:
+            about.append((
+                c.number, schema.name, c.method, c.epsilon, float(delta), c.k, c.seed, backend.name, True, c.eps_cluster, c.eps_synth, c.clustered, fallbacks[c.number], c.ledger().total, float(whole),
+                weight_fraction, split_seed, getattr(weigher, "__name__", "weigher"),
+            ))
+        told = spark.createDataFrame(about, "release int, dataset string, method string, epsilon double, delta double, K int, seed int, base_synthesizer string, uses_dp_summaries boolean, eps_cluster double, eps_synth double, target_centered boolean, fallback_clusters int, epsilon_spent double, sweep_epsilon double, weight_sample_fraction double, weight_split_seed int, weight_source string")
+        measured = score.metrics(per_query, "true_label", by=["release"])
+        rows = told.join(measured, "release", "left").na.fill(0).drop("release")
+        kind, here = rows.schema, [tuple(r) for r in rows.collect()]  # a row a release
+        if out:
+            keys = told.select("release", "dataset", "method", "epsilon", "K", "seed")
+            tables.append_results(spark.createDataFrame(here, kind), keys.join(per_query, "release").drop("release"), out)
+        found += here
         ctx.release()
     return spark.createDataFrame(found, kind)
 
 
+@dataclass(frozen=True)
+class GridCell:
+    """One release of a sweep."""
+
+    number: int
+    method: str
+    k: int
+    epsilon: float
+    trial: int
+    seed: int
+    eps_cluster: float
+    eps_synth: float
+
+    @property
+    def clustered(self) -> bool:
+        return self.method == "clustered"
+
+    def ledger(self) -> privacy.BudgetLedger:
+        """What the release spends: an added row lies in one cluster, so all clusters are charged once."""
+        ledger = spent(self.epsilon)
+        for e in (self.eps_cluster, self.eps_synth):
+            if e > 0:
+                ledger.spend("main", e)
+        return ledger
+
+
+def sweep_grid(methods: Sequence[str], trials: int, ks: Sequence[int], epsilons: Sequence[float], cluster_share: float, seed_offset: int) -> list[GridCell]:
+    """Every release; global ones do not depend on k."""
+    out: list[GridCell] = []
+    for eps in map(float, epsilons):
+        share = privacy.split_budget(eps, cluster_share)
+        for t in range(trials):
+            kinds = [("global", 1, 0.0, eps)] * ("global" in methods) + [("clustered", k, *share) for k in ks] * ("clustered" in methods)
+            for method, k, own, rest in kinds:
+                out.append(GridCell(len(out), method, k, eps, t, 1000 + t + seed_offset, own, rest))
+    return out
+
+
+def sweep_pools(main: DataFrame, schema: PublicSchema, backend: Backend, grid: Sequence[GridCell], specs: Mapping[float, encode.OneHotSpec], centers: Mapping[int, Sequence[Sequence[float]]], total: int) -> tuple[DataFrame, dict[int, int]]:
+    """((release, cluster_id, synth_id, prepared columns), clusters that fell back by release) of all releases: one scan counts all tables."""
+    spark, attributes = main.sparkSession, marginals.sizes(schema, backend.bins)
+    releases = [
+        synth.Release(c.number, backend.method(schema, c.eps_synth, c.seed, c.clustered), c.k, backend.noise(backend.name, c.method, c.k, c.epsilon, c.seed)) for c in grid
+    ]
+    by_kind = {kind: [r for r, c in zip(releases, grid) if c.clustered == kind] for kind in (False, True)}
+    any_spec = next(iter(specs.values()))
+    coded = marginals.encode_rows(main.withColumn("__base", encode.onehot(cluster.unit(any_spec))), schema, backend.bins, keep=["__base"])
+    cells = None
+    if by_kind[True]:
+        about = [cluster.Clustering(c.number, specs[c.epsilon], c.k, c.eps_cluster, r.noise) for r, c in zip(releases, grid) if c.clustered]
+        met = coded.crossJoin(F.broadcast(cluster.centers_table(spark, about, centers)))  # a row a release
+        met = met.withColumn("cluster_id", cluster.nearest_of_row("__base")).drop("__base", "scales", "centers")
+        cells = synth.cluster_cells(met, by_kind[True][0].method.sets(), attributes, by_kind[True])
+    if by_kind[False]:
+        numbers = spark.createDataFrame([(r.number, 0) for r in by_kind[False]], "release int, cluster_id int")
+        once = marginals.marginal_tables(coded.drop("__base"), by_kind[False][0].method.sets(), attributes).select("set_id", "at", "n")  # all global releases count alike
+        whole = once.crossJoin(F.broadcast(numbers)).select("release", "cluster_id", "set_id", "at", "n")
+        cells = whole if cells is None else cells.unionByName(whole)
+    models = synth.release_models(cells, releases)
+    rows_each = {c.number: max(1, total // c.k) for c in grid}
+    names = ["release", "cluster_id", "synth_id"]
+    pools = synth.decode_rows(synth.draw_releases(spark, models, releases, rows_each), schema, backend.bins, names)
+    failed = [at for at, m in models.items() if m is None]
+    if empty := [c.number for c in grid if not c.clustered and (c.number, 0) in failed]:
+        raise synth.EmptyTables(f"no noisy cell is positive in releases {empty}")
+    if failed:
+        by_number = {c.number: c for c in grid}
+        decoded = [(n, i, rows_each[n], *encode.decode_center(specs[by_number[n].epsilon], centers[n][i]).values()) for n, i in failed]
+        types = ", ".join(f"`{c}` {'double' if c in schema.numeric else 'string'}" for c in [*schema.numeric, *schema.categorical])
+        centre = spark.createDataFrame(decoded, f"release int, cluster_id int, __n int, {types}")
+        own = centre.withColumn("synth_id", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("__n") - 1).cast("long")))).withColumn("target", (F.col("synth_id") % 2).cast("int"))
+        pools = pools.unionByName(own.drop("__n"))
+    counts = {c.number: sum(n == c.number for n, _ in failed) for c in grid}
+    return synth.validate_pool(pools, schema), counts
+
+
+def sweep_predictions(ctx: DatasetContext, grid: Sequence[GridCell], specs: Mapping[float, encode.OneHotSpec], centers: Mapping[int, Sequence[Sequence[float]]], pools: DataFrame, scorers: Mapping[float, score.Scorer], shots: int, pool_rows: int) -> DataFrame:
+    """(release, query_id, true_label, selected_cluster, prediction): every query of every release, routed, shown demonstrations and scored in one plan."""
+    spark = pools.sparkSession
+    any_spec = next(iter(specs.values()))
+    about = [cluster.Clustering(c.number, specs[c.epsilon], c.k, c.epsilon, Noise.test(0)) for c in grid]
+    table = F.broadcast(cluster.centers_table(spark, about, centers, [(c.trial * 10_000,) for c in grid], ", demo_seed int"))  # a row a release
+    queries = ctx.evaluation.withColumn("__base", encode.onehot(cluster.unit(any_spec))).crossJoin(table)
+    queries = queries.withColumn("cluster_id", cluster.nearest_of_row("__base")).drop("__base", "scales", "centers").withColumn("ask", F.concat_ws("/", "release", "query_id"))
+    seeded = pools.withColumnRenamed("synth_id", "pool_id").join(table.select("release", "demo_seed"), "release")
+    demos = sampling.balanced_demos(queries, seeded, shots, F.col("demo_seed"), by=["release", "cluster_id"], pool_rows=pool_rows)
+    # the pool is as good as read: only what queries are shown goes on
+    demos = demos.join(F.broadcast(queries.select("release", "cluster_id", "query_id", "ask")), ["release", "cluster_id", "query_id"]).drop("query_id", "demo_seed", "pool_id")
+    found = None
+    for eps, scorer in scorers.items():
+        mine = F.col("release").isin([c.number for c in grid if c.epsilon == eps])
+        part = scorer(queries.filter(mine), demos.filter(mine).drop("release", "cluster_id"), "ask")
+        found = part if found is None else found.unionByName(part)
+    per_query = queries.select("release", "query_id", "ask", F.col("target").alias("true_label"), F.col("cluster_id").alias("selected_cluster")).join(found, "ask", "left").drop("ask")
+    return per_query.withColumn("prediction", F.coalesce("prediction", F.lit(0)))
+
+
 def sweep_cost(methods: Sequence[str], trials: int, ks: Sequence[int], epsilons: Sequence[float]) -> float:
     """What all releases of a sweep cost one dataset: the dearer of its two disjoint parts."""
     pools = trials * (("global" in methods) + ("clustered" in methods) * len(ks))
