@@ -132,6 +132,13 @@ def binarize_label_numeric(spark, d):
     return df.select("doc_id", prep.binarize(F.col("quality"), "1", prep.numeric_labels(df, "quality", "1")).alias("target"))
 
 
+@query("SELECT column_name AS name, (column_type NOT IN ('VARCHAR', 'DATE', 'BOOLEAN') AND column_type NOT LIKE 'TIMESTAMP%')::INT AS is_numeric FROM (DESCRIBE orders) WHERE column_name <> 'o_orderpriority'")
+def type_split(spark, d):
+    """Columns by physical type, without the label: what a table without a schema file starts from."""
+    numeric, other = prep.split_types(read_parquet(spark, d, "orders"), "o_orderpriority")
+    return spark.createDataFrame([(c, int(c in numeric)) for c in [*numeric, *other]], "name string, is_numeric int")
+
+
 @query(f"WITH {ORDERS} SELECT row_id, {_r('o_totalprice', 9)} AS o_totalprice, o_orderstatus, target FROM o")
 def prepare_table(spark, d):
     return r6(declared(spark, d, "orders"), 9)  # no decimal ties at nine digits
@@ -582,7 +589,7 @@ def split_antijoin(spark, d):
     return rows.join(a.select("row_id"), "row_id", "left_anti").select("row_id", "target")
 
 
-@query("SELECT 0::BIGINT AS common")
+@query(f"WITH {SPLIT} SELECT count(*) AS common FROM (SELECT row_id FROM r WHERE {RESERVED} INTERSECT SELECT row_id FROM r WHERE NOT {RESERVED})")
 def key_intersection_empty(spark, d):
     a, b = sampling.disjoint_split(declared(spark, d, "orders"), 0.1, SEED)
     return a.select("row_id").intersect(b.select("row_id")).agg(F.count(F.lit(1)).alias("common"))
