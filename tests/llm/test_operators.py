@@ -209,7 +209,7 @@ def test_mixing_comes_near_the_best_of_all(spark):
         target = g.target.iloc[0]
         best = min(abs(sum(a * b for a, b in zip(c, g["size"])) - target) for c in product(range(4), repeat=len(g)))
         miss = abs(g.taken.sum() - target)
-        assert best - 1e-9 <= miss <= 2 * best + 1 + 1e-9  # one word counts for nothing
+        assert best - 1e-9 <= miss <= min(g["size"].min(), best + 0.01 * target)  # moves of one copy a document do not reach every best
         gaps.append(miss / target)
     assert np.mean(gaps) < 0.005
 
