@@ -88,13 +88,24 @@ def build_directory(keys: DataFrame, capacity: int = CAPACITY) -> Directory:
         counted = keys.groupBy(at.alias("page"), cell.alias("cell")).agg(F.sum("n").alias("n"))
         grid = pages.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((1 << more) - 1).cast("long"))))
         loads = grid.join(counted, ["page", "cell"], "left").withColumn("n", F.coalesce("n", F.lit(0))).repartition("page")
-        local = F.lit(None).cast("int")
-        for d in range(more, -1, -1):  # the first bit that is enough wins
-            head = F.shiftright("cell", more - d)
-            loads = loads.withColumn(f"n{d}", F.sum("n").over(Window.partitionBy("page", head)))
-            local = F.when(F.col(f"n{d}") <= capacity, d).otherwise(local)
+        upto = F.sum("n").over(Window.partitionBy("page").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
+        page = loads.select("page", "cell", upto.alias("upto")).groupBy("page").agg(F.sort_array(F.collect_list(F.struct("cell", "upto"))).alias("cells"))  # 2**LEVEL cells
         last = depth + more == 64
-        split = stage(loads.select("page", "cell", (F.coalesce(local, F.lit(more)) if last else local).alias("d")), "exact-directory")
+        rows_upto = F.transform("cells", lambda c: c["upto"])
+
+        def local(cell: Column, upto: Column) -> Column:
+            """The first bit that is enough for the bucket around a cell, null if none is."""
+            found = F.lit(more).cast("int") if last else F.lit(None).cast("int")
+            for d in range(more, -1, -1):
+                head = F.shiftright(cell, more - d)
+                first, end = F.shiftleft(head, more - d).cast("int"), F.shiftleft(head + 1, more - d).cast("int")
+                before = F.when(first == 0, F.lit(0).cast("long")).otherwise(F.get(upto, first - 1))
+                found = F.when(F.get(upto, end - 1) - before <= capacity, d).otherwise(found)
+            return found
+
+        # the running sums are made once a page, not once a cell
+        cut = F.transform(F.array(rows_upto), lambda upto: F.transform("cells", lambda c: F.struct(c["cell"].alias("cell"), local(c["cell"], upto).alias("d"))))[0]
+        split = stage(page.select("page", F.inline(cut)), "exact-directory")
         done = split.filter("d IS NOT NULL").select("page", F.expr(f"shiftright(cell, {more} - d)").alias("head"), "d").distinct()
         left = F.expr(f"shiftleft(page, {more}) | shiftleft(head, {more} - d)")  # the bucket's bits, filled up with zeros
         buckets = done.select(F.shiftleft(left, 64 - depth - more).bitwiseXOR(_FLIP).alias("least"), (F.col("d") + depth).cast("int").alias("depth"))
